@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op5_bpe
+from .line_crf import op4_line_crf
+from .mixing import op2_mixing
+from .quality_rules import op6_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
+    "op4_line_crf": op4_line_crf,
     "op5_bpe": op5_bpe,
+    "op6_quality_rules": op6_quality_rules,
 }
 ORACLES: dict[str, str] = {}
