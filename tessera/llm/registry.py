@@ -10,6 +10,7 @@ from .bpe import op5_bpe
 from .line_crf import op4_line_crf
 from .mixing import op2_mixing
 from .quality_rules import op6_quality_rules
+from .simhash import op9_simhash
 from .token_files import op10_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_crf": op4_line_crf,
     "op5_bpe": op5_bpe,
     "op6_quality_rules": op6_quality_rules,
+    "op9_simhash": op9_simhash,
     "op10_token_files": op10_token_files,
 }
 ORACLES: dict[str, str] = {}
