@@ -12,13 +12,17 @@ from .mixing import op2_mixing
 from .quality_rules import op6_quality_rules
 from .simhash import op9_simhash
 from .token_files import op10_token_files
+from .topk import OP7_SQL, op7_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op4_line_crf": op4_line_crf,
     "op5_bpe": op5_bpe,
     "op6_quality_rules": op6_quality_rules,
+    "op7_topk": op7_topk,
     "op9_simhash": op9_simhash,
     "op10_token_files": op10_token_files,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_topk": OP7_SQL,
+}
