@@ -10,12 +10,14 @@ from .bpe import op5_bpe
 from .line_crf import op4_line_crf
 from .mixing import op2_mixing
 from .quality_rules import op6_quality_rules
+from .secrets import op3_secrets
 from .simhash import op9_simhash
 from .token_files import op10_token_files
 from .topk import OP7_SQL, op7_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
+    "op3_secrets": op3_secrets,
     "op4_line_crf": op4_line_crf,
     "op5_bpe": op5_bpe,
     "op6_quality_rules": op6_quality_rules,
