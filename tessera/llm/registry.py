@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op5_bpe
 from .line_crf import op4_line_crf
+from .line_dedup import op8_line_dedup
 from .mixing import op2_mixing
 from .quality_rules import op6_quality_rules
 from .secrets import op3_secrets
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
     "op6_quality_rules": op6_quality_rules,
     "op7_topk": op7_topk,
+    "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
     "op10_token_files": op10_token_files,
 }
