@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op5_bpe
+from .licenses import op1_licenses
 from .line_crf import op4_line_crf
 from .line_dedup import op8_line_dedup
 from .mixing import op2_mixing
@@ -17,6 +18,7 @@ from .token_files import op10_token_files
 from .topk import OP7_SQL, op7_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op2_mixing": op2_mixing,
     "op3_secrets": op3_secrets,
     "op4_line_crf": op4_line_crf,
