@@ -67,10 +67,10 @@ CUES = re.compile(r"licen[sc]|copyright|permission|redistribut|public domain|cre
 #: Every cue has one of these; they are looked for first, as that is fast.
 STEMS = ("licen", "copyright", "permission", "redistribut", "public domain", "creative commons", "waived", "warrant", "spdx")
 #: Characters around a cue that belong to its block; blocks longer than MOST are scanned in overlapping parts.
-REACH, MOST = 700, 8000
+REACH, MOST = 240, 4000
 LEVEL = 9
 #: Templates that save less than this share of what they save on themselves are not in a block.
-SAVES = 0.3
+SAVES = 0.15
 #: Largest share of a template's words that may differ; templates of few words must match exactly.
 DIFFERENCES = 0.1
 WORDS = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
