@@ -229,14 +229,15 @@ def steps(texts: list[str | None], most: int = STEP_CHARS) -> Iterator[tuple[int
         yield begin, len(texts)
 
 
-def encode_decode(docs: DataFrame, vocab: str, keep: list[str], digests_only: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, vocab: str, keep: list[str], digests_only: bool = False, texts_too: bool = True) -> DataFrame:
     """Encode and decode every row of docs (`text`), in one pass without a shuffle.
 
     Gives the columns of `keep`, n_tokens, ids_sha256 and decoded_sha256, and unless
-    digests_only also ids (array<int>) and decoded. Null or empty texts: no ids, "".
+    digests_only also ids (array<int>) and, if texts_too, decoded. Null or empty texts: no ids, "".
     """
     source = docs.select(*keep, F.col("text").alias("__text"))
-    more = "" if digests_only else ", ids array<int>, decoded string"
+    extra = [] if digests_only else ["ids", "decoded"] if texts_too else ["ids"]
+    more = "".join({"ids": ", ids array<int>", "decoded": ", decoded string"}[k] for k in extra)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + f", n_tokens long, ids_sha256 string, decoded_sha256 string{more}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,9 +253,11 @@ def encode_decode(docs: DataFrame, vocab: str, keep: list[str], digests_only: bo
                     pa.array([hashlib.sha256(x).hexdigest() for x in coded]),
                     pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back]),
                 ]
-                if not digests_only:
-                    cols += [pa.array([np.frombuffer(x, "<u4").astype("i4") for x in coded], pa.list_(pa.int32())), pa.array(back, pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *([] if digests_only else ["ids", "decoded"])])
+                if "ids" in extra:
+                    cols.append(pa.array([np.frombuffer(x, "<u4").astype("i4") for x in coded], pa.list_(pa.int32())))
+                if "decoded" in extra:
+                    cols.append(pa.array(back, pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *extra])
 
     return source.mapInArrow(run, schema)
 

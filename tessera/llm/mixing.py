@@ -168,3 +168,28 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     sizes = durable(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     return mix(sizes).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix as rows of docs: one for each whole pass over a document, and one with the words of its partial pass.
+
+    A partial pass keeps the white space after each of its words. n_chars follows
+    the text where docs has it.
+    """
+    row = F.xxhash64("text")
+    sizes = durable(docs.select("doc_id", row.alias("__row"), "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    # rows that agree in all of these are copies of one another, so any of them may have any of their takings
+    w = Window.partitionBy("doc_id", "__row", "source").orderBy("passes", "run_from", "run_words")
+    taken = durable(mix(sizes).where("taken > 0").select("doc_id", "__row", "source", "size", "passes", "run_from", "run_words"), "mix-taken")
+    plan = taken.withColumn("__n", F.row_number().over(w)).select(F.col("doc_id").alias("__i"), F.col("__row").alias("__r"), F.col("source").alias("__s"), "size", "passes", "run_from", "run_words", "__n")
+    # repeated rows become one with their number; the plan's rows then say what each gives
+    numbered = docs.withColumn("__row", row).dropDuplicates(["doc_id", "__row", "source"])
+    rows = numbered.join(plan, same(F.col("doc_id"), F.col("__i")) & (F.col("__row") == F.col("__r")) & same(F.col("source"), F.col("__s")))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    whole = F.array_repeat(F.col("text"), (F.col("passes") + (F.col("run_words") >= F.col("size")).cast("long")).cast("int"))
+    first = F.least(F.col("run_words"), F.col("size") - F.col("run_from"))
+    picked = F.concat(F.slice(words, (F.col("run_from") + 1).cast("int"), first.cast("int")), F.slice(words, F.lit(1), (F.col("run_words") - first).cast("int")))
+    part = F.when((F.col("run_words") > 0) & (F.col("run_words") < F.col("size")), F.array(F.array_join(picked, ""))).otherwise(F.array().cast("array<string>"))
+    out = rows.withColumn("__t", F.explode(F.concat(whole, part)))
+    chars = {"n_chars": F.char_length("__t").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return out.withColumns({"text": F.col("__t"), **chars}).select(*docs.columns)
