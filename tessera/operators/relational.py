@@ -57,7 +57,7 @@ def merge_latest(base: DataFrame, updates: DataFrame, key: str, version: str) ->
     return both.groupBy(key).agg(F.max_by(F.struct(*rest), version).alias("row")).select(key, "row.*").select(*both.columns)
 
 
-def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """Mark a side for broadcast if its plan is known to be small; else leave the choice to Spark."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if size.bitLength() < 24 else df
+    return F.broadcast(df) if int(str(size)) < 1 << 24 else df
