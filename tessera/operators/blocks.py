@@ -19,28 +19,30 @@ SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 
 
 def pack_chunks(text: str, size: int = 2000, overlap: int = 200) -> list[str]:
-    """Pack sentences greedily into chunks; a chunk begins with the end of the one before. Overlong ones are cut at spaces."""
+    """Pack whole sentences into chunks of up to `size` characters; each begins `overlap` characters before the last one's end.
+
+    Chunks are spans of the text. A span that one long sentence makes too long is cut at its last space that fits.
+    """
     if len(text) <= size:
         return [text] if text else []
-    packed: list[str] = []
-    held = ""
-    for sentence in SENTENCE_END.split(text):
-        if held and len(held) + 1 + len(sentence) > size:
-            packed.append(held.strip())
-            held = held[-overlap:] if overlap else ""
-        held = f"{held} {sentence}".strip() if held else sentence
-    packed += [held.strip()] if held.strip() else []
-    out: list[str] = []
-    for piece in packed:
-        while len(piece) > size:
-            space = piece.rfind(" ", 0, size)
-            at = size if space < 0 else space
-            out.append(piece[:at].strip())
-            rest = piece[max(0, at - overlap) if overlap else at :].strip()
-            piece = rest if len(rest) < len(piece) else piece[at:].strip()
-        if piece:
-            out.append(piece)
-    return out
+    past_space = lambda at: at + (text[at : at + 1] == " ")
+    ends = [m.start() for m in SENTENCE_END.finditer(text)] + [len(text)]
+    spans, begin, last = [], 0, 0
+    for end in ends:
+        if last > begin and end - begin > size:
+            spans.append((begin, last))
+            begin = past_space(max(begin, last - overlap))
+        last = end
+    spans.append((begin, last))
+    out = []
+    for begin, end in spans:
+        while end - begin > size:
+            space = text.rfind(" ", begin, begin + size)
+            stop = space if space > begin + overlap else begin + size
+            out.append(text[begin:stop].strip())
+            begin = past_space(stop - overlap)
+        out.append(text[begin:end].strip())
+    return [c for c in out if c]
 
 
 def chunks(docs: DataFrame, size: int = 2000, overlap: int = 200) -> DataFrame:
