@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -13,12 +12,18 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Folders made for applications that name none (local sessions, tests).
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        found = _own[app]
     return found.rstrip("/")
 
 
@@ -61,9 +66,12 @@ def training_ids(labels: DataFrame, target: str, bound: int) -> DataFrame:
     )
 
 
-def local_path(path: str) -> str:
-    return path.removeprefix("file://") if path.startswith("file://") else path
+def masked(docs: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """docs with all columns but the used ones renamed, so that no name of theirs clashes; and the names to give back."""
+    names = {c: c if c in used else f"__other{n}" for n, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
 
 
-def package_root() -> str:
-    return os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+def unmasked(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of the masked table, in their order and under their own names."""
+    return df.select(*(F.col(n).alias(c) for c, n in names.items()))

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, load, word_count
+from .common import durable, load, masked, unmasked, word_count
 
 #: Weights in turn, share of all words that the mix takes, most times that a word is taken.
 WEIGHTS = (3, 1, 2)
@@ -173,9 +173,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as rows of docs: one for each whole pass over a document, and one with the words of its partial pass.
 
-    A partial pass keeps the white space after each of its words. n_chars follows
-    the text where docs has it.
+    A partial pass keeps the white space after each of its words; where it leaves the
+    text's end and comes in again at its beginning, a line break stands between.
+    n_chars follows the text where docs has it.
     """
+    docs, names = masked(docs, ("doc_id", "text", "source", "n_chars"))
     row = F.xxhash64("text")
     sizes = durable(docs.select("doc_id", row.alias("__row"), "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     # rows that agree in all of these are copies of one another, so any of them may have any of their takings
@@ -188,8 +190,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     whole = F.array_repeat(F.col("text"), (F.col("passes") + (F.col("run_words") >= F.col("size")).cast("long")).cast("int"))
     first = F.least(F.col("run_words"), F.col("size") - F.col("run_from"))
-    picked = F.concat(F.slice(words, (F.col("run_from") + 1).cast("int"), first.cast("int")), F.slice(words, F.lit(1), (F.col("run_words") - first).cast("int")))
+    rest = F.col("run_words") - first
+    between = F.when(rest > 0, F.array(F.lit("\n"))).otherwise(F.array().cast("array<string>"))
+    picked = F.concat(F.slice(words, (F.col("run_from") + 1).cast("int"), first.cast("int")), between, F.slice(words, F.lit(1), rest.cast("int")))
     part = F.when((F.col("run_words") > 0) & (F.col("run_words") < F.col("size")), F.array(F.array_join(picked, ""))).otherwise(F.array().cast("array<string>"))
     out = rows.withColumn("__t", F.explode(F.concat(whole, part)))
     chars = {"n_chars": F.char_length("__t").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return out.withColumns({"text": F.col("__t"), **chars}).select(*docs.columns)
+    return unmasked(out.withColumns({"text": F.col("__t"), **chars}), names)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, load, partitions
+from .common import durable, load, masked, partitions, unmasked
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -221,6 +221,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates, with the columns of docs: that of the smallest doc_id."""
+    docs, names = masked(docs, ("doc_id", "text"))
     fps = durable(with_fingerprints(docs, ["doc_id"]), "simhash-fps")
     found = groups(fps)
     # one fingerprint of each group stands for it: the least of those whose smallest doc_id is the group's
@@ -228,4 +229,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = durable(kept.select("__kept", "__id"), "simhash-kept")
     marked = with_fingerprints(docs, docs.columns, "__fp")
     stays = marked.join(kept, (F.col("__fp") == F.col("__kept")) & F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__kept", "__id")
-    return stays.dropDuplicates(["__fp", "doc_id"]).select(*docs.columns)
+    return unmasked(stays.dropDuplicates(["__fp", "doc_id"]), names)
