@@ -32,9 +32,11 @@ from .common import load
 #: Fixed value: the pre-tokenizer's pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct words whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1_200_000
+REMEMBERED = 350_000
+#: Pairs of tokens whose fit a worker remembers.
+BORDERS = 400_000
 #: Characters of text per step, so that one step's words stay small.
-STEP_CHARS = 6_000_000
+STEP_CHARS = 2_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -80,7 +82,7 @@ class TrieBPE:
         key = left << 20 | right
         if (got := self.borders.get(key)) is not None:
             return got
-        if len(self.borders) > 2_000_000:
+        if len(self.borders) > BORDERS:
             self.borders.clear()
         rank, made = self.rank, self.made
         a, b, before, ok = left, right, len(rank) + 1, True
