@@ -178,3 +178,12 @@ def test_stream_over_files(spark, tmp_path):
     out = events.drain(events.decayed_state(stream()), "t", "update").groupBy("user_id").agg(F.max_by(F.struct("n", "x"), "n").alias("s")).collect()
     assert {r.user_id: r.s.n for r in out} == {7: 2, 8: 1} and {r.user_id: r.s.x for r in out}[8] == 5.0
     assert events.refresh_centroids(e, {"a": 10.0}) == {"a": 0.9 * 10 + 0.1 * 2.0, "b": 5.0}
+
+
+def test_sql_functions(spark):
+    from tessera.registration import register
+
+    register(spark)
+    assert spark.sql("SELECT chunk FROM text_chunks('one. two.', 2000, 200)").first()["chunk"] == "one. two."
+    assert {r.kind for r in spark.sql("SELECT * FROM code_graph('import os')").collect()} == {"import"}
+    assert spark.sql("SELECT isotonic(array(3D, 1D)) AS x").first()["x"] == [2.0, 2.0]
