@@ -197,3 +197,41 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     out = rows.withColumn("__t", F.explode(F.concat(whole, part)))
     chars = {"n_chars": F.char_length("__t").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return unmasked(out.withColumns({"text": F.col("__t"), **chars}), names)
+
+
+OP2_SQL = rf"""
+WITH s AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents
+), totals AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM s GROUP BY source
+), filled AS (
+  SELECT *, {MOST} * source_size / w AS ratio, row_number() OVER (ORDER BY {MOST} * source_size / w, source NULLS LAST) AS i,
+    ({SHARE} * sum(source_size) OVER ())::DOUBLE AS whole FROM totals
+), open_ AS (
+  SELECT *, (whole - coalesce(sum({MOST} * source_size) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE) / sum(w) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS per_weight FROM filled
+), level AS (
+  SELECT coalesce(min(CASE WHEN per_weight <= ratio THEN i END), max(i)) AS stop_i FROM open_
+), targets AS (
+  SELECT source, source_size, least(w * (SELECT per_weight FROM open_, level WHERE i = stop_i), ({MOST} * source_size)::DOUBLE) AS target FROM open_
+), rows_ AS (
+  SELECT s.doc_id, s.source, s.size, t.source_size, t.target, ('0x' || substr(md5('{SEED}|' || coalesce(s.doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS seed,
+    greatest(1, ceil(t.source_size / {SHARD_WORDS}.0))::BIGINT AS shards FROM s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), cells AS (
+  SELECT source, seed % shards AS shard, sum(size)::BIGINT AS words, CASE WHEN any_value(source_size) > 0 THEN any_value(target) * sum(size)::BIGINT / any_value(source_size) ELSE 0.0 END AS target FROM rows_ GROUP BY ALL
+), quotients AS (
+  SELECT source, shard, target / (2 * k + 1) AS q FROM (SELECT *, unnest(range((target / {BLOCK_WORDS})::BIGINT + 3)) AS k FROM cells)
+), given AS (
+  SELECT source, shard, count(*) AS quota FROM (SELECT *, row_number() OVER (ORDER BY q DESC, source NULLS LAST, shard) AS n FROM quotients WHERE q > 0)
+  WHERE n <= (SELECT round_even(sum(target) / {BLOCK_WORDS}, 0) FROM cells) GROUP BY ALL
+), plans AS (
+  SELECT c.source, c.shard, greatest(ceil(c.words / {BLOCK_WORDS}.0)::BIGINT, 1) AS m, least(coalesce(g.quota, 0), {MOST} * ceil(c.words / {BLOCK_WORDS}.0)::BIGINT) AS quota,
+    ('0x' || substr(md5('{SEED}|' || coalesce(c.source, 'null') || '|' || c.shard), 1, 15))::BIGINT AS seed
+  FROM cells c LEFT JOIN given g ON c.source IS NOT DISTINCT FROM g.source AND c.shard = g.shard
+), placed AS (
+  SELECT *, seed % shards AS shard, sum(size) OVER (PARTITION BY source, seed % shards ORDER BY seed, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS b FROM rows_
+), spans AS (
+  SELECT p.*, p.b - p.size AS a, quota // m AS passes, l.seed % m * {BLOCK_WORDS} AS lo, l.seed % m * {BLOCK_WORDS} + quota % m * {BLOCK_WORDS} AS hi, m * {BLOCK_WORDS} AS ring
+  FROM placed p JOIN plans l ON p.source IS NOT DISTINCT FROM l.source AND p.shard = l.shard
+)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (passes * size + greatest(0, least(b, hi) - greatest(a, lo)) + greatest(0, least(b, hi - ring) - greatest(a, 0)))::BIGINT AS taken, source FROM spans
+"""

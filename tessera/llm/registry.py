@@ -10,7 +10,7 @@ from .bpe import op5_bpe
 from .licenses import op1_licenses
 from .line_crf import op4_line_crf
 from .line_dedup import op8_line_dedup
-from .mixing import op2_mixing
+from .mixing import OP2_SQL, op2_mixing
 from .quality_rules import op6_quality_rules
 from .secrets import op3_secrets
 from .simhash import op9_simhash
@@ -30,5 +30,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": op10_token_files,
 }
 ORACLES: dict[str, str] = {
+    "op2_mixing": OP2_SQL,
     "op7_topk": OP7_SQL,
 }
