@@ -61,7 +61,7 @@ def page_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def keyword_communities(spark: SparkSession, sf: str) -> DataFrame:
-    """Label propagation, where the reference maximises modularity greedily."""
+    """Label propagation; communities by modularity would need the whole graph in one place."""
     return G.communities(heavy(spark, sf))
 
 
