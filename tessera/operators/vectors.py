@@ -18,7 +18,12 @@ def neighbours(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     The stated queries are broadcast, so each point meets them where it lies, and
     only each task's rows go to the ranking by query.
     """
-    met = points.join(F.broadcast(queries), F.col("query_id") != F.col("vec_id")).withColumn("d", G.distance(F.col("q"), F.col("p")))
+    asked = queries.withColumn("qq", G.dot(F.col("q"), F.col("q")))
+    held = points.withColumn("pp", G.dot(F.col("p"), F.col("p")))
+    # norms are taken once a vector, so that a pair costs one inner product
+    gap = F.greatest(F.col("qq") + F.col("pp") - 2 * G.dot(F.col("q"), F.col("p")), F.lit(0.0))
+    d = F.acosh(F.greatest(F.lit(1.0), 1 + 2 * gap / F.greatest((1 - F.col("qq")) * (1 - F.col("pp")), F.lit(1e-12))))
+    met = held.join(F.broadcast(asked), F.col("query_id") != F.col("vec_id")).withColumn("d", d)
     w = Window.partitionBy("query_id").orderBy("d", "vec_id")
     return met.select("query_id", "vec_id", "d").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
