@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import collections
 import html.parser
 import itertools
 import re
@@ -241,21 +242,26 @@ def link_mentions(candidates: DataFrame, swaps: int = 5) -> DataFrame:
     score plus agreement (equal groups). candidates: doc_id, mention, candidate, score, group."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        by = {m: x.sort_values(["score", "candidate"], ascending=[False, True]).to_dict("records") for m, x in g.groupby("mention")}
+        by: dict[str, list[dict]] = {}
+        for m, less, c, group in sorted(zip(g["mention"], -g["score"], g["candidate"], g["group"], strict=True)):
+            by.setdefault(m, []).append({"candidate": c, "score": -less, "group": group})
         names, pick = sorted(by), {m: 0 for m in by}
+        groups = collections.Counter(by[m][0]["group"] for m in names)
 
-        def worth(p: dict) -> float:
-            chosen = [by[m][p[m]] for m in names]
-            counts = pd.Series([c["group"] for c in chosen]).value_counts()
-            return sum(c["score"] for c in chosen) + 0.1 * float((counts * (counts - 1) / 2).sum())
+        def gain(m: str, i: int) -> float:
+            """What a swap adds: its score, and the pairs that the new group gains and the old one loses."""
+            old, new = by[m][pick[m]], by[m][i]
+            pairs = 0 if old["group"] == new["group"] else groups[new["group"]] - (groups[old["group"]] - 1)
+            return round(new["score"] - old["score"] + 0.1 * pairs, 9)
 
-        best = worth(pick)
         for _ in range(swaps):
-            trials = [(worth(pick | {m: i}), m, i) for m in names for i in range(len(by[m])) if i != pick[m]]
-            top = max(trials, default=(best, "", 0), key=lambda t: (t[0], t[1], -t[2]))
-            if top[0] <= best + 1e-12:
+            trials = [(gain(m, i), m, i) for m in names for i in range(len(by[m])) if i != pick[m]]
+            most, m, i = max(trials, default=(0.0, "", 0), key=lambda t: (t[0], t[1], -t[2]))
+            if most <= 0:
                 break
-            best, pick[top[1]] = top[0], top[2]
+            groups[by[m][pick[m]]["group"]] -= 1
+            groups[by[m][i]["group"]] += 1
+            pick[m] = i
         return pd.DataFrame({"doc_id": [g["doc_id"].iloc[0]] * len(names), "mention": names, "candidate": [by[m][pick[m]]["candidate"] for m in names]})
 
     return candidates.groupBy("doc_id").applyInPandas(run, "doc_id long, mention string, candidate long")

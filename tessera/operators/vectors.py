@@ -12,18 +12,37 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 
 
-def neighbours(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """The k nearest points (vec_id, p) of each query (query_id, q): rows rank 1 to k.
+#: Queries that are broadcast at once; more of them meet the points in blocks of this size.
+BLOCK = 2000
+
 
-    The stated queries are broadcast, so each point meets them where it lies, and
-    only each task's rows go to the ranking by query.
+def distances(queries: DataFrame, points: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Distance d of each point (vec_id, p) from each stated query (query_id, q, and any more columns) other than itself.
+
+    Queries are counted first. Up to `block` of them are broadcast, so each point
+    meets them where it lies. Beyond that they are dealt to blocks, and points,
+    in cells, meet one block at a time by an equi-join; no side is broadcast.
     """
+    blocks = -(-queries.count() // block)
     asked = queries.withColumn("qq", G.dot(F.col("q"), F.col("q")))
     held = points.withColumn("pp", G.dot(F.col("p"), F.col("p")))
     # norms are taken once a vector, so that a pair costs one inner product
     gap = F.greatest(F.col("qq") + F.col("pp") - 2 * G.dot(F.col("q"), F.col("p")), F.lit(0.0))
     d = F.acosh(F.greatest(F.lit(1.0), 1 + 2 * gap / F.greatest((1 - F.col("qq")) * (1 - F.col("pp")), F.lit(1e-12))))
-    met = held.join(F.broadcast(asked), F.col("query_id") != F.col("vec_id")).withColumn("d", d)
+    if blocks <= 1:
+        return held.join(F.broadcast(asked), F.col("query_id") != F.col("vec_id")).withColumn("d", d)
+    cells = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = asked.withColumns({"__block": F.pmod(F.xxhash64("query_id"), F.lit(blocks)), "__cell": F.explode(F.sequence(F.lit(0), F.lit(cells - 1)).cast("array<bigint>"))})
+    held = held.withColumns({"__cell": F.pmod(F.xxhash64("vec_id"), F.lit(cells)), "__block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))})
+    return held.join(asked, ["__block", "__cell"]).where("query_id != vec_id").withColumn("d", d).drop("__block", "__cell")
+
+
+def neighbours(queries: DataFrame, points: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """The k nearest points (vec_id, p) of each query (query_id, q): rows rank 1 to k.
+
+    Each task keeps its best k per query before rows go to the ranking by query.
+    """
+    met = distances(queries, points, block)
     w = Window.partitionBy("query_id").orderBy("d", "vec_id")
     return met.select("query_id", "vec_id", "d").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -7,22 +7,22 @@ from pyspark.sql import functions as F
 
 from ..operators import blocks as B
 from ..operators import relational as R
-from .common import EDGES_SQL, FACTS_SQL, TOKENS_SQL, TRIPLES_SQL, edges, facts, points, tokens, triples
+from .common import EDGES_SQL, FACTS_SQL, SIDES_SQL, TOKENS_SQL, TRIPLES_SQL, edges, facts, opposed, points, tokens, triples
 from .registry import load, query
 
-CONTRA_SQL = f"""{FACTS_SQL}, f AS (SELECT * FROM facts WHERE doc_id < 100), c AS (
-  SELECT 'negation' AS kind, least(a.fact_id, b.fact_id) AS a, greatest(a.fact_id, b.fact_id) AS b FROM f a JOIN f b ON a.fact_type = b.fact_type AND a.canonical_value = b.canonical_value AND a.negation AND NOT b.negation
-  UNION ALL SELECT 'text', a.fact_id, b.fact_id FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.canonical_value = b.canonical_value AND a.fact_id < b.fact_id AND b.pos <= a.pos + 2 AND a.fact_text <> b.fact_text)"""
+CONTRA_SQL = f"""{FACTS_SQL}, {SIDES_SQL}, c AS (
+  SELECT 'negation' AS kind, f.fact_id AS a, s.strongest AS b, s.links FROM facts f JOIN sides s ON f.fact_type = s.fact_type AND f.canonical_value = s.canonical_value AND f.negation <> s.negation
+  UNION ALL SELECT 'text', a.fact_id, b.fact_id, 1 FROM facts a JOIN facts b ON a.doc_id = b.doc_id AND a.canonical_value = b.canonical_value AND a.fact_id < b.fact_id AND b.pos <= a.pos + 2 AND a.fact_text <> b.fact_text)"""
 
 
 def contradictions(spark: SparkSession, sf: str) -> DataFrame:
-    f = facts(spark, sf).where("doc_id < 100")
-    side = lambda c, n: f.where(c).select("fact_type", "canonical_value", F.col("fact_id").alias(n))
-    neg = side("negation", "x").join(side("NOT negation", "y"), ["fact_type", "canonical_value"]).select(F.lit("negation").alias("kind"), F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    """(kind, a, b, links). Negation: each opposed fact a with its strongest opponent b, one of `links`; text: neighbours of one value."""
+    f = facts(spark, sf)
+    neg = opposed(f).select(F.lit("negation").alias("kind"), F.col("fact_id").alias("a"), F.col("strongest").alias("b"), "links")
     # facts at most two places apart: each looks up the next two places, so no pair of a whole document is made
     left = f.select("doc_id", "canonical_value", F.col("fact_id").alias("a"), F.col("fact_text").alias("ta"), F.explode(F.array(F.col("pos") + 1, F.col("pos") + 2)).alias("pos"))
     near = left.join(f.select("doc_id", "canonical_value", "pos", F.col("fact_id").alias("b"), F.col("fact_text").alias("tb")), ["doc_id", "canonical_value", "pos"]).where("ta <> tb")
-    return neg.unionByName(near.select(F.lit("text").alias("kind"), "a", "b"))
+    return neg.unionByName(near.select(F.lit("text").alias("kind"), "a", "b", F.lit(1).cast("long").alias("links")))
 
 
 @query(f"WITH {CONTRA_SQL} SELECT * FROM c")
@@ -38,10 +38,10 @@ def contradiction_decisions(spark: SparkSession, sf: str) -> DataFrame:
     return contradictions(spark, sf).join(x, "a").join(y, "b").select("kind", "a", "b", decision.alias("decision"))
 
 
-@query(f"""WITH {FACTS_SQL}, l AS (SELECT f.fact_id, contains(d.text, f.fact_text) AS grounding, f.confidence >= 0.8 AS vericot, f.confidence >= 0.9 AS fidelis, f.confidence >= 0.7 AS rcot FROM facts f JOIN documents d USING (doc_id) WHERE f.doc_id < 60)
+@query(f"""WITH {FACTS_SQL}, l AS (SELECT f.fact_id, contains(d.text, f.fact_text) AS grounding, f.confidence >= 0.8 AS vericot, f.confidence >= 0.9 AS fidelis, f.confidence >= 0.7 AS rcot FROM facts f JOIN documents d USING (doc_id))
 SELECT fact_id, grounding, vericot, fidelis, rcot, round((grounding::INT + vericot::INT + fidelis::INT + rcot::INT) / 4.0, 4) AS ares FROM l""")
 def verification_layers(spark: SparkSession, sf: str) -> DataFrame:
-    f = facts(spark, sf).where("doc_id < 60").join(load(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    f = facts(spark, sf).join(load(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     layers = {"grounding": F.contains("text", F.col("fact_text")), "vericot": F.col("confidence") >= 0.8, "fidelis": F.col("confidence") >= 0.9, "rcot": F.col("confidence") >= 0.7}
     mean = sum((c.cast("int") for c in layers.values()), F.lit(0)) / 4
     return f.select("fact_id", *(c.alias(n) for n, c in layers.items()), F.round(mean, 4).alias("ares"))
@@ -108,10 +108,10 @@ def verified_documents(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").join(F.broadcast(k), "doc_id", "left_semi").select("doc_id", F.char_length("text").cast("long").alias("n"))
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND b.vec_id <= a.vec_id + 3 WHERE a.vec_id < 150")
+@query("SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND b.vec_id <= a.vec_id + 3")
 def contrastive_pairs(spark: SparkSession, sf: str) -> DataFrame:
     e = load(spark, sf, "embeddings").select("vec_id", "label")
-    a = e.where("vec_id < 150").select(F.col("vec_id").alias("a"), F.col("label").alias("la"), F.explode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + 3)).alias("b"))
+    a = e.select(F.col("vec_id").alias("a"), F.col("label").alias("la"), F.explode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + 3)).alias("b"))
     return a.join(e.select(F.col("vec_id").alias("b"), "label"), "b").select("a", "b", (F.col("la") == F.col("label")).alias("same"))
 
 
@@ -143,11 +143,11 @@ def process_gates(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("events"), F.max_by("role", "turn").alias("last_role"), gate.alias("gate"))
 
 
-@query(f"""WITH {FACTS_SQL}, g AS (SELECT fact_id AS item, CASE WHEN confidence < 0.05 THEN 'low confidence' WHEN negation THEN 'no relations' ELSE 'under-explored' END AS kind, confidence FROM facts WHERE doc_id < 50)
+@query(f"""WITH {FACTS_SQL}, g AS (SELECT fact_id AS item, CASE WHEN confidence < 0.05 THEN 'low confidence' WHEN negation THEN 'no relations' ELSE 'under-explored' END AS kind, confidence FROM facts)
 SELECT kind, item FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY confidence, item) AS r FROM g) WHERE r <= 5""")
 def gap_queue(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.when(F.col("confidence") < 0.05, "low confidence").when(F.col("negation"), "no relations").otherwise("under-explored")
-    g = facts(spark, sf).where("doc_id < 50").select(F.col("fact_id").alias("item"), kind.alias("kind"), "confidence")
+    g = facts(spark, sf).select(F.col("fact_id").alias("item"), kind.alias("kind"), "confidence")
     return R.top_by(g, ["kind"], [F.col("confidence"), F.col("item")], 5).select("kind", "item")
 
 
@@ -204,7 +204,7 @@ def quantisation_error(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def collective_links(spark: SparkSession, sf: str) -> DataFrame:
-    f = facts(spark, sf).where("doc_id < 80 AND pos < 4")
+    f = facts(spark, sf)
     c = f.select("doc_id", F.concat(F.lit("m"), F.col("pos")).alias("mention"), F.explode(F.array(F.col("fact_id"), F.col("fact_id") + 1)).alias("candidate"), "confidence")
     return B.link_mentions(c.select("doc_id", "mention", "candidate", ((F.col("candidate") * 13 % 10) / 10.0).alias("score"), (F.col("candidate") % 3).cast("string").alias("group")))
 

@@ -24,6 +24,8 @@ FACTS_SQL = """sentences AS (
     lower(regexp_extract(fact_text, '^[^\\s.,!?;:]+')) AS canonical_value,
     ((doc_id * 10000 + pos) % 7 = 0) AS negation, (doc_id * 10000 + pos) % 5 AS fact_type
   FROM cut WHERE length(fact_text) > 0)"""
+SIDES_SQL = """sides AS (
+  SELECT fact_type, canonical_value, negation, count(*) AS links, min(fact_id) AS first, first(fact_id ORDER BY confidence DESC, fact_id) AS strongest FROM facts GROUP BY ALL)"""
 EDGES_SQL = """edges AS (
   SELECT l_suppkey AS src, 1000000 + l_partkey AS dst, count(*) AS weight FROM lineitem GROUP BY ALL)"""
 TRIPLES_SQL = """triples AS (
@@ -57,6 +59,16 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def opposed(facts: DataFrame) -> DataFrame:
+    """Facts with what stands against them in their type and value: links (how many), first and strongest.
+
+    A side is summed up before it meets the other, so no pairs of a group are made.
+    """
+    strongest = F.min_by("fact_id", F.struct(-F.col("confidence"), "fact_id"))
+    sides = facts.groupBy("fact_type", "canonical_value", (~F.col("negation")).alias("negation")).agg(F.count("*").alias("links"), F.min("fact_id").alias("first"), strongest.alias("strongest"))
+    return facts.join(sides, ["fact_type", "canonical_value", "negation"])
+
+
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     """Supplier and part, weighted by line items; parts are numbered from 1,000,000."""
     items = load(spark, sf, "lineitem")

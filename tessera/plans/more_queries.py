@@ -27,25 +27,25 @@ def annotation_buckets(spark: SparkSession, sf: str) -> DataFrame:
     return a.select("doc_id", "bucket", F.posexplode("found").alias("n", "mention"))
 
 
-@query(rf"""WITH {FACTS_SQL}, w AS (SELECT fact_id, regexp_extract_all(lower(fact_text), '[a-z]+') AS w FROM facts WHERE doc_id < 100), p AS (SELECT fact_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS p, list_transform(range(1, len(w)), lambda i: CASE WHEN w[i] <> w[i + 1] THEN w[i + 1] || ' ' || w[i] END) AS b FROM w)
+@query(rf"""WITH {FACTS_SQL}, w AS (SELECT fact_id, regexp_extract_all(lower(fact_text), '[a-z]+') AS w FROM facts), p AS (SELECT fact_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS p, list_transform(range(1, len(w)), lambda i: CASE WHEN w[i] <> w[i + 1] THEN w[i + 1] || ' ' || w[i] END) AS b FROM w)
 SELECT fact_id FROM p WHERE len(list_intersect(p, b)) > 0""")
 def mirrored_phrases(spark: SparkSession, sf: str) -> DataFrame:
-    return facts(spark, sf).where("doc_id < 100").where(A.mirrored(F.col("fact_text"))).select("fact_id")
+    return facts(spark, sf).where(A.mirrored(F.col("fact_text"))).select("fact_id")
 
 
-@query(f"WITH {FACTS_SQL} SELECT fact_id, round(1 / (1 + exp(-(0.5 * confidence + 0.01 * length(fact_text) - 0.3 * (negation::INT) - 0.8))), 6) AS gate FROM facts WHERE doc_id < 200")
+@query(f"WITH {FACTS_SQL} SELECT fact_id, round(1 / (1 + exp(-(0.5 * confidence + 0.01 * length(fact_text) - 0.3 * (negation::INT) - 0.8))), 6) AS gate FROM facts")
 def gate_scores(spark: SparkSession, sf: str) -> DataFrame:
     g = A.gate_score([F.col("confidence"), F.char_length("fact_text"), F.col("negation").cast("int")], [0.5, 0.01, -0.3], -0.8)
-    return facts(spark, sf).where("doc_id < 200").select("fact_id", F.round(g, 6).alias("gate"))
+    return facts(spark, sf).select("fact_id", F.round(g, 6).alias("gate"))
 
 
 @query(rf"""WITH {FACTS_SQL} SELECT fact_id, left(trim(regexp_replace(fact_text, '\s+', ' ', 'g')), 200) AS span, array_to_string(list_slice(string_split(trim(regexp_replace(fact_text, '\s+', ' ', 'g')), ' '), 1, 4), ' ') AS short,
-round(confidence * CASE WHEN contains(fact_text, canonical_value) THEN 0.7 ELSE 1 END, 6) AS confidence FROM facts WHERE doc_id < 200""")
+round(confidence * CASE WHEN contains(fact_text, canonical_value) THEN 0.7 ELSE 1 END, 6) AS confidence FROM facts""")
 def cleaned_facts(spark: SparkSession, sf: str) -> DataFrame:
     """Spans capped at 200 characters and shortened to four words; verbatim ones lose confidence."""
     span = F.trim(F.regexp_replace("fact_text", r"\s+", " "))
     c = F.col("confidence") * F.when(F.contains("fact_text", F.col("canonical_value")), 0.7).otherwise(1.0)
-    return facts(spark, sf).where("doc_id < 200").select("fact_id", F.substring(span, 1, 200).alias("span"), F.array_join(F.slice(F.split(span, " "), 1, 4), " ").alias("short"), F.round(c, 6).alias("confidence"))
+    return facts(spark, sf).select("fact_id", F.substring(span, 1, 200).alias("span"), F.array_join(F.slice(F.split(span, " "), 1, 4), " ").alias("short"), F.round(c, 6).alias("confidence"))
 
 
 @query(f"""WITH {FACTS_SQL}, s AS (SELECT fact_id, confidence + 0.25 * len(list_intersect(string_split(fact_text, ' '), ['the', 'and'])) / 2 + 0.05 * len(list_intersect(string_split(fact_text, ' '), ['of'])) AS score FROM facts)
@@ -80,11 +80,11 @@ def alias_ranking(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "supplier").select("s_suppkey", F.round(F.coalesce(score, F.lit(0.5)), 6).alias("score"))
 
 
-@query(f"""WITH {FACTS_SQL}, d AS (SELECT doc_id, lower(trim(fact_text)) AS k, max(confidence) AS confidence, min(fact_id) AS pos, any_value(length(trim(fact_text))) AS n FROM facts WHERE doc_id < 50 GROUP BY 1, 2),
+@query(f"""WITH {FACTS_SQL}, d AS (SELECT doc_id, lower(trim(fact_text)) AS k, max(confidence) AS confidence, min(fact_id) AS pos, any_value(length(trim(fact_text))) AS n FROM facts GROUP BY 1, 2),
 u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS tag, sum(n + 5) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS used FROM d) SELECT doc_id, 'S' || tag AS tag, pos, confidence FROM u WHERE used <= 800""")
 def tagged_context(spark: SparkSession, sf: str) -> DataFrame:
     """Facts without duplicates, tagged S1, S2, ... until the budget of characters is used."""
-    f = facts(spark, sf).where("doc_id < 50").withColumn("k", F.lower(F.trim("fact_text")))
+    f = facts(spark, sf).withColumn("k", F.lower(F.trim("fact_text")))
     d = f.groupBy("doc_id", "k").agg(F.max("confidence").alias("confidence"), F.min("fact_id").alias("pos"), F.max(F.char_length(F.trim("fact_text"))).alias("n"))
     w = Window.partitionBy("doc_id").orderBy("pos")
     u = d.withColumns({"tag": F.concat(F.lit("S"), F.row_number().over(w)), "used": F.sum(F.col("n") + 5).over(w.rowsBetween(Window.unboundedPreceding, 0))})
@@ -110,11 +110,11 @@ def conversation_selection(spark: SparkSession, sf: str) -> DataFrame:
     return d.join(near, "conv_id").where("d <= radius").select("conv_id", "turn")
 
 
-@query(f"""WITH {FACTS_SQL}, a AS (SELECT fact_id, doc_id, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(fact_text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 1)) AS w FROM facts WHERE doc_id < 40 AND pos = 1),
+@query(f"""WITH {FACTS_SQL}, a AS (SELECT fact_id, doc_id, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(fact_text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 1)) AS w FROM facts WHERE pos = 1),
 c AS (SELECT doc_id, list_distinct(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+')) AS w FROM documents) SELECT fact_id, len(a.w) > 0 AND len(list_intersect(a.w, c.w))::DOUBLE / greatest(len(a.w), 1) >= 0.8 AS faithful FROM a JOIN c USING (doc_id)""")
 def faithfulness(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether a context holds at least 0.8 of an answer's tokens."""
-    a = facts(spark, sf).where("doc_id < 40 AND pos = 1").select("fact_id", "doc_id", F.array_distinct(T.tokenize(F.col("fact_text"), ("",))).alias("w"))
+    """Whether a context holds at least 0.8 of an answer's tokens; each document's second sentence stands for its answer."""
+    a = facts(spark, sf).where("pos = 1").select("fact_id", "doc_id", F.array_distinct(T.tokenize(F.col("fact_text"), ("",))).alias("w"))
     c = load(spark, sf, "documents").select("doc_id", F.array_distinct(T.tokenize(F.col("text"), ("",))).alias("cw"))
     share = F.size(F.array_intersect("w", "cw")) / F.greatest(F.size("w"), F.lit(1))
     return a.join(c, "doc_id").select("fact_id", ((F.size("w") > 0) & (share >= 0.8)).alias("faithful"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
-from .common import EDGES_SQL, FACTS_SQL, TOKENS_SQL, TRIPLES_SQL, edges, facts, tokens, triples
+from .common import EDGES_SQL, FACTS_SQL, SIDES_SQL, TOKENS_SQL, TRIPLES_SQL, edges, facts, opposed, tokens, triples
 from .registry import load, query
 
 
@@ -50,11 +50,11 @@ def coerced_confidence(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("o_orderkey", F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)).alias("confidence"))
 
 
-@query(f"""WITH {FACTS_SQL} SELECT f.fact_id, position(left(f.fact_text, 30) IN d.text) - 1 AS start FROM facts f JOIN documents d USING (doc_id) WHERE f.doc_id % 5 = 0""")
+@query(f"""WITH {FACTS_SQL} SELECT f.fact_id, position(f.fact_text IN d.text) - 1 AS start FROM facts f JOIN documents d USING (doc_id)""")
 def grounded_spans(spark: SparkSession, sf: str) -> DataFrame:
-    f = facts(spark, sf).where("doc_id % 5 = 0")
+    f = facts(spark, sf)
     d = load(spark, sf, "documents").select("doc_id", "text")
-    return f.join(d, "doc_id").select("fact_id", (F.expr("instr(text, left(fact_text, 30))") - 1).cast("long").alias("start"))
+    return f.join(d, "doc_id").select("fact_id", (F.expr("instr(text, fact_text)") - 1).cast("long").alias("start"))
 
 
 @query("SELECT conv_id, turn, text FROM conversations WHERE (conv_id % 3 = 0 AND conv_id = 9) OR conv_id % 3 = 1 OR (conv_id % 3 = 2 AND role IN ('user'))")
@@ -89,23 +89,20 @@ def node_degrees(spark: SparkSession, sf: str) -> DataFrame:
     return n.join(d, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-@query("""SELECT a.ps AS subject, a.pk AS object_a, b.pk AS object_b FROM (SELECT DISTINCT l_suppkey AS ps, l_partkey AS pk FROM lineitem WHERE l_suppkey <= 5) a
-JOIN (SELECT DISTINCT l_suppkey AS ps, l_partkey AS pk FROM lineitem WHERE l_suppkey <= 5) b ON a.ps = b.ps AND a.pk < b.pk AND b.pk <= a.pk + 3""")
+@query("""SELECT a.ps AS subject, a.pk AS object_a, b.pk AS object_b FROM (SELECT DISTINCT l_suppkey AS ps, l_partkey AS pk FROM lineitem) a
+JOIN (SELECT DISTINCT l_suppkey AS ps, l_partkey AS pk FROM lineitem) b ON a.ps = b.ps AND a.pk < b.pk AND b.pk <= a.pk + 3""")
 def conflicting_objects(spark: SparkSession, sf: str) -> DataFrame:
-    x = load(spark, sf, "lineitem").where("l_suppkey <= 5").select(F.col("l_suppkey").alias("subject"), F.col("l_partkey").alias("object_a")).distinct()
+    x = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("subject"), F.col("l_partkey").alias("object_a")).distinct()
     # the distance of objects makes the join key finer: the bucket of b is a's or the next one
     y = x.select(F.col("subject"), F.col("object_a").alias("object_b")).withColumn("bucket", F.floor(F.col("object_b") / 4))
     left = x.withColumn("bucket", F.explode(F.array(F.floor(F.col("object_a") / 4), F.floor(F.col("object_a") / 4) + 1)))
     return left.join(y, ["subject", "bucket"]).where("object_a < object_b AND object_b <= object_a + 3").select("subject", "object_a", "object_b")
 
 
-@query(f"""WITH {FACTS_SQL}, f AS (SELECT * FROM facts WHERE doc_id < 150)
-SELECT a.fact_id AS a, b.fact_id AS b FROM f a JOIN f b ON a.fact_type = b.fact_type AND a.canonical_value = b.canonical_value AND a.fact_id < b.fact_id WHERE a.negation <> b.negation""")
+@query(f"""WITH {FACTS_SQL}, {SIDES_SQL} SELECT f.fact_id, s.first AS opposed_to, s.links FROM facts f JOIN sides s ON f.fact_type = s.fact_type AND f.canonical_value = s.canonical_value AND f.negation <> s.negation""")
 def opposed_facts(spark: SparkSession, sf: str) -> DataFrame:
-    f = facts(spark, sf).where("doc_id < 150").select("fact_id", "fact_type", "canonical_value", "negation")
-    # only opposite sides meet: no pair of equal sides is ever made
-    yes, no = (f.where(c).select("fact_type", "canonical_value", F.col("fact_id").alias(n)) for c, n in (("negation", "x"), ("NOT negation", "y")))
-    return yes.join(no, ["fact_type", "canonical_value"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    """Each fact that others of its type and value oppose: the first of them, and how many there are."""
+    return opposed(facts(spark, sf)).select("fact_id", F.col("first").alias("opposed_to"), "links")
 
 
 @query("SELECT o_orderstatus AS status, count(*) AS n, sum(o_totalprice)::DOUBLE AS total FROM orders GROUP BY o_orderstatus")
@@ -250,8 +247,8 @@ def context_budget(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "conversations").withColumn("used", F.sum(F.char_length("text")).over(w)).where("used <= 600").select("conv_id", "turn")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') ORDER BY o_orderkey LIMIT 100")
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def skip_processed(spark: SparkSession, sf: str) -> DataFrame:
     o = load(spark, sf, "orders")
     ledger = o.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "processed").otherwise("error").alias("status"))
-    return R.not_yet_done(o.select("o_orderkey"), ledger, "o_orderkey").orderBy("o_orderkey").limit(100)
+    return R.not_yet_done(o.select("o_orderkey"), ledger, "o_orderkey")

@@ -64,18 +64,18 @@ def normal_mentions(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "part").select("p_partkey", T.mention(F.col("p_name")).alias("mention"), T.normal_name(F.col("p_name")).alias("name"))
 
 
-@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders WHERE o_orderkey % 50 = 1""")
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders""")
 def normal_dates(spark: SparkSession, sf: str) -> DataFrame:
     written = F.date_format("o_orderdate", "MMMM d, yyyy")
-    return load(spark, sf, "orders").where("o_orderkey % 50 = 1").select("o_orderkey", T.normal_date(written).alias("iso"))
+    return load(spark, sf, "orders").select("o_orderkey", T.normal_date(written).alias("iso"))
 
 
 @query(f"""WITH {FACTS_SQL}, q AS (SELECT ['thatst', 'reand', 'eration', 'tion'] AS w),
-t AS (SELECT fact_id, list_filter(regexp_split_to_array(regexp_replace(lower(fact_text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda x: length(x) > 1 AND x NOT IN {STOP_SQL}) AS w FROM facts WHERE doc_id % 10 = 0 AND pos < 3),
+t AS (SELECT fact_id, list_filter(regexp_split_to_array(regexp_replace(lower(fact_text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda x: length(x) > 1 AND x NOT IN {STOP_SQL}) AS w FROM facts),
 s AS (SELECT fact_id, list_distinct(t.w || q.w) AS u, list_intersect(t.w, q.w) AS i FROM t, q)
 SELECT fact_id, round(coalesce(list_sum(list_transform(i, lambda x: ln(1 + 10000.0 / (1 + 10.0 * length(x))))), 0) / list_sum(list_transform(u, lambda x: ln(1 + 10000.0 / (1 + 10.0 * length(x))))), 6) AS jaccard FROM s""")
 def weighted_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    f = facts(spark, sf).where("doc_id % 10 = 0 AND pos < 3")
+    f = facts(spark, sf)
     q = F.array(*map(F.lit, ["thatst", "reand", "eration", "tion"]))
     return f.select("fact_id", F.round(T.weighted_jaccard(T.tokenize(F.col("fact_text")), q), 6).alias("jaccard"))
 
@@ -93,11 +93,11 @@ def redacted_documents(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", F.md5("t").alias("digest"), *(hits(f"[{m}]").alias(m.lower()) for m in ("CARD", "SSN", "EMAIL", "PHONE")))
 
 
-@query(r"""WITH d AS (SELECT o_orderkey, lpad((o_orderkey * 7919 % 100000000)::VARCHAR, 8, '0') AS digits FROM orders WHERE o_orderkey % 20 = 0),
+@query(r"""WITH d AS (SELECT o_orderkey, lpad((o_orderkey * 7919 % 100000000)::VARCHAR, 8, '0') AS digits FROM orders),
 x AS (SELECT o_orderkey, digits, list_transform(range(1, 9), lambda i: CASE WHEN (8 - i) % 2 = 1 THEN CASE WHEN digits[i]::INT > 4 THEN digits[i]::INT * 2 - 9 ELSE digits[i]::INT * 2 END ELSE digits[i]::INT END) AS v FROM d)
 SELECT o_orderkey, digits, list_sum(v) % 10 = 0 AS ok FROM x""")
 def luhn_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    d = load(spark, sf, "orders").where("o_orderkey % 20 = 0").select("o_orderkey", F.lpad((F.col("o_orderkey") * 7919 % 100000000).cast("string"), 8, "0").alias("digits"))
+    d = load(spark, sf, "orders").select("o_orderkey", F.lpad((F.col("o_orderkey") * 7919 % 100000000).cast("string"), 8, "0").alias("digits"))
     return d.withColumn("ok", T.luhn(F.col("digits")))
 
 
@@ -144,12 +144,12 @@ def triples_from_text(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "supplier").select("s_suppkey", T.triple(text).alias("t")).select("s_suppkey", "t.*")
 
 
-@query(f"""WITH {FACTS_SQL} SELECT fact_id, CASE WHEN fact_type = 0 THEN 'ASSERTED' WHEN fact_type = 1 THEN 'OBSERVED' WHEN fact_type = 2 THEN CASE WHEN pos > 0 THEN 'OBSERVED' ELSE 'INFERRED' END WHEN fact_type = 3 THEN 'INFERRED' ELSE 'REPUTED' END AS truth FROM facts WHERE doc_id < 100""")
+@query(f"""WITH {FACTS_SQL} SELECT fact_id, CASE WHEN fact_type = 0 THEN 'ASSERTED' WHEN fact_type = 1 THEN 'OBSERVED' WHEN fact_type = 2 THEN CASE WHEN pos > 0 THEN 'OBSERVED' ELSE 'INFERRED' END WHEN fact_type = 3 THEN 'INFERRED' ELSE 'REPUTED' END AS truth FROM facts""")
 def truth_classes(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("fact_type")
     status = F.when(t == 0, "admin_claim").when(t == 1, "verified_true").otherwise("")
     checked = F.when(t == 3, "verified").otherwise("")
-    return facts(spark, sf).where("doc_id < 100").select("fact_id", T.truth_class(status, F.lit(""), t == 2, F.when(F.col("pos") > 0, F.lit("span")), checked).alias("truth"))
+    return facts(spark, sf).select("fact_id", T.truth_class(status, F.lit(""), t == 2, F.when(F.col("pos") > 0, F.lit("span")), checked).alias("truth"))
 
 
 @query("""SELECT c_custkey, sha256(c_name || chr(0) || c_nationkey || chr(0) || coalesce(c_mktsegment, '')) AS material FROM customer""")

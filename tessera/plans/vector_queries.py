@@ -29,12 +29,12 @@ def adjacent_cosines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 KNN_SQL = f"""{POINTS_SQL}, near AS (SELECT * FROM (SELECT query_id, vec_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM (
-  SELECT q.vec_id AS query_id, c.vec_id, {distance_sql('q.p', 'c.p')} AS d FROM points q JOIN points c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)) WHERE rank <= 10)"""
+  SELECT q.vec_id AS query_id, c.vec_id, {distance_sql('q.p', 'c.p')} AS d FROM points q JOIN points c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)) WHERE rank <= 10)"""
 
 
 def near(spark: SparkSession, sf: str) -> DataFrame:
     p = points(spark, sf)
-    q = p.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("p").alias("q"))
+    q = p.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("p").alias("q"))
     return V.neighbours(q, p, 10)
 
 
@@ -53,16 +53,15 @@ def neighbour_radii(spark: SparkSession, sf: str) -> DataFrame:
 def radius_filter(spark: SparkSession, sf: str) -> DataFrame:
     p, r = points(spark, sf), V.radius(near(spark, sf))
     q = p.join(r, p.vec_id == r.query_id).select("query_id", F.col("p").alias("q"), "radius")
-    met = p.join(F.broadcast(q), F.col("query_id") != F.col("vec_id"))
-    return met.where(G.distance(F.col("q"), F.col("p")) <= F.col("radius")).groupBy("query_id").agg(F.count("*").alias("inside"))
+    return V.distances(q, p).where(F.col("d") <= F.col("radius")).groupBy("query_id").agg(F.count("*").alias("inside"))
 
 
-@query("SELECT event_id, round(exp(-0.0001 * date_diff('microsecond', ts, (SELECT max(ts) FROM events)) / 1e6), 6) AS weight FROM events WHERE event_id % 50 = 0")
+@query("SELECT event_id, round(exp(-0.0001 * date_diff('microsecond', ts, (SELECT max(ts) FROM events)) / 1e6), 6) AS weight FROM events")
 def decayed_events(spark: SparkSession, sf: str) -> DataFrame:
     e = load(spark, sf, "events")
     last = F.broadcast(e.agg(F.max("ts").alias("last")))
     age = (F.unix_micros(F.col("last").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6
-    return e.where("event_id % 50 = 0").crossJoin(last).select("event_id", F.round(G.decay(age), 6).alias("weight"))
+    return e.crossJoin(last).select("event_id", F.round(G.decay(age), 6).alias("weight"))
 
 
 @query("SELECT a.n_nationkey AS a, b.n_nationkey AS b, round(1 / (1 + sqrt(pow((a.n_nationkey * 7.0 - b.n_nationkey * 7.0) * cos(radians((a.n_regionkey * 15.0 + b.n_regionkey * 15.0) / 2)), 2) + pow(a.n_regionkey * 15.0 - b.n_regionkey * 15.0, 2)) / 45), 6) AS s FROM nation a JOIN nation b ON b.n_nationkey = (a.n_nationkey + 1) % 25")
@@ -102,21 +101,22 @@ def leader_groups(spark: SparkSession, sf: str) -> DataFrame:
     return g.groupBy("leader").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {POINTS_SQL}, s AS (SELECT * FROM points WHERE vec_id % 50 = 0), f AS (SELECT * FROM points WHERE vec_id % 5 = 1),
+@query(f"""WITH {POINTS_SQL}, s AS (SELECT * FROM points WHERE vec_id % 50 = 0), f AS (SELECT * FROM points WHERE vec_id % 50 <> 0),
 d AS (SELECT f.vec_id, min(1 / (1 + {distance_sql('f.p', 's.p')})) AS lo, max(1 / (1 + {distance_sql('f.p', 's.p')})) AS best FROM f, s GROUP BY f.vec_id),
 q AS (SELECT quantile_cont(best, 0.75) AS hi, quantile_cont(best, 0.25) AS low FROM d)
 SELECT vec_id, round(best, 3) AS best, CASE WHEN best >= hi THEN 'aligned' WHEN best < low THEN 'disputed' ELSE 'open' END AS verdict FROM d, q""")
 def standards_audit(spark: SparkSession, sf: str) -> DataFrame:
-    """Each fact's most similar standard; the top quarter is aligned, the bottom one disputed."""
+    """Rows divisible by 50 are the standards, all others facts. Each fact's most similar standard; the top quarter is aligned, the bottom one disputed."""
     p = points(spark, sf)
-    s = F.broadcast(p.where("vec_id % 50 = 0").select(F.col("p").alias("q")))
-    d = p.where("vec_id % 5 = 1").join(s).groupBy("vec_id").agg(F.max(G.similarity(G.distance(F.col("p"), F.col("q")))).alias("best"))
+    s = p.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("p").alias("q"))
+    met = V.distances(s, p.where("vec_id % 50 != 0"))
+    d = met.groupBy("vec_id").agg(F.min("d").alias("d")).select("vec_id", G.similarity(F.col("d")).alias("best"))
     q = F.broadcast(d.agg(F.percentile("best", 0.75).alias("hi"), F.percentile("best", 0.25).alias("low")))
     verdict = F.when(F.col("best") >= F.col("hi"), "aligned").when(F.col("best") < F.col("low"), "disputed").otherwise("open")
     return d.join(q).select("vec_id", F.round("best", 3).alias("best"), verdict.alias("verdict"))
 
 
-@query(f"WITH {POINTS_SQL}, d AS (SELECT vec_id, 2 * atanh(sqrt(list_inner_product(p, p))) AS depth FROM points) SELECT vec_id, round(depth, 3) AS depth FROM d ORDER BY vec_id LIMIT 100")
+@query(f"WITH {POINTS_SQL}, d AS (SELECT vec_id, 2 * atanh(sqrt(list_inner_product(p, p))) AS depth FROM points) SELECT vec_id, round(depth, 3) AS depth FROM d")
 def curriculum(spark: SparkSession, sf: str) -> DataFrame:
     """Depth from the origin, which orders what is learnt first."""
-    return points(spark, sf).select("vec_id", F.round(G.distance(F.col("p"), F.transform("p", lambda x: x * 0.0)), 3).alias("depth")).orderBy("vec_id").limit(100)
+    return points(spark, sf).select("vec_id", F.round(G.distance(F.col("p"), F.transform("p", lambda x: x * 0.0)), 3).alias("depth"))

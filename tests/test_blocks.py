@@ -187,3 +187,33 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT chunk FROM text_chunks('one. two.', 2000, 200)").first()["chunk"] == "one. two."
     assert {r.kind for r in spark.sql("SELECT * FROM code_graph('import os')").collect()} == {"import"}
     assert spark.sql("SELECT isotonic(array(3D, 1D)) AS x").first()["x"] == [2.0, 2.0]
+
+
+def test_blocked_distances_and_opposed_facts(spark):
+    from tessera.operators import vectors
+    from tessera.plans.common import opposed
+
+    rng = np.random.default_rng(3)
+    p = spark.createDataFrame([(i, (rng.standard_normal(4) * 0.2).tolist()) for i in range(60)], "vec_id long, p array<double>")
+    q = p.where("vec_id % 3 = 0").select(p.vec_id.alias("query_id"), p.p.alias("q"))
+    near = lambda block: {tuple(r) for r in vectors.neighbours(q, p, 5, block).select("query_id", "vec_id", "rank").collect()}
+    assert near(4) == near(2000)
+    assert vectors.distances(q.limit(0), p).count() == 0
+    f = [(1, 0, "x", True, 0.5), (2, 0, "x", False, 0.1), (3, 0, "x", False, 0.9), (4, 0, "y", True, 0.2), (5, 1, "x", True, 0.2)]
+    got = opposed(spark.createDataFrame(f, "fact_id long, fact_type int, canonical_value string, negation boolean, confidence double"))
+    assert {tuple(r) for r in got.select("fact_id", "links", "first", "strongest").collect()} == {(1, 2, 2, 3), (2, 1, 1, 1), (3, 1, 1, 1)}
+
+
+def test_collective_links_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = [(1, f"m{m}", int(c), float(rng.integers(0, 4)) / 10, str(rng.integers(0, 2))) for m in range(4) for c in range(2)]
+    got = B.link_mentions(spark.createDataFrame(rows, "doc_id long, mention string, candidate long, score double, group string"), swaps=50)
+    pick = {r["mention"]: r["candidate"] for r in got.collect()}
+    by = {(m, c): (s, g) for _, m, c, s, g in rows}
+
+    def worth(p):
+        chosen = [by[m, c] for m, c in p.items()]
+        return sum(s for s, _ in chosen) + 0.1 * sum(a[1] == b[1] for i, a in enumerate(chosen) for b in chosen[:i])
+
+    # no single swap is better
+    assert all(worth(pick | {m: c}) <= worth(pick) + 1e-9 for m, c in by)
