@@ -229,3 +229,9 @@ def material_hash(*fields: Column) -> Column:
 def strip_thinking(c: Column) -> Column:
     """A model's answer without its thinking and code fences."""
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"(?s)<think>.*?</think>", ""), r"(?m)^```\w*\s*$", ""))
+
+
+def first_json(c: Column) -> Column:
+    """The JSON from the first bracket of a model's answer to the last, without thinking; curly quotes and trailing commas are mended. Empty where there is none."""
+    found = F.regexp_extract(strip_thinking(c), r"(?s)[{\[].*[}\]]", 0)
+    return F.regexp_replace(F.translate(found, "\u201c\u201d", '""'), r",(\s*[}\]])", "$1")

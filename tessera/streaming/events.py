@@ -70,7 +70,38 @@ def drain(stream: DataFrame, name: str, mode: str = "append", each: Callable[[Da
     return spark.read.schema(stream.schema).parquet(f"{base}/out/batch=*")
 
 
+def centroids(stream: DataFrame, key: str, value: str, keep: float = 0.9) -> DataFrame:
+    """(key, centroid) after all that is there: each mini-batch leaves a centroid `keep` of itself and adds the rest of the batch's mean.
+
+    State is a table per batch in the shared folder, made from the one before; a
+    batch that runs again writes the same table again. Nothing comes to the driver.
+    """
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/centroids-{uuid.uuid4().hex}"
+    kind = stream.schema[key].dataType.simpleString()
+    last = -1
+
+    def read(session: SparkSession, n: int) -> DataFrame:
+        return session.read.schema(f"{key} {kind}, centroid double").parquet(f"{base}/state/batch={n}")
+
+    def put(batch: DataFrame, n: int) -> None:
+        nonlocal last
+        means = batch.groupBy(key).agg(F.avg(value).cast("double").alias("m"))
+        out = means.withColumnRenamed("m", "centroid")
+        if n:
+            moved = F.when(F.col("m").isNull(), F.col("centroid")).when(F.col("centroid").isNull(), F.col("m")).otherwise(keep * F.col("centroid") + (1 - keep) * F.col("m"))
+            out = read(batch.sparkSession, n - 1).join(means, key, "full").select(key, moved.alias("centroid"))
+        out.write.mode("overwrite").parquet(f"{base}/state/batch={n}")
+        last = n
+
+    q = stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return read(spark, last) if last >= 0 else spark.createDataFrame([], f"{key} {kind}, centroid double")
+
+
 def refresh_centroids(batch: DataFrame, centroids: dict[str, float], keep: float = 0.9) -> dict[str, float]:
-    """Mini-batch update: a centroid keeps 0.9 of itself and takes 0.1 of the batch's mean."""
+    """Mini-batch update of a few centroids on the driver: each keeps 0.9 of itself and takes 0.1 of the batch's mean."""
     means = {r["event_type"]: r["m"] for r in batch.groupBy("event_type").agg(F.avg("value").alias("m")).collect()}
     return centroids | {k: keep * centroids[k] + (1 - keep) * m if k in centroids else m for k, m in means.items()}

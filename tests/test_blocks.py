@@ -217,3 +217,36 @@ def test_collective_links_against_brute_force(spark):
 
     # no single swap is better
     assert all(worth(pick | {m: c}) <= worth(pick) + 1e-9 for m, c in by)
+
+
+def test_pruned_neighbours_are_exact(spark):
+    from tessera.operators import vectors
+
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((5, 4)) * 0.3
+    x = [(centres[i % 5] + rng.standard_normal(4) * 0.05) for i in range(120)] + [centres[0]] * 4
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, p array<double>")
+    q = p.where("vec_id % 4 = 0").select(p.vec_id.alias("query_id"), p.p.alias("q"))
+    rows = lambda df: {(r["query_id"], r["rank"]): round(r["d"], 6) for r in df.collect()}
+    want = rows(vectors.neighbours(q, p, 6))
+    assert rows(vectors.pruned_neighbours(q, p, 6, pivots=5)) == want
+    assert rows(vectors.pruned_neighbours(q, p, 6, pivots=40)) == want
+    assert vectors.pruned_neighbours(q, p.limit(0), 6).count() == 0
+
+
+def test_first_json(spark):
+    cases = {'<think>{"a": 0}</think> {"a": 1,}': '{"a": 1}', "none": "", "x [1, 2, ] y": "[1, 2 ]", "“a” {“a”: 2}": '{"a": 2}'}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r["t"]: r["j"] for r in df.select("t", T.first_json(F.col("t")).alias("j")).collect()} == cases
+
+
+def test_centroid_stream_over_two_batches(spark, tmp_path):
+    def put(name, rows):
+        spark.createDataFrame([(k, v, datetime(2024, 1, 1)) for k, v in rows], "k string, v double, ts timestamp").coalesce(1).write.parquet(str(tmp_path / name))
+
+    put("a", [("x", 1.0), ("x", 3.0), ("y", 5.0)])
+    like = spark.read.parquet(str(tmp_path / "a"))
+    got = lambda: {r["k"]: round(r["centroid"], 9) for r in events.centroids(events.source(spark, str(tmp_path / "*"), like, files=1), "k", "v").collect()}
+    assert got() == {"x": 2.0, "y": 5.0}
+    put("b", [("x", 4.0), ("z", 7.0)])
+    assert got() == {"x": round(0.9 * 2 + 0.1 * 4, 9), "y": 5.0, "z": 7.0}
