@@ -16,8 +16,9 @@ that one line alone has are dropped, and texts are fetched for the rest.
 
 Hot segments: where more than HOT lines share a key, no pairs are made. The shared
 segment is cut out and the rest of the lines is joined in the same way within the
-key, as often as needed: what is left shrinks by a half each time, and lines that
-agree in all but a character or two are few. So no group is paired off at large, and
+key, as often as needed: what is left shrinks each time, until an index row has EDITS
+characters or fewer. It then meets all rests of its key, which are up to EDITS longer:
+lines that agree in all but so little are few. So no group is paired off at large, and
 no link is lost.
 
 Check: banded bit-parallel edit distance. One register of 2 * EDITS + 1 bits for each
@@ -97,9 +98,9 @@ def shared(rows: DataFrame) -> DataFrame:
     return rows.join(counts, F.col("key") == F.col("k")).drop("k")
 
 
-def paired(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of an index row and another one of the same key, which few rows have."""
-    left = rows.where("own").select("key", F.col("h1").alias("a"))
+def paired(rows: DataFrame, which: Column | None = None) -> DataFrame:
+    """Pairs (a, b) of an index row (of those for which `which` holds) and another one of the same key, which few rows have."""
+    left = rows.where(F.col("own") if which is None else F.col("own") & which).select("key", F.col("h1").alias("a"))
     right = rows.select("key", F.col("h1").alias("b"))
     return left.join(right, "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
@@ -189,12 +190,13 @@ def near_links(docs: DataFrame, distinct: DataFrame, least: int, edits: int) ->
         cutout = hot.withColumns({"__b": begin, "__s": length})
         cutout = cutout.select("h1", "own", F.col("key").alias("parent"), F.concat(F.substring("rest", F.lit(1), F.col("__b")), F.substring(F.col("rest"), F.col("__b") + F.col("__s") + 1, F.lit(1 << 30))).alias("rest"))
         cutout = durable(cutout.distinct().withColumn("len", F.char_length("rest")), "line-rest")
-        # hardly anything is left: lines of a parent differ in a few characters, so there are few
-        pairs = pairs.unionAll(paired(cutout.where(F.col("len") <= edits + 1).withColumn("key", F.col("parent"))))
-        again = exploded(cutout.where(F.col("len") > 0), segment_keys(F.col("rest"), F.col("len"), edits, F.col("parent")), ["h1", "rest", "len"], F.col("own"), edits)
+        # index rests of a parent are equally long; those too short to be cut meet the rests that are up to so many edits longer
+        ends = cutout.where(F.col("len") <= 2 * edits).withColumn("key", F.col("parent"))
+        pairs = pairs.unionAll(paired(ends, F.col("len") <= edits))
+        again = exploded(cutout.where(F.col("len") > edits), segment_keys(F.col("rest"), F.col("len"), edits, F.col("parent")), ["h1", "rest", "len"], F.col("own"), edits)
         level = durable(shared(again), "line-again")
         pairs = pairs.unionAll(paired(level.where(F.col("n") <= HOT)))
-        hot = level.where((F.col("n") > HOT) & (F.col("len") > edits + 1)).drop("len", "n")
+        hot = level.where(F.col("n") > HOT).drop("len", "n")
     pairs = durable(pairs.distinct(), "line-pairs")
     t = lambda x: texts.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("line").alias(f"{x}t"))
     both = pairs.join(t("a"), F.col("a") == F.col("a1")).join(t("b"), F.col("b") == F.col("b1"))

@@ -369,6 +369,17 @@ def test_line_dedup(spark, hot, monkeypatch):
     assert got == brute_lines(table)
 
 
+def test_numbered_lines_keep_all_links(spark):
+    """Hot keys whose lines differ in length: 'page 1' and 'page 10' are linked."""
+    lines = [f"Continued on page {k}" for k in range(300)]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+    got = {x.doc_id: sum(y["links"] for y in x.linked or []) for x in line_dedup.dedup_lines(df).select("doc_id", F.col("__linked").alias("linked")).collect()}
+    short = lambda x: {x[:i] + x[i + 1 :] for i in range(len(x))}
+    number = [str(k) for k in range(300)]
+    linked = lambda x, y: x != y and (x in short(y) or y in short(x) or len(x) == len(y) and sum(a != b for a, b in zip(x, y, strict=True)) == 1)
+    assert got == {k: sum(linked(x, y) for y in number) for k, x in enumerate(number)}
+
+
 def test_line_stage(docs, empty):
     out = line_dedup.keep_lines(docs)
     assert out.columns == docs.columns and out.count() == len(rows())
