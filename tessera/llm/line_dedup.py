@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import durable, load, masked, unmasked
+from .components import components
 
 LEAST_CHARS, EDITS, HOT, STEP = 16, 1, 64, 32
 #: Places within a document; doc_id * PLACES + place orders lines.
@@ -47,6 +48,8 @@ PLACES = 10**10
 #: Up to so many documents, the ids of those whose lines are to be compared are broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
 LAST = (1 << 63) - 1
+#: Rows without a doc_id are nodes of their own above this, told apart by their text.
+NO_ID = LAST - (1 << 40)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -155,6 +158,11 @@ def order_id(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(LAST))
 
 
+def node_of(d: Column, th: Column) -> Column:
+    """The node of a row in the graph of classes: its doc_id, or a number beyond NO_ID."""
+    return F.when(d == LAST, LAST - th.bitwiseAND(F.lit((1 << 40) - 1))).otherwise(d)
+
+
 def lines_of(docs: DataFrame, least: int) -> DataFrame:
     """Lines that take part: d, th (row), pos, h1, h2 (128-bit hash), line, n."""
     rows = docs.select(order_id(F.col("doc_id")).alias("d"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
@@ -203,35 +211,49 @@ def near_links(docs: DataFrame, distinct: DataFrame, least: int, edits: int) ->
     return durable(both.where(within_edits(F.col("at"), F.col("bt"), edits)).select("a1", "a2", "b1", "b2"), "line-links")
 
 
-def marked_lines(docs: DataFrame, least: int = LEAST_CHARS, edits: int = EDITS) -> DataFrame:
-    """Rows of documents with lines that are repeated or linked: d, th, gone (their places), near (those gone for a link alone), links, leader."""
+def marked_lines(docs: DataFrame, least: int = LEAST_CHARS, edits: int = EDITS, classes: bool = True) -> DataFrame:
+    """Rows of documents with lines that are repeated or linked: d, th, gone (their places), near (those gone for a link alone), linked; with classes also class.
+
+    A class is a connected component: rows belong together if they have an equal line,
+    or two lines that are linked, or are so joined by others. class: its least doc_id.
+    """
     lines = lines_of(docs, least)
     keys = {f"k{c}": k for c, k in enumerate(segment_keys(F.col("line"), F.col("n"), edits))}
     places = durable(lines.select("d", "th", "pos", "h1", "h2", *(k.alias(c) for c, k in keys.items())), "line-places")
     order = F.col("d").cast("decimal(20,0)") * F.lit(PLACES).cast("decimal(12,0)") + F.col("pos")
     order = order.cast("decimal(38,0)")
-    distinct = places.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.min("d").alias("d"), F.count("*").alias("n"), *(F.max(c).alias(c) for c in keys))
+    distinct = places.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.min("d").alias("d"), F.min(node_of(F.col("d"), F.col("th"))).alias("home"), F.count("*").alias("n"), *(F.max(c).alias(c) for c in keys))
     distinct = durable(distinct, "line-distinct")
     links = near_links(docs, distinct, least, edits)
     ends = links.unionAll(links.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2")))
-    firsts = distinct.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("first").alias("other"), F.col("d").alias("od"))
-    linked = ends.join(firsts, ["b1", "b2"]).groupBy(F.col("a1").alias("h1"), F.col("a2").alias("h2")).agg(F.count("*").alias("links"), F.min("other").alias("other"), F.min("od").alias("od"))
-    notable = distinct.join(linked, ["h1", "h2"], "left").where("n > 1 OR links IS NOT NULL").select("h1", "h2", "first", F.col("d").alias("fd"), "links", "other", "od")
+    firsts = distinct.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("first").alias("other"))
+    linked = ends.join(firsts, ["b1", "b2"]).groupBy(F.col("a1").alias("h1"), F.col("a2").alias("h2")).agg(F.count("*").alias("links"), F.min("other").alias("other"))
+    notable = distinct.join(linked, ["h1", "h2"], "left").where("n > 1 OR links IS NOT NULL").select("h1", "h2", "first", "home", "links", "other")
     met = places.select("d", "th", "pos", "h1", "h2").join(durable(notable, "line-notable"), ["h1", "h2"])
     repeat, near = F.col("first") < order, F.coalesce(F.col("other") < F.col("first"), F.lit(False))
     gone = met.withColumns({"repeat": repeat, "near": near})
-    return gone.groupBy("d", "th").agg(
+    out = gone.groupBy("d", "th").agg(
         F.collect_set(F.when(F.col("repeat") | F.col("near"), F.col("pos"))).alias("gone"),
         F.collect_set(F.when(~F.col("repeat") & F.col("near"), F.col("pos"))).alias("near"),
         F.collect_set(F.when(F.col("links") > 0, F.struct("pos", "links"))).alias("linked"),
-        F.min(F.when(F.col("repeat"), F.col("fd")).when(F.col("near"), F.col("od"))).alias("leader"),
+        *([F.collect_set("home").alias("homes")] if classes else []),
     )
-
-
-def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS, edits: int = EDITS) -> DataFrame:
-    """docs with __text (what stays of text) and __gone, __near, __linked, __leader."""
-    marks = marked_lines(docs, least, edits)
-    names = {"gone": "__gone", "near": "__near", "linked": "__linked", "leader": "__leader", "d": "__md", "th": "__mth"}
+    if not classes:
+        return out
+    # each row is joined to the homes of its lines, and the homes of linked lines to each other
+    out = durable(out.withColumn("node", node_of(F.col("d"), F.col("th"))), "line-marks")
+    home = lambda x: distinct.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("home").alias(x))
+    across = links.join(home("a"), ["a1", "a2"]).join(home("b"), ["b1", "b2"]).select("a", "b")
+    edges = out.select(F.col("node").alias("a"), F.explode("homes").alias("b")).unionAll(across).where("a != b")
+    roots = components(durable(edges.distinct(), "line-edges")).withColumnRenamed("node", "k")
+    root = F.coalesce("root", "node")
+    return out.join(roots, F.col("node") == F.col("k"), "left").withColumn("class", F.when(root <= NO_ID, root)).drop("homes", "node", "k", "root")
+
+
+def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS, edits: int = EDITS, classes: bool = True) -> DataFrame:
+    """docs with __text (what stays of text) and __gone, __near, __linked, and, with classes, __class."""
+    marks = marked_lines(docs, least, edits, classes)
+    names = {"gone": "__gone", "near": "__near", "linked": "__linked", **({"class": "__class"} if classes else {}), "d": "__md", "th": "__mth"}
     marks = marks.select(*(F.col(a).alias(b) for a, b in names.items()))
     rows = docs.withColumns({"__d": order_id(F.col("doc_id")), "__th": F.xxhash64("text")})
     out = rows.join(marks, (F.col("__d") == F.col("__md")) & (F.col("__th") == F.col("__mth")), "left")
@@ -251,7 +273,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(size("__gone")).cast("long").alias("n_removed"),
         F.when(F.col("__near").isNull(), F.lit(0)).otherwise(size("__near")).cast("long").alias("n_near"),
         F.coalesce(F.aggregate("__linked", F.lit(0).cast("long"), lambda a, x: a + x["links"]), F.lit(0)).cast("long").alias("n_links"),
-        F.least("doc_id", F.when(F.col("__leader") < LAST, F.col("__leader"))).alias("class_id"),
+        F.coalesce("__class", F.col("doc_id").cast("long")).alias("class_id"),
         F.sha2(F.coalesce("__text", F.lit("")), 256).alias("kept_sha256"),
     )
 
@@ -259,6 +281,6 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_lines(docs: DataFrame) -> DataFrame:
     """docs with the lines that stay, and n_chars to match."""
     docs, names = masked(docs, ("doc_id", "text", "n_chars"))
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, classes=False)
     chars = {"n_chars": F.char_length("__text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return unmasked(out.withColumns({"text": F.col("__text"), **chars}), names)

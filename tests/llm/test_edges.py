@@ -380,6 +380,28 @@ def test_numbered_lines_keep_all_links(spark):
     assert got == {k: sum(linked(x, y) for y in number) for k, x in enumerate(number)}
 
 
+def test_line_classes(spark, tmp_path):
+    """class_id and n_links against brute force: chains of shared lines and of near lines, and rows without a doc_id."""
+    a, b, c = "alpha line that two rows share", "other line that two rows share", "a chain of near lines: "
+    table = [(1, "nothing here is shared with others"), (2, a), (3, f"{a}\n{b}"), (4, f"{b}\nsomething of its own, too"), (5, c + "xxxx"), (6, c + "xxxy"), (7, c + "xxyy"), (8, c + "xyyy"), (9, f"{c}xyyy\n{b}")]
+    table += [(10, "near before it is repeated 00"), (11, "near before it is repeated 01"), (12, "near before it is repeated 01"), (None, "this row has no doc_id, ever"), (20, "this row has no doc_id, ever"), (None, "neither has this one, either"), (30, "neither has this one, either"), (40, None)]
+    spark.createDataFrame(table, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(x.doc_id, x.class_id, x.n_links) for x in line_dedup.op8_line_dedup(spark, str(tmp_path)).collect()]
+    lines = [set() if t is None else {x for x in t.split("\n") if len(x) >= 16} for _, t in table]
+    linked = lambda x, y: x != y and edits(x, y) <= 1
+    group = list(range(len(table)))
+    for i, p in enumerate(lines):
+        for j, q in enumerate(lines):
+            if any(x == y or linked(x, y) for x in p for y in q):
+                group = [group[i] if g == group[j] else g for g in group]
+    all_lines = set().union(*lines)
+    want = []
+    for k, (i, _) in enumerate(table):
+        ids = [table[j][0] for j, g in enumerate(group) if g == group[k] and table[j][0] is not None]
+        want.append((i, min(ids) if ids else None, sum(linked(x, y) for x in lines[k] for y in all_lines)))
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_line_stage(docs, empty):
     out = line_dedup.keep_lines(docs)
     assert out.columns == docs.columns and out.count() == len(rows())
