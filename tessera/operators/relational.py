@@ -61,3 +61,18 @@ def small(df: DataFrame) -> DataFrame:
     """Mark a side for broadcast if its plan is known to be small; else leave the choice to Spark."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return F.broadcast(df) if int(str(size)) < 1 << 24 else df
+
+
+def others(rows: DataFrame, group: list[str], value: str, order: Column, weight: Column) -> DataFrame:
+    """Rows with what other values of their group have: other (least `order`), and links (sum of `weight`). Rows without such drop out.
+
+    order is unique to a row, so each value has a least one. Sums of values, then of
+    groups, are taken before the rows meet them: no pairs of a group are made.
+    """
+    values = rows.groupBy(*group, value).agg(F.min(order).alias("__own"), F.sum(weight).alias("__n"))
+    least = values.groupBy(*group).agg(F.min("__own").alias("__least"), F.sum("__n").alias("__all"))
+    second = values.join(least, group).where(F.col("__own") > F.col("__least")).groupBy(*group).agg(F.min("__own").alias("__second"), F.first("__least").alias("__least"), F.first("__all").alias("__all"))
+    each = values.join(second, group).select(
+        *group, value, F.when(F.col("__own") == F.col("__least"), F.col("__second")).otherwise(F.col("__least")).alias("other"), (F.col("__all") - F.col("__n")).alias("links")
+    )
+    return rows.join(each, [*group, value])

@@ -38,6 +38,39 @@ def contradiction_decisions(spark: SparkSession, sf: str) -> DataFrame:
     return contradictions(spark, sf).join(x, "a").join(y, "b").select("kind", "a", "b", decision.alias("decision"))
 
 
+@query(f"""WITH {FACTS_SQL}, {SIDES_SQL}, c AS (
+  SELECT 'negation' AS kind, f.fact_id AS a, s.strongest AS b, s.links FROM facts f JOIN sides s ON f.fact_type = s.fact_type AND f.canonical_value = s.canonical_value AND f.negation <> s.negation
+  UNION ALL SELECT 'text', a.fact_id, min({{'c': -b.confidence, 'i': b.fact_id}}).i, count(*) FROM facts a JOIN facts b ON a.fact_type = b.fact_type AND a.canonical_value = b.canonical_value AND a.fact_text <> b.fact_text GROUP BY a.fact_id)
+SELECT kind, a, b, links, CASE WHEN abs(x.confidence - y.confidence) > 0.2 THEN CASE WHEN x.confidence < y.confidence THEN 'drop a' ELSE 'drop b' END ELSE 'review' END AS decision FROM c JOIN facts x ON x.fact_id = a JOIN facts y ON y.fact_id = b""")
+def contradictions_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Each fact that others of its type and value contradict anywhere in the corpus: the strongest of them, how many there are, and what to do.
+
+    kind: by negation, or by another text (these facts have no validity, so all count as valid
+    at one time). contradiction_pairs and _decisions have only texts two places apart.
+    """
+    place, code = 1 << 50, (100 - F.round(F.col("confidence") * 100).cast("long")) * (1 << 50) + F.col("fact_id")  # confidence is in hundredths; the least code is the strongest fact
+    # groups and texts by 64-bit hashes, a text by both
+    f = facts(spark, sf).select(F.xxhash64("fact_type", "canonical_value").alias("g"), F.xxhash64("fact_text").alias("t"), code.alias("code"), "negation")
+    no, yes = F.when(F.col("negation"), F.col("code")), F.when(~F.col("negation"), F.col("code"))
+    # sums of equal texts, then of groups, are taken before facts meet them: no pairs of a group are made
+    texts = f.groupBy("g", "t").agg(F.min("code").alias("own"), F.count("*").alias("n"), F.min(no).alias("no"), F.min(yes).alias("yes"), F.count(no).alias("n_no"))
+    groups = texts.groupBy("g").agg(F.min("own").alias("first"), F.sum("n").alias("all"), F.min("no").alias("no"), F.min("yes").alias("yes"), F.sum("n_no").alias("n_no"))
+    both = texts.select("g", "t", "own", "n").join(groups, "g")
+    second = both.where("own > first").groupBy("g").agg(F.min("own").alias("second"))
+    each = both.join(second, "g", "left").where("second IS NOT NULL OR no IS NOT NULL AND yes IS NOT NULL").select(
+        "g", "t", F.when(F.col("own") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("other"), (F.col("all") - F.col("n")).alias("links"), "no", "yes", "n_no", (F.col("all") - F.col("n_no")).alias("n_yes")
+    )
+    met = f.join(each, ["g", "t"])
+    kind = lambda name, other, n: F.struct(F.lit(name).alias("kind"), other.alias("other"), n.alias("links"))
+    negated = F.col("negation")
+    kinds = F.array(kind("negation", F.when(negated, F.col("yes")).otherwise(F.col("no")), F.when(negated, F.col("n_yes")).otherwise(F.col("n_no"))), kind("text", F.col("other"), F.col("links")))
+    rows = met.select("code", F.explode(kinds).alias("x")).select("code", "x.*").where("links > 0")
+    fact, sure = lambda c: F.col(c) % place, lambda c: (100 - F.shiftright(c, 50)) / 100.0
+    ca, cb = sure("code"), sure("other")
+    decision = F.when(F.abs(ca - cb) > 0.2, F.when(ca < cb, "drop a").otherwise("drop b")).otherwise("review")
+    return rows.select("kind", fact("code").alias("a"), fact("other").alias("b"), "links", decision.alias("decision"))
+
+
 @query(f"""WITH {FACTS_SQL}, l AS (SELECT f.fact_id, contains(d.text, f.fact_text) AS grounding, f.confidence >= 0.8 AS vericot, f.confidence >= 0.9 AS fidelis, f.confidence >= 0.7 AS rcot FROM facts f JOIN documents d USING (doc_id))
 SELECT fact_id, grounding, vericot, fidelis, rcot, round((grounding::INT + vericot::INT + fidelis::INT + rcot::INT) / 4.0, 4) AS ares FROM l""")
 def verification_layers(spark: SparkSession, sf: str) -> DataFrame:

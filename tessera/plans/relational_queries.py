@@ -99,6 +99,18 @@ def conflicting_objects(spark: SparkSession, sf: str) -> DataFrame:
     return left.join(y, ["subject", "bucket"]).where("object_a < object_b AND object_b <= object_a + 3").select("subject", "object_a", "object_b")
 
 
+@query("""WITH x AS (SELECT DISTINCT l_suppkey AS subject, l_partkey AS object FROM lineitem)
+SELECT a.subject, a.object, min(b.object) AS other, count(*) AS links FROM x a JOIN x b ON a.subject = b.subject AND a.object <> b.object GROUP BY ALL""")
+def conflicting_objects_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Each object with what conflicts with it in its whole subject, however far: the first other object, and how many there are.
+
+    conflicting_objects has the pairs at most three apart. A subject's count and two least
+    objects are summed up before its rows meet them, so no pairs are made.
+    """
+    x = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("subject"), F.col("l_partkey").alias("object")).distinct()
+    return R.others(x, ["subject"], "object", F.col("object"), F.lit(1)).select("subject", "object", "other", "links")
+
+
 @query(f"""WITH {FACTS_SQL}, {SIDES_SQL} SELECT f.fact_id, s.first AS opposed_to, s.links FROM facts f JOIN sides s ON f.fact_type = s.fact_type AND f.canonical_value = s.canonical_value AND f.negation <> s.negation""")
 def opposed_facts(spark: SparkSession, sf: str) -> DataFrame:
     """Each fact that others of its type and value oppose: the first of them, and how many there are."""
