@@ -17,25 +17,39 @@ from ..storage import settle
 BLOCK = 2000
 
 
-def distances(queries: DataFrame, points: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Distance d of each point (vec_id, p) from each stated query (query_id, q, and any more columns) other than itself.
+def met(asked: DataFrame, held: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Each row of held (vec_id) with each row of asked (query_id) other than itself.
 
     Queries are counted first. Up to `block` of them are broadcast, so each point
     meets them where it lies. Beyond that they are dealt to blocks, and points,
     in cells, meet one block at a time by an equi-join; no side is broadcast.
     """
-    blocks = -(-queries.count() // block)
+    blocks = -(-asked.count() // block)
+    if blocks <= 1:
+        return held.join(F.broadcast(asked), F.col("query_id") != F.col("vec_id"))
+    cells = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = asked.withColumns({"__block": F.pmod(F.xxhash64("query_id"), F.lit(blocks)), "__cell": F.explode(F.sequence(F.lit(0), F.lit(cells - 1)).cast("array<bigint>"))})
+    held = held.withColumns({"__cell": F.pmod(F.xxhash64("vec_id"), F.lit(cells)), "__block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))})
+    return held.join(asked, ["__block", "__cell"]).where("query_id != vec_id").drop("__block", "__cell")
+
+
+def distances(queries: DataFrame, points: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Distance d of each point (vec_id, p) from each stated query (query_id, q, and any more columns) other than itself."""
     asked = queries.withColumn("qq", G.dot(F.col("q"), F.col("q")))
     held = points.withColumn("pp", G.dot(F.col("p"), F.col("p")))
     # norms are taken once a vector, so that a pair costs one inner product
     gap = F.greatest(F.col("qq") + F.col("pp") - 2 * G.dot(F.col("q"), F.col("p")), F.lit(0.0))
     d = F.acosh(F.greatest(F.lit(1.0), 1 + 2 * gap / F.greatest((1 - F.col("qq")) * (1 - F.col("pp")), F.lit(1e-12))))
-    if blocks <= 1:
-        return held.join(F.broadcast(asked), F.col("query_id") != F.col("vec_id")).withColumn("d", d)
-    cells = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = asked.withColumns({"__block": F.pmod(F.xxhash64("query_id"), F.lit(blocks)), "__cell": F.explode(F.sequence(F.lit(0), F.lit(cells - 1)).cast("array<bigint>"))})
-    held = held.withColumns({"__cell": F.pmod(F.xxhash64("vec_id"), F.lit(cells)), "__block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))})
-    return held.join(asked, ["__block", "__cell"]).where("query_id != vec_id").withColumn("d", d).drop("__block", "__cell")
+    return met(asked, held, block).withColumn("d", d)
+
+
+def cosine_neighbours(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """The k vectors (vec_id, v) of the largest cosine with each query (query_id, q), of all but itself: rows rank 1 to k. A zero vector has cosine 0."""
+    asked, held = queries.withColumn("qn", G.norm(F.col("q"))), vectors.withColumn("vn", G.norm(F.col("v")))
+    n = F.col("qn") * F.col("vn")
+    cosine = F.when(n > 0, G.dot(F.col("q"), F.col("v")) / n).otherwise(F.lit(0.0))
+    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
+    return met(asked, held, block).select("query_id", "vec_id", cosine.alias("cosine")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def neighbours(queries: DataFrame, points: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
@@ -43,9 +57,8 @@ def neighbours(queries: DataFrame, points: DataFrame, k: int, block: int = BLOCK
 
     Each task keeps its best k per query before rows go to the ranking by query.
     """
-    met = distances(queries, points, block)
     w = Window.partitionBy("query_id").orderBy("d", "vec_id")
-    return met.select("query_id", "vec_id", "d").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return distances(queries, points, block).select("query_id", "vec_id", "d").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def pruned_neighbours(queries: DataFrame, points: DataFrame, k: int, pivots: int = 16) -> DataFrame:

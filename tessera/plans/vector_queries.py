@@ -28,6 +28,15 @@ def adjacent_cosines(spark: SparkSession, sf: str) -> DataFrame:
     return e.join(n, "a").select("a", "b", F.round(G.cosine(F.col("x"), F.col("y")), 4).alias("cosine"))
 
 
+@query("""SELECT query_id, rank, vec_id, round(cosine, 4) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM (
+  SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS cosine FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)) WHERE rank <= 10""")
+def cosine_knn(spark: SparkSession, sf: str) -> DataFrame:
+    """Linear scan (K2): the ten vectors of the largest cosine for each row whose id is divisible by 20, of all rows."""
+    v = load(spark, sf, "embeddings").select("vec_id", G.doubles(F.col("embedding")).alias("v"))
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    return V.cosine_neighbours(q, v, 10).select("query_id", "rank", "vec_id", F.round("cosine", 4).alias("cosine"))
+
+
 KNN_SQL = f"""{POINTS_SQL}, near AS (SELECT * FROM (SELECT query_id, vec_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM (
   SELECT q.vec_id AS query_id, c.vec_id, {distance_sql('q.p', 'c.p')} AS d FROM points q JOIN points c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)) WHERE rank <= 10)"""
 

@@ -1,5 +1,8 @@
 """Queries that do the whole job of their operator, against brute force on small tables."""
 
+import numpy as np
+
+from tessera.operators import vectors
 from tessera.plans import all_queries
 
 
@@ -22,3 +25,18 @@ def test_contradicting_texts_of_other_documents(spark, tmp_path):
     got = all_queries.QUERIES["contradictions_whole"](spark, str(tmp_path)).where("kind = 'text'").collect()
     assert sorted((x.a, x.b, x.links) for x in got) == sorted(want)
     assert any(a // 10000 != b // 10000 for a, b, _ in want)
+
+
+def test_cosine_knn_in_blocks(spark):
+    r = np.random.default_rng(0)
+    x = r.standard_normal((60, 5))
+    x[7] = 0
+    x[9] = x[8] * 2
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    q = df.where("vec_id % 3 = 0").selectExpr("vec_id AS query_id", "v AS q")
+    n = np.linalg.norm(x, axis=1)
+    c = np.where(np.outer(n, n) > 0, x @ x.T / np.maximum(np.outer(n, n), 1e-12), 0)
+    want = {i: sorted((-round(c[i, j], 9), j) for j in range(60) if j != i)[:4] for i in range(0, 60, 3)}
+    for block in (2000, 7):
+        got = vectors.cosine_neighbours(q, df, 4, block).collect()
+        assert {i: [(-round(y.cosine, 9), y.vec_id) for y in sorted((y for y in got if y.query_id == i), key=lambda y: y.rank)] for i in want} == want
