@@ -1,44 +1,58 @@
 """Exact top-k inner products over an impact-ordered index, score at a time.
 
-Components become integers floor(SCALE * x), their impacts. Candidates are packed
-into blocks of BLOCK vectors; a block's postings (vector, dimension, impact) are
-ordered by impact in slices that end at falling thresholds t. For a batch of
-queries a block is worked through slice by slice: once the slices above t are in,
-a posting still to come adds at most |q| * t in its dimension, so
+Components become integers floor(SCALE * x), their impacts. Candidates are dealt
+evenly into blocks of BLOCK vectors. A block's postings stand by dimension and, within
+it, by impact: a segment is the run of vectors that have one impact in one dimension.
 
-    bound = sum of q+ * max(x, t) + sum of q- * min(x, -t)
+A query meets a block's segments in the order of what they add, |q * impact|, in
+rounds that end at falling limits t (ROUNDS, as shares of the usual size of such a
+product). Postings are accumulated; a vector's score so far is held together with the
+number of its postings that are in. Each posting still to come adds less than t, so
 
-is what a vector can reach at most. A query stops only when its k-th best exact
-score so far proves that few vectors can still be members (bound >= that score);
-those are rescored exactly. A query that no slice settles takes all postings, which
-is the exact score. So results are exact, ties included.
+    bound = score so far + postings to come * (t - 1)
 
-Scale: a stated query set meets all rows in blocks (query batch x group of
-candidate blocks); each cell of that grid keeps its best k per query, and the cells
-of a query are merged. Memory per task is a block and a batch.
+is what a vector can reach at most. The query stops at a block when the k-th best exact
+score found so far proves that few of its vectors (FEW) can still be members: those
+with bound >= that score, ties included, are rescored exactly. A query that no round
+settles has taken all postings, and rescores what reaches that score.
+
+Scale: one task holds one or more cells (runs of blocks) of the index and brings the
+best k of each query from block to block. Queries come in passes of PASS, each written
+on its own, so that a pass moves the index once, and the disk and memory it takes are
+bounded: a task holds one block, and the queries of one pass with their best k.
 
 Defined results: null vectors and those with null or non-finite components take no
 part. Vectors of different lengths meet as if filled up with zeros. Rows with the
 query's vec_id are its own, never its neighbours; rows of other repeated ids each
-count. Repeated query rows answer once. Fewer candidates than k: all of them.
+count. Repeated query rows answer once. Fewer candidates than k: all of them. Ties go
+to the smaller vec_id. An empty table, or one without queries, gives no rows. Other
+columns are not touched.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, load
-
-SCALE, K, BLOCK, BATCH = 64, 20, 4096, 1024
-#: Thresholds end slices at these shares of a block's impacts; bounds settle a query if they leave at most so large a share.
-SLICES, FEW = (0.7, 0.4), 0.04
-#: Cells that a query batch has at most.
-CELLS = 64
+from .common import durable, load, new_path
+
+SCALE, K, BLOCK = 64, 20, 8192
+#: Queries of a pass, and of a row of packed queries.
+PASS, BATCH = 1 << 16, 1 << 11
+#: Blocks of a cell at most.
+CELL = 64
+#: Limits of the rounds, as shares of a query's and a block's root mean square product; the last one takes all.
+ROUNDS = (0.5, 0.3, 0.2, 0.1, 0.0)
+#: A query is settled at a block if at most this share of its vectors can still be members.
+FEW = 0.06
+#: Sums below this are exact in doubles.
+EXACT = 1 << 52
 NONE = np.iinfo(np.int64).min
 
 
@@ -50,45 +64,77 @@ def impacts(rows: DataFrame, scale: int = SCALE) -> DataFrame:
     return ok.select("vec_id", v.alias("v")).withColumn("key", F.xxhash64("vec_id", "v"))
 
 
-def packed(rows: DataFrame, group: str, most: int) -> DataFrame:
-    """One row for each block of at most `most` vectors of a group: ids, keys, the matrix and its shape."""
-    source = rows.select(group, "vec_id", "key", "v").repartition(group).sortWithinPartitions(group, "key", "vec_id")
+PACKED = ["g", "ids", "keys", "x", "width", "type"]
+PACKED_TYPE = "g long, ids binary, keys binary, x binary, width int, type string"
 
-    def block(g: int, ids: list[int], keys: list[int], vs: list[list[int]]) -> tuple:
-        width = max(map(len, vs))
-        x = np.zeros((len(vs), width), np.int64)
-        for n, v in enumerate(vs):
-            x[n, : len(v)] = v
-        peak = int(np.abs(x).max(initial=0))
-        kind = "i1" if peak < 1 << 7 else "<i2" if peak < 1 << 15 else "<i8"
-        return g, np.array(ids, "<i8").tobytes(), np.array(keys, "<i8").tobytes(), x.astype(kind).tobytes(), width, kind
+
+def packed(rows: DataFrame, most: int) -> DataFrame:
+    """One row for each `most` vectors of (g, vec_id, key, v), which stand together by g in a partition: ids, keys, the matrix and its width."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, keys, vs = None, [], [], []
+        at, held, size = None, [], 0
 
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.string()]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["g", "ids", "keys", "x", "width", "kind"])
+        def out() -> pa.RecordBatch:
+            ids, keys = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            sizes, flat = (np.concatenate([h[i] for h in held]) for i in (2, 3))
+            width = int(sizes.max(initial=0))
+            x = np.zeros((len(ids), width), np.int64)
+            x[np.arange(width)[None, :] < sizes[:, None]] = flat
+            peak = int(np.abs(x).max(initial=0))
+            kind = "i1" if peak < 1 << 7 else "<i2" if peak < 1 << 15 else "<i8"
+            cols = [pa.array([at], pa.int64()), *(pa.array([a.tobytes()], pa.binary()) for a in (ids.astype("<i8"), keys.astype("<i8"), x.astype(kind))), pa.array([width], pa.int32()), pa.array([kind])]
+            return pa.RecordBatch.from_arrays(cols, PACKED)
 
         for b in batches:
-            for g, i, k, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if ids and (g != at or len(ids) == most):
-                    yield out([block(at, ids, keys, vs)])
-                    ids, keys, vs = [], [], []
-                at = g
-                ids.append(i)
-                keys.append(k)
-                vs.append(v)
-        if ids:
-            yield out([block(at, ids, keys, vs)])
+            g, ids, keys = (b.column(i).to_numpy() for i in range(3))
+            v = b.column(3)
+            sizes, flat = v.value_lengths().to_numpy(), v.flatten().to_numpy()
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            a = 0
+            while a < len(ids):
+                if at is not None and (g[a] != at or size == most):
+                    if held:
+                        yield out()
+                    held, size = [], 0
+                at = int(g[a])
+                other = np.flatnonzero(g[a:] != at)
+                z = min(a + most - size, a + int(other[0]) if len(other) else len(ids))
+                held.append((ids[a:z], keys[a:z], sizes[a:z], flat[ends[a] : ends[z]]))
+                size += z - a
+                a = z
+        if held:
+            yield out()
+
+    return rows.select("g", "vec_id", "key", "v").mapInArrow(run, PACKED_TYPE)
 
-    return source.mapInArrow(run, "g long, ids binary, keys binary, x binary, width int, kind string")
 
+@dataclass
+class Block:
+    """Vectors, and their postings in segments: (dimension, impact) and the run of places in `post` that have it."""
 
-def exact_kind(q: np.ndarray, x: np.ndarray) -> type:
-    """The fastest arithmetic in which these inner products are whole numbers."""
-    most = float(np.abs(q.astype("f8")).max(initial=0)) * float(np.abs(x.astype("f8")).max(initial=0)) * max(q.shape[1], 1)
-    return np.float32 if most < 1 << 23 else np.float64 if most < 1 << 52 else np.int64
+    ids: np.ndarray
+    x: np.ndarray
+    post: np.ndarray
+    dim: np.ndarray
+    impact: np.ndarray
+    begin: np.ndarray
+    size: np.ndarray
+    held: np.ndarray  # postings of each vector
+    exact: np.ndarray  # x as doubles
+
+
+def index(ids: np.ndarray, x: np.ndarray) -> Block:
+    n, width = x.shape
+    order = np.argsort(-x, axis=0, kind="stable").T  # by dimension, falling impact
+    level = np.take_along_axis(x.T, order, axis=1)
+    new = np.ones((width, n), bool)
+    new[:, 1:] = level[:, 1:] != level[:, :-1]
+    dim, place = np.nonzero(new)
+    begin = dim * n + place
+    size = np.diff(np.concatenate([begin, [n * width]]))
+    impact = level[dim, place]
+    some = impact != 0  # zero adds nothing: no posting
+    return Block(ids, x, order.ravel(), dim[some], impact[some], begin[some], size[some], (x != 0).sum(axis=1), x.astype(np.float64))
 
 
 class Best:
@@ -100,86 +146,110 @@ class Best:
 
     def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
         s, i = np.concatenate([self.score[q], scores]), np.concatenate([self.id[q], ids])
-        order = np.lexsort((i, -s.astype("f8") if abs(s[s != NONE]).max(initial=0) < 1 << 52 else ~s))[: self.score.shape[1]]
+        order = np.lexsort((i, ~s))[: self.score.shape[1]]  # ~s falls as s grows, and doesn't overflow
         self.score[q], self.id[q] = s[order], i[order]
 
 
-def search(q: np.ndarray, qids: np.ndarray, x: np.ndarray, xids: np.ndarray, best: Best) -> None:
-    """Bring one block of candidates into the best of each query."""
-    width, k = max(q.shape[1], x.shape[1]), best.score.shape[1]
-    q, x = (np.pad(a, ((0, 0), (0, width - a.shape[1]))) for a in (q, x))
-    kind = exact_kind(q, x)
-    q, x = q.astype(kind), x.astype(kind)
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
-    left = np.arange(len(q))
-    for share in SLICES if len(x) > 8 * k else ():
-        t = np.partition(np.abs(x).ravel(), int(share * (x.size - 1)))[int(share * (x.size - 1))]
-        bound = up[left] @ np.maximum(x, t).T + down[left] @ np.minimum(x, -t).T
-        own = qids[left][:, None] == xids[None, :]
-        floor = best.score[left, -1]
-        unset = np.flatnonzero(floor == NONE)
-        if len(unset):  # k real candidates prove a first floor
-            tops = np.argpartition(np.where(own[unset], -np.inf, bound[unset]), -k - 1, axis=1)[:, -k - 1 :]
-            for r, top in zip(unset, tops, strict=True):
-                real = top[~own[r, top]]
-                if len(real) >= k:
-                    floor[r] = np.sort((x[real] @ q[left[r]]).astype(np.int64))[-k]
-        member = (bound >= floor[:, None].astype("f8")) & ~own
-        few = member.sum(axis=1) <= max(FEW * len(x), 2 * k)
-        for r in np.flatnonzero(few):
-            at = np.flatnonzero(member[r])
-            if len(at):
-                best.add(left[r], (x[at] @ q[left[r]]).astype(np.int64), xids[at])
-        left = left[~few]
-        if not len(left):
-            return
-    score = (q[left] @ x.T).astype(np.int64)
-    for r, n in enumerate(left):
-        at = np.flatnonzero((score[r] >= best.score[n, -1]) & (xids != qids[n]))
-        if len(at) > k:  # ties with the k-th stay in
-            at = at[score[r, at] >= np.partition(score[r, at], -k)[-k]]
-        if len(at):
-            best.add(n, score[r, at], xids[at])
-
-
-def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK, batch: int = BATCH) -> DataFrame:
+def search(q: np.ndarray, qids: np.ndarray, block: Block, best: Best, tally: Counter | None = None) -> None:
+    """Bring one block into the best of each query.
+
+    tally counts queries met, those stopped by proof (before all postings were in), postings there and taken, and vectors rescored.
+    """
+    n, width, k = *block.x.shape, best.score.shape[1]
+    tally = Counter() if tally is None else tally
+    q = np.pad(q, ((0, 0), (0, max(0, width - q.shape[1]))))[:, :width]
+    low = 1 << width.bit_length()  # the digits below it count postings
+    there = block.x != 0
+    big, usual = float(np.abs(block.x.astype("f8")).max(initial=0)), float(np.sqrt(np.mean(block.exact**2))) if block.x.size else 0.0
+    for r, own in enumerate(qids):
+        tally["queries"] += 1
+        v = q[r].astype("f8")
+        if np.abs(v).sum() * big * low >= EXACT:  # sums may not be exact in doubles: every vector is a possible member
+            at = np.flatnonzero(block.ids != own)
+            best.add(r, block.x[at] @ q[r], block.ids[at])
+            tally["rescored"] += len(at)
+            continue
+        adds = v[block.dim] * block.impact
+        size = np.abs(adds)
+        come = there[:, v != 0].sum(axis=1) if (v == 0).any() else block.held
+        scale = usual * float(np.sqrt(np.mean(v**2))) if width else 0.0
+        tally["postings"] += int(block.size[size > 0].sum())
+        got, upper = np.zeros(n), np.inf
+        for share in ROUNDS:
+            limit = max(1.0, np.ceil(share * scale))
+            some = np.flatnonzero((size >= limit) & (size < upper))
+            upper = min(upper, limit)
+            runs = block.size[some]
+            total = int(runs.sum())
+            tally["taken"] += total
+            if total:
+                at = np.arange(total) + np.repeat(block.begin[some] - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs)
+                got += np.bincount(block.post[at], np.repeat(adds[some] * low + 1.0, runs), n)
+            score = np.floor(got / low)
+            bound = score + (come - (got - score * low)) * (upper - 1)
+            floor = best.score[r, -1]
+            if floor == NONE and n > k:  # k real candidates prove a first floor
+                top = np.argpartition(-score, k)[: k + 1]
+                top = top[block.ids[top] != own]
+                if len(top) >= k:
+                    floor = np.sort(block.exact[top] @ v)[-k]
+            member = np.flatnonzero((bound >= floor) & (block.ids != own))
+            if upper == 1 or len(member) <= max(FEW * n, 2 * k):
+                tally["stopped"] += upper > 1
+                tally["rescored"] += len(member)
+                best.add(r, (block.exact[member] @ v).astype(np.int64), block.ids[member])
+                break
+
+
+def dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """rows in `parts` even groups g (round robin, so no key matters), each of one partition."""
+    return rows.repartition(parts).withColumn("g", F.spark_partition_id().cast("long"))
+
+
+def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK, in_pass: int = PASS) -> DataFrame:
     """(query_id, rank, vec_id, score) for durable tables of impacts (vec_id, v, key)."""
-    n, nq = candidates.count(), queries.count()
-    blocks, batches = max(1, -(-n // block)), max(1, -(-nq // batch))
-    per_cell = max(4, -(-blocks // CELLS))
-    cells = -(-blocks // per_cell)
-    index = durable(packed(candidates.withColumn("b", F.pmod(F.xxhash64("key"), F.lit(blocks))), "b", block), "topk-index")
-    asked = durable(packed(queries.dropDuplicates(["vec_id", "v"]).withColumn("b", F.pmod(F.xxhash64("key"), F.lit(batches))), "b", 2 * batch), "topk-queries")
-    left = index.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(batches - 1)))).withColumn("cell", F.floor(F.col("g") / per_cell))
-    right = asked.select(F.col("g").cast("int").alias("qg"), F.col("ids").alias("qids"), F.col("keys").alias("qkeys"), F.col("x").alias("qx"), F.col("width").alias("qwidth"), F.col("kind").alias("qkind"))
-    pairs = left.join(right, F.col("q") == F.col("qg")).select("qg", "qkeys", "cell", "ids", "x", "width", "kind", "qids", "qx", "qwidth", "qkind")
-    grid = pairs.repartition(cells * batches, "qg", "cell").sortWithinPartitions("qg", "qkeys", "cell")
-
-    def run(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, best, q, qids, qkeys = None, None, None, None, None
-
-        def out() -> pa.RecordBatch:
-            r, c = np.nonzero(best.score != NONE)
-            return pa.RecordBatch.from_arrays([pa.array(qids[r]), pa.array(qkeys[r]), pa.array(best.id[r, c]), pa.array(best.score[r, c])], ["query_id", "qkey", "vec_id", "score"])
-
-        for b in got:
-            for n in range(b.num_rows):
-                r = {name: b.column(i)[n].as_py() for i, name in enumerate(b.schema.names)}
-                if (r["qg"], r["qkeys"], r["cell"]) != at:
-                    if at is not None:
-                        yield out()
-                    at = (r["qg"], r["qkeys"], r["cell"])
-                    qids, qkeys = np.frombuffer(r["qids"], "<i8"), np.frombuffer(r["qkeys"], "<i8")
-                    q = np.frombuffer(r["qx"], r["qkind"]).reshape(len(qids), r["qwidth"])
-                    best = Best(len(qids), k)
-                ids = np.frombuffer(r["ids"], "<i8")
-                search(q, qids, np.frombuffer(r["x"], r["kind"]).reshape(len(ids), r["width"]), ids, best)
-        if at is not None:
-            yield out()
-
-    found = grid.mapInArrow(run, "query_id long, qkey long, vec_id long, score long")
-    w = Window.partitionBy("query_id", "qkey").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spark = candidates.sparkSession
+    n, asked = candidates.count(), durable(queries.dropDuplicates(["vec_id", "v"]), "topk-queries")
+    passes = -(-asked.count() // in_pass)
+    # cells of at most CELL blocks, and enough of them for all cores
+    cells = max(1, -(-n // (block * CELL)), min(-(-n // 1024), spark.sparkContext.defaultParallelism))
+    blocks = durable(packed(dealt(candidates, cells), block), "topk-index")
+    asked = durable(packed(dealt(asked, max(1, passes)), min(BATCH, in_pass)), "topk-asked")
+    path, none = new_path(spark, "topk-best"), "query_id long, rank int, vec_id long, score long"
+    for p in range(passes):
+        to_all = asked.where(F.col("g") == p).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+        rows = to_all.withColumn("indexed", F.lit(False)).unionByName(blocks.withColumn("cell", F.col("g").cast("int")).withColumn("indexed", F.lit(True)))
+        grid = rows.repartitionById(cells, F.col("cell")).sortWithinPartitions("cell", "indexed", F.xxhash64("keys"))
+        found = grid.select("indexed", "ids", "keys", "x", "width", "type").mapInArrow(lambda got: search_cell(got, k), "query_id long, qkey long, vec_id long, score long")
+        w = Window.partitionBy("query_id", "qkey").orderBy(F.col("score").desc(), "vec_id")
+        best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        best.write.mode("append").parquet(path)
+    return spark.read.schema(none).parquet(path) if passes else spark.createDataFrame([], none)
+
+
+def search_cell(got: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """A pass's queries, then the blocks of a cell; gives the best k of each query there."""
+    asked, best, q, qids, qkeys = [], None, None, None, None
+    for b in got:
+        for n in range(b.num_rows):
+            r = {name: b.column(i)[n].as_py() for i, name in enumerate(b.schema.names)}
+            ids, keys = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["keys"], "<i8")
+            x = np.frombuffer(r["x"], r["type"]).reshape(len(ids), r["width"]).astype(np.int64)
+            if not r["indexed"]:
+                asked.append((ids, keys, x))
+                continue
+            if best is None and asked:
+                width = max(a[2].shape[1] for a in asked)
+                qids, qkeys = (np.concatenate([a[i] for a in asked]) for i in (0, 1))
+                q = np.concatenate([np.pad(a[2], ((0, 0), (0, width - a[2].shape[1]))) for a in asked])
+                best = Best(len(q), k)
+            if best is not None:
+                search(q, qids, index(ids, x), best)
+    for a in range(0, len(qids) if best is not None else 0, 4096):
+        part = best.score[a : a + 4096]
+        r, c = np.nonzero(part != NONE)
+        r += a
+        yield pa.RecordBatch.from_arrays([pa.array(qids[r]), pa.array(qkeys[r]), pa.array(best.id[r, c]), pa.array(best.score[r, c])], ["query_id", "qkey", "vec_id", "score"])
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
