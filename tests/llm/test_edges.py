@@ -248,14 +248,44 @@ def test_simhash_links(spark):
     fps = durable(spark.createDataFrame([(i, simhash.signed(int(v))) for i, v in enumerate(x)], "doc_id long, fp long"), "t")
     want = {i: find(i) for i in range(len(x))}
     assert np.array_equal(simhash.link(x), [want[i] for i in range(len(x))])
-    old = simhash.SHARD_MOST
-    try:
-        for most in (old, 20):  # large shards are dealt anew
-            simhash.shards.__defaults__ = (most, 4)
+    for size, most in ((1000, 12_000), (40, 12_000), (40, 20)):  # shards by views; large ones dealt anew
+        simhash.shards.__defaults__ = (size, most)
+        try:
             ids = {r.fp: r.component_id for r in simhash.groups(fps).collect()}
-            assert {i: ids[simhash.signed(int(v))] for i, v in enumerate(x)} == want
-    finally:
-        simhash.shards.__defaults__ = (old, 4)
+        finally:
+            simhash.shards.__defaults__ = (simhash.SHARD, simhash.SHARD_MOST)
+        assert {i: ids[simhash.signed(int(v))] for i, v in enumerate(x)} == want
+
+
+def test_simhash_goes_through_vantage_points(spark):
+    """On the test documents' own fingerprints: trees have vantage points, bounds spare visits, visitors cross boundaries, and all links are found."""
+    import os
+    from collections import Counter
+
+    import pyarrow.parquet as pq
+
+    from tessera.llm.common import durable
+
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    x = np.unique(np.array([simhash.fingerprint(t) for t in pq.read_table(path, columns=["text"])["text"].to_pylist()], np.uint64))
+    nodes = durable(spark.createDataFrame([(simhash.signed(int(v)),) for v in x], "fp long"), "t")
+    dealt = simhash.shards(nodes).toPandas()
+    assert dealt["mask"].nunique() == 5 and set(dealt["own"]) == {True, False} and dealt[~dealt["own"]]["outer"].all()
+    tally = Counter()
+    for _, shard in dealt.groupby(["mask", "key", "outer"]):
+        shard = shard.sort_values("own", ascending=False)
+        simhash.link(shard["fp"].to_numpy().view(np.uint64), int(shard["own"].sum()), tally=tally)
+    assert tally["vantage points"] > 100 and tally["spared"] > 1000 and tally["compared"] < 0.2 * len(x) ** 2
+    root, want = np.arange(len(x)), np.arange(len(x))
+    at = {simhash.signed(int(v)): k for k, v in enumerate(x)}
+    links = simhash.edges(nodes).collect()
+    simhash.unite(root, np.array([at[r.a] for r in links], int), np.array([at[r.b] for r in links], int))
+    for k in range(0, len(x), 500):
+        i, j = np.nonzero(simhash.distances(x[k : k + 500], x) <= 4)
+        simhash.unite(want, i + k, j)
+    assert np.array_equal(root, want) and (want != np.arange(len(x))).any()
 
 
 def test_topk(spark):
