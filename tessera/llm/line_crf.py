@@ -4,11 +4,15 @@ Every line is good or bad. A line's features are its own statistics and those of
 its neighbours; transitions tie neighbouring lines together. Forward-backward
 gives each line's marginal of being good, and the document's quality is their
 mean weighted by line length. Weights are fitted on a bounded sample of labelled
-documents (TRAINING_ROWS rows of at most TRAINING_LINES lines, none of the
-held-out fold), each of whose lines carries the document's label.
+documents, none of the held-out fold, each of whose lines carries the document's
+label: TRAINING_ROWS rows at most, with TRAINING_LINES lines at most together. Rows
+are taken whole, in the order of a hash; one that what is left of these lines doesn't
+hold is passed over.
 
 Defined results: a null or empty text is one empty line and gets its score.
-Repeated rows score alike; other columns are not touched. Without usable labels
+Repeated rows score alike; of rows that repeat a labelled doc_id the one whose text
+hashes lowest is fitted on, so fits agree from run to run. Other columns are not
+touched, whatever their names. An empty table gives no rows. Without usable labels
 every line scores 0.5. No label, language, source or id enters a score.
 """
 
@@ -21,18 +25,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bpe import steps
 from .common import fold_held_out, load, training_ids
 
-#: Most labelled rows fitted on, and most lines of such a row.
+#: Most labelled rows fitted on, and most lines of these together.
 TRAINING_ROWS = 3000
-TRAINING_LINES = 200
+TRAINING_LINES = 400_000
 #: A document is predicted good from this score on.
 GOOD_FROM = 0.3
 #: Classes of bytes that lines are described by.
 OTHER, UPPER, DIGIT, SYMBOL, PIPE, EXCLAIM, SPACE, STOP, COMMA, INNER = range(10)
 STEP_CHARS = 1_500_000
+#: Lines of a text that are worked through one after another.
+CHAIN = 64
 OWN, NEAR, LENGTH = 11, 6, 5  # features of a line itself; of them, those that its neighbours contribute
 
 
@@ -88,38 +95,71 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     return np.concatenate([own, before, after, np.ones((len(own), 1))], axis=1), length, first
 
 
-def padded(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts from most lines to fewest, and how many of them have a line t, for each t."""
+def together(a: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Messages (log) one line on."""
+    return np.logaddexp(a[:, :1] + trans[0], a[:, 1:] + trans[1])
+
+
+def chain(score: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Forward messages of every line, its own score included.
+
+    Texts are cut into runs of CHAIN lines, which take their steps side by side: once
+    from each state to learn what a run makes of it, then, the runs of a text having
+    been put together, from what really comes in. So a text of n lines takes about
+    n / CHAIN + 3 * CHAIN steps, however many texts there are.
+    """
     n = np.diff(first)
-    order = np.argsort(-n, kind="stable")
-    return order, np.searchsorted(-n[order], -np.arange(n.max(initial=0)), side="left")
+    runs = -(-n // CHAIN)
+    text = np.repeat(np.arange(len(n)), runs)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(runs) - runs, runs)
+    begin = first[:-1][text] + number * CHAIN
+    size = np.minimum(CHAIN, n[text] - number * CHAIN)
+    out = np.zeros_like(score)
+
+    def walk(which: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Fill the runs from their incoming messages; gives the last ones."""
+        order = np.argsort(-size[which], kind="stable")
+        at = begin[which][order]
+        active = np.searchsorted(-size[which][order], -np.arange(size[which].max(initial=0)), side="left")
+        out[at] = start[order] + score[at]
+        for t in range(1, len(active)):
+            here = at[: active[t]] + t
+            out[here] = together(out[here - 1], trans) + score[here]
+        return out[begin[which] + size[which] - 1]
+
+    start = np.zeros((len(text), 2))
+    later = np.flatnonzero(number > 0)
+    if len(later):
+        row = np.zeros(len(text), np.int64)
+        row[later] = np.arange(len(later))
+        ends = [walk(later, np.tile(trans[s], (len(later), 1))) for s in (0, 1)]
+        end = np.zeros((len(text), 2))
+        heads = np.flatnonzero((number == 0) & (runs[text] > 1))
+        end[heads] = walk(heads, np.zeros((len(heads), 2)))
+        for k in range(1, int(runs.max())):
+            at = np.flatnonzero(number == k)
+            before = end[at - 1]
+            start[at] = together(before, trans)
+            end[at] = np.logaddexp(before[:, :1] + ends[0][row[at]], before[:, 1:] + ends[1][row[at]])
+    walk(np.arange(len(text)), start)
+    return out
 
 
 def marginals(emission: np.ndarray, trans: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each line's probability of being good, and for each line but a text's first one those of its pairs of states (zeros for first lines).
 
-    emission: the good state's score over the bad one's. Time steps run over all texts at once.
+    emission: the good state's score over the bad one's.
     """
-    order, active = padded(first)
-    begin = first[:-1][order]
-    fore, back = np.zeros((len(emission), 2)), np.zeros((len(emission), 2))
     score = np.stack([np.zeros_like(emission), emission], axis=1)
-    fore[begin] = score[begin]
-    for t in range(1, len(active)):
-        at = begin[: active[t]] + t
-        prev = fore[at - 1]
-        fore[at] = np.logaddexp(prev[:, :1] + trans[0], prev[:, 1:] + trans[1]) + score[at]
-    for t in range(len(active) - 1, 0, -1):
-        at = begin[: active[t]] + t
-        nxt = back[at] + score[at]
-        back[at - 1] = np.logaddexp(trans[:, 0] + nxt[:, :1], trans[:, 1] + nxt[:, 1:])
-    both = fore + back
+    fore = chain(score, trans, first)
+    back = chain(score[::-1], trans.T, (len(score) - first)[::-1])[::-1]  # own score included
+    both = fore + back - score
     total = np.logaddexp(both[:, 0], both[:, 1])
     pairs = np.zeros((len(emission), 2, 2))
     inner = np.ones(len(emission), bool)
     inner[first[:-1]] = False
     k = np.flatnonzero(inner)
-    pairs[k] = np.exp(fore[k - 1][:, :, None] + trans[None] + (back + score)[k][:, None, :] - total[k][:, None, None])
+    pairs[k] = np.exp(fore[k - 1][:, :, None] + trans[None] + back[k][:, None, :] - total[k][:, None, None])
     return np.exp(both[:, 1] - total), pairs
 
 
@@ -179,19 +219,34 @@ def fit_crf(x: np.ndarray, first: np.ndarray, label: np.ndarray, rounds: int = 1
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> LineCRF:
+def chosen(sizes: list[tuple[int, int]], lines: int) -> list[int]:
+    """Of (doc_id, lines) in order, the ids whose lines fit into what is left of `lines`."""
+    out = []
+    for i, n in sizes:
+        if n <= lines:
+            out.append(i)
+            lines -= n
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS, lines: int = TRAINING_LINES) -> LineCRF:
     ids = training_ids(labels, "quality", bound)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.col("quality").alias("label"), F.col("text").alias("__text"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.col("quality").alias("label"), F.xxhash64("text").alias("h"), F.col("text").alias("__text"))
+    n_lines = F.coalesce(F.size(F.split("__text", "\n", -1)), F.lit(1))
+    # (doc_id, lines) of `bound` rows at most
+    sizes = rows.groupBy("doc_id").agg(F.min(F.struct("h", n_lines.alias("n"))).alias("s")).select("doc_id", "s.n").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    taken = docs.sparkSession.createDataFrame([(i,) for i in chosen([(r["doc_id"], r["n"]) for r in sizes], lines)], "doc_id long")
+    rows = rows.join(F.broadcast(taken), "doc_id").select("doc_id", "label", "h", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [(i, q, t) for i, q, t in zip(*(c.to_pylist() for c in b.columns), strict=True) if (t or "").count("\n") < TRAINING_LINES]
-            for a, z in steps([t for _, _, t in keep], STEP_CHARS):
-                x, _, first = line_features([t for _, _, t in keep[a:z]])
-                packed = [x[first[k] : first[k + 1]].astype("<f4").tobytes() for k in range(z - a)]
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in keep[a:z]], pa.int64()), pa.array([q for _, q, _ in keep[a:z]], pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "label", "x"])
+            texts = b.column(3).to_pylist()
+            for a, z in steps(texts, STEP_CHARS):
+                x, _, first = line_features(texts[a:z])
+                features = [x[first[k] : first[k + 1]].astype("<f4").tobytes() for k in range(z - a)]
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(a, z - a) for i in range(3)), pa.array(features, pa.binary())], ["doc_id", "label", "h", "x"])
 
-    got = rows.mapInArrow(run, "doc_id long, label int, x binary").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    got = rows.mapInArrow(run, "doc_id long, label int, h long, x binary").groupBy("doc_id").agg(F.min(F.struct("h", "label", "x")).alias("r")).select("doc_id", "r.label", "r.x").orderBy("doc_id").collect()
     width = OWN + 2 * (NEAR + 1) + 1
     x = [np.frombuffer(r.x, "<f4").reshape(-1, width) for r in got]
     first = np.concatenate([[0], np.cumsum([len(a) for a in x])]).astype(np.int64)
@@ -199,19 +254,20 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> Lin
 
 
 def classify(docs: DataFrame, model: LineCRF, keep: list[str]) -> DataFrame:
-    """Columns of `keep`, score and predicted, in one pass without a shuffle."""
-    source = docs.select(*keep, F.col("text").alias("__text"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema) + "score double, predicted int"
+    """Columns of `keep`, score and predicted, in one pass without a shuffle. Columns of `keep` that clash with these two stand before them under their own names."""
+    fields = docs.select(*keep).schema.fields
+    source = docs.select(*(F.col(k).alias(f"k{n}") for n, k in enumerate(keep)), F.col("text").alias("__text"))
+    schema = T.StructType([*(T.StructField(f"k{n}", f.dataType) for n, f in enumerate(fields)), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(b.schema.get_field_index("__text")).to_pylist()
+            texts = b.column(b.num_columns - 1).to_pylist()
             for a, z in steps(texts, STEP_CHARS):
                 s = model.score(texts[a:z])
-                cols = [b.column(b.schema.get_field_index(k)).slice(a, z - a) for k in keep]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(s), pa.array((s >= GOOD_FROM).astype("i4"))], [*keep, "score", "predicted"])
+                cols = [c.slice(a, z - a) for c in b.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(s), pa.array((s >= GOOD_FROM).astype("i4"))], schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*keep, "score", "predicted")
 
 
 def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

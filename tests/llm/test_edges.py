@@ -133,14 +133,56 @@ def test_trees_learn_and_stay_monotone():
 
 def test_crf(docs, empty, labels):
     model = line_crf.train(docs, labels)
-    got = line_crf.classify(docs, model, ["doc_id", "score"] if False else ["doc_id"]).collect()
+    got = line_crf.classify(docs, model, ["doc_id"]).collect()
     assert len(got) == len(rows()) and all(0 <= g.score <= 1 and g.predicted == int(g.score >= 0.3) for g in got)
     assert line_crf.classify(empty, line_crf.train(empty, labels), ["doc_id"]).count() == 0
+    clash = line_crf.classify(docs, model, ["score", "doc_id", "text"])
+    assert clash.columns == ["score", "doc_id", "text", "score", "predicted"]
+    assert sorted((r[1] or 0, r[3]) for r in clash.collect()) == sorted((g.doc_id or 0, g.score) for g in got) and {r[0] for r in clash.collect()} == {0.5}
+
+
+def test_crf_fits_long_documents(spark):
+    """Labelled documents of 300 lines are fitted on; a row that the bound on lines can't hold is passed over; repeated ids agree."""
+    from pyspark.sql import functions as F
+
+    good = lambda k: "\n".join(prose(k, 240).split("\n") * 15)
+    bad = lambda k: "\n".join("BUY!!! " * 3 + str(k) for _ in range(300))
+    rows = [(k, good(k) if k % 2 else bad(k)) for k in range(40)]
+    docs = spark.createDataFrame(rows + rows[::-1], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    m = line_crf.train(docs, labels)
+    assert np.array_equal(m.weights, line_crf.train(docs.orderBy(F.rand(3)), labels).weights)
+    s = m.score([t for _, t in rows])
+    assert (s[1::2] > 0.5).all() and (s[::2] < 0.3).all()
+    assert line_crf.chosen([(1, 5), (2, 300), (3, 6), (4, 1)], 11) == [1, 3]
+    assert (line_crf.train(docs, labels, lines=299).score(["x"]) == 0.5).all()
+
+
+def test_crf_score_against_enumeration():
+    """A document's score from all labellings of its lines, weighted by length."""
+    import itertools
+
+    texts = ["One short line.\n\nAND A LOUD ONE!!!\nthen a last line, of some length", "x", ""]
+    r = np.random.default_rng(2)
+    x, length, first = line_crf.line_features(texts)
+    m = line_crf.LineCRF(r.standard_normal(x.shape[1]), r.standard_normal((2, 2)), np.zeros(x.shape[1]), np.ones(x.shape[1]), 1.3, -0.2)
+    em = x @ m.weights
+    for k, s in enumerate(m.score(texts)):
+        n, top, total = first[k + 1] - first[k], 0.0, 0.0
+        size = length[first[k] : first[k + 1]] + 1
+        for y in itertools.product((0, 1), repeat=n):
+            w = np.exp(sum(em[first[k] + i] * v for i, v in enumerate(y)) + sum(m.trans[u, v] for u, v in zip(y, y[1:], strict=False)))
+            total += w
+            top += w * (size * np.array(y)).sum() / size.sum()
+        odds = np.log(top / total / (1 - top / total))
+        assert abs(s - 1 / (1 + np.exp(-(1.3 * odds - 0.2)))) < 1e-9
 
 
-def test_crf_marginals_against_enumeration():
+@pytest.mark.parametrize("run", [64, 2, 1])
+def test_crf_marginals_against_enumeration(run, monkeypatch):
     import itertools
 
+    monkeypatch.setattr(line_crf, "CHAIN", run)
     r = np.random.default_rng(1)
     first, em, trans = np.array([0, 1, 4, 8]), r.standard_normal(8), r.standard_normal((2, 2))
     got, pairs = line_crf.marginals(em, trans, first)
