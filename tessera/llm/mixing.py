@@ -4,8 +4,8 @@ Targets: sources in code-point order (null last) weigh 3, 1, 2, repeating, and s
 SHARE times all words; a source's target stops at MOST times its size, and what is
 over is shared anew by weight until none is above.
 
-Quotas: a source's documents are dealt by hash to shards of about SHARD_WORDS words,
-and the house of (all target words / BLOCK_WORDS) blocks goes to the shards by
+Quotas: a source's documents are dealt by hash to shards of about SHARD_WORDS words or
+SHARD_ROWS rows, whichever are more, and the house of (all target words / BLOCK_WORDS) blocks goes to the shards by
 highest quotients target/(2k+1). The quotients aren't sorted: the divisor at which
 the house is full is searched for with sums over the (small) table of shards, and
 blocks that tie at it go out in order.
@@ -16,11 +16,15 @@ run of blocks that starts at a seeded place and wraps round, so most documents a
 taken whole. No block is taken more than MOST times.
 
 Scale: texts are read once for their sizes; only (doc_id, source, size) is shuffled,
-by (source, shard), so a hot source spreads over as many tasks as it has shards.
+by (source, shard), so a hot source spreads over as many tasks as it has shards, its
+texts empty or not. Sources and tied shards are numbered by ranges of their order and
+sums over these ranges, never sorted in one task.
 
 Defined results: a null text has size 0 and is never taken; a null source is a
-source of its own; repeated rows count and are taken one by one; an empty table or
-one without words has targets and takings of 0.
+source of its own; a row without a doc_id is placed by its text, after all others of
+its shard that agree in their seeds; repeated rows count and are taken one by one; tied
+quotients go out in the order of sources and shards; an empty table or one without words
+has targets and takings of 0. Other columns are not touched.
 """
 
 from __future__ import annotations
@@ -28,15 +32,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, load, masked, unmasked, word_count
+from .common import durable, load, masked, partitions, unmasked, word_count
 
 #: Weights in turn, share of all words that the mix takes, most times that a word is taken.
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-#: Words of a block, and about how many words a shard has.
+#: Words of a block, and about how many words and rows a shard has.
 BLOCK_WORDS = 16
 SHARD_WORDS = 2_000_000
+SHARD_ROWS = 1024
 SEED = "mix-1"
 
 
@@ -44,23 +49,21 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def ranked_sources(totals: DataFrame) -> DataFrame:
-    """Number the sources (source, source_size) from 0 in code-point order, null last, without sorting them in one task.
+def numbered(rows: DataFrame, order: list[Column], name: str, table: str) -> DataFrame:
+    """Add `name`: numbers from 0 in an order without ties. Rows are dealt by ranges of the order; each range is numbered on its own, from the sizes of those before it."""
+    parts = partitions(rows.sparkSession)
+    ranged = durable(rows.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()), table)
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))  # `parts` rows at most
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    inner = Window.partitionBy("__range").orderBy(*order)
+    placed = ranged.withColumn("__in_range", F.row_number().over(inner) - 1).join(F.broadcast(before), F.col("__range") == F.col("__r"))
+    return placed.withColumn(name, (F.col("__before") + F.col("__in_range")).cast("long")).drop("__range", "__in_range", "__r", "__before")
 
-    Each source is put in a bucket by its first two characters; buckets are few
-    and are numbered by a running sum, sources within their bucket.
-    """
-    bucket = F.when(F.col("source").isNull(), F.lit(None)).otherwise(F.substring("source", 1, 2))
-    t = totals.withColumn("__bucket", bucket)
-    w = Window.orderBy(F.col("__bucket").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    before = t.groupBy("__bucket").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0))).select(F.col("__bucket").alias("__b"), "__before")
-    inner = Window.partitionBy("__bucket").orderBy(F.col("source").asc_nulls_last())
-    return (
-        t.withColumn("__rn", F.row_number().over(inner) - 1)
-        .join(before, same(F.col("__bucket"), F.col("__b")))
-        .withColumn("rank", (F.col("__before") + F.col("__rn")).cast("long"))
-        .select("source", "source_size", "rank")
-    )
+
+def ranked_sources(totals: DataFrame) -> DataFrame:
+    """Number the sources (source, source_size, source_rows) from 0 in code-point order, null last."""
+    return numbered(totals, [F.col("source").asc_nulls_last()], "rank", "mix-ranges")
 
 
 def with_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -86,35 +89,38 @@ def seats(divisor: Column | float) -> Column:
     return F.floor(F.col("target") / divisor + 0.5)
 
 
-def apportion(cells: DataFrame, house: int, order: list[str], rounds: int = 24) -> DataFrame:
-    """Give `house` blocks to cells (`target`) by highest quotients; ties go in the order of `order`. Adds quota."""
-    targets = cells.agg(F.sum("target"), F.max("target")).first()
-    if house <= 0 or not targets[0]:
+def apportion(cells: DataFrame, house: int, order: list[str], rounds: int = 24, close: int = 10_000) -> DataFrame:
+    """Give `house` blocks to cells (`target`) by highest quotients; ties go in the order of `order`. Adds quota.
+
+    The divisor is searched for until it leaves `close` quotients open, or until those
+    left are ties; these are put in order.
+    """
+    sums = cells.agg(F.sum("target"), F.max("target"), F.count("*")).first()
+    if house <= 0 or not sums[0]:
         return cells.withColumn("quota", F.lit(0).cast("long"))
     # between a divisor that gives too few and one that gives enough; each round cuts the gap 33-fold
-    few, enough = 2.0 * targets[1] + 1.0, targets[0] / (house + cells.count() + 1.0)
+    few, enough = 2.0 * sums[1] + 1.0, sums[0] / (house + sums[2] + 1.0)
+    at_few, at_enough = 0, None
     for _ in range(rounds):
-        marks = [enough * (few / enough) ** (k / 33) for k in range(1, 33)]
-        marks = sorted({m for m in marks if enough < m < few})
+        marks = sorted({m for m in (enough * (few / enough) ** (k / 33) for k in range(1, 33)) if enough < m < few})
         if not marks:
             break
         got = cells.agg(*(F.sum(seats(F.lit(m))).alias(f"s{k}") for k, m in enumerate(marks))).first()
         for m, n in zip(marks, got, strict=True):
             if n >= house:
-                enough = max(enough, m)
-            else:
-                few = min(few, m)
-        if few / enough < 1 + 1e-13:
+                enough, at_enough = (m, int(n)) if m > enough else (enough, at_enough)
+            elif m < few:
+                few, at_few = m, int(n)
+        if few / enough < 1 + 1e-13 or at_enough is not None and at_enough - at_few <= close:
             break
-    at_few = seats(F.lit(few))
-    left = house - int(cells.agg(F.sum(at_few)).first()[0])
-    tied = cells.where(seats(F.lit(enough)) > at_few)
-    w = Window.orderBy((F.col("target") / (2 * at_few + 1)).desc(), *(F.col(c).asc_nulls_last() for c in order))
-    more = tied.select(*(F.col(c).alias(f"__{c}") for c in order), F.row_number().over(w).alias("__rn")).where(F.col("__rn") <= left)
+    low, high = seats(F.lit(few)), seats(F.lit(enough))
+    open_ = cells.where(high > low).withColumn("__k", F.explode(F.sequence(low, high - 1))).select(*order, "__k", (F.col("target") / (2 * F.col("__k") + 1)).alias("__q"))
+    won = numbered(open_, [F.col("__q").desc(), *(F.col(c).asc_nulls_last() for c in order), F.col("__k")], "__won", "mix-open").where(F.col("__won") < house - at_few)
+    more = won.groupBy(*(F.col(c).alias(f"__{c}") for c in order)).agg(F.count("*").alias("__more"))
     cond = F.lit(True)
     for c in order:
         cond &= same(F.col(c), F.col(f"__{c}"))
-    return cells.join(more, cond, "left").withColumn("quota", (at_few + F.col("__rn").isNotNull().cast("long")).cast("long")).drop(*(f"__{c}" for c in order), "__rn")
+    return cells.join(more, cond, "left").withColumn("quota", (low + F.coalesce("__more", F.lit(0))).cast("long")).drop(*(f"__{c}" for c in order), "__more")
 
 
 def seeded(*of: Column) -> Column:
@@ -126,20 +132,25 @@ def overlap(a: Column, b: Column, lo: Column, hi: Column) -> Column:
     return F.greatest(F.lit(0), F.least(b, hi) - F.greatest(a, lo))
 
 
-def mix(sizes: DataFrame, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """Mix rows (doc_id, source, size, and any more columns), which should be durable: they are read more than once.
+def place_of() -> Column:
+    """What a row is dealt by: its doc_id, or its text where that is null."""
+    return F.when(F.col("doc_id").isNotNull(), F.col("doc_id").cast("string")).otherwise(F.concat(F.lit("null|"), F.md5(F.coalesce("text", F.lit("")))))
+
+
+def mix(sizes: DataFrame, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Mix rows (doc_id, source, size, place, and any more columns), which should be durable: they are read more than once.
 
     Adds source_size, target, passes, run_from, run_words and taken: the row's words
     are taken `passes` times whole, and run_words of them from its word run_from on
     (wrapping round at its end) once more.
     """
-    totals = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
+    totals = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count("*").alias("source_rows"))
     targets = durable(with_targets(totals), "mix-targets")
-    shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))
+    shards = F.greatest(F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("source_rows") / shard_rows))
     t = targets.select(F.col("source").alias("__s"), "source_size", "target", shards.alias("__shards"))
     # the few sources meet the many rows: Spark broadcasts them if they are small, and splits a hot source otherwise
     rows = sizes.join(t, same(F.col("source"), F.col("__s"))).drop("__s")
-    rows = rows.withColumn("__seed", seeded(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).withColumn("__shard", F.col("__seed") % F.col("__shards"))
+    rows = rows.withColumn("__seed", seeded(F.col("place"))).withColumn("__shard", F.col("__seed") % F.col("__shards"))
     cells = rows.groupBy("source", "__shard").agg(F.sum("size").alias("__words"), F.first("target").alias("__target"), F.first("source_size").alias("__size"))
     cells = cells.withColumn("target", F.when(F.col("__size") > 0, F.col("__target") * F.col("__words") / F.col("__size")).otherwise(F.lit(0.0)))
     cells = durable(cells.select("source", "__shard", "__words", "target"), "mix-cells")
@@ -161,12 +172,12 @@ def mix(sizes: DataFrame, block: int = BLOCK_WORDS, shard_words: int = SHARD_WOR
     main, wrapped = overlap(a, b, lo, hi), overlap(a, b, F.lit(0), hi - F.col("__ring"))
     # a document that the run leaves and enters again counts from where it enters
     run_from = F.when(main > 0, F.greatest(lo - a, F.lit(0))).otherwise(F.lit(0))
-    return out.withColumns({"run_from": run_from.cast("long"), "run_words": (main + wrapped).cast("long")}).withColumn("taken", (F.col("passes") * F.col("size") + F.col("run_words")).cast("long")).drop("__s", "__k", "__w", "__lo", "__len", "__ring", "__a", "__b", "__seed", "__shard", "__shards")
+    return out.withColumns({"run_from": run_from.cast("long"), "run_words": (main + wrapped).cast("long")}).withColumn("taken", (F.col("passes") * F.col("size") + F.col("run_words")).cast("long")).drop("__s", "__k", "__w", "__lo", "__len", "__ring", "__a", "__b", "__seed", "__shard", "__shards", "place")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    sizes = durable(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    sizes = durable(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), place_of().alias("place")), "mix-sizes")
     return mix(sizes).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
@@ -179,7 +190,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """
     docs, names = masked(docs, ("doc_id", "text", "source", "n_chars"))
     row = F.xxhash64("text")
-    sizes = durable(docs.select("doc_id", row.alias("__row"), "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    sizes = durable(docs.select("doc_id", row.alias("__row"), "source", word_count(F.col("text")).alias("size"), place_of().alias("place")), "mix-sizes")
     # rows that agree in all of these are copies of one another, so any of them may have any of their takings
     w = Window.partitionBy("doc_id", "__row", "source").orderBy("passes", "run_from", "run_words")
     taken = durable(mix(sizes).where("taken > 0").select("doc_id", "__row", "source", "size", "passes", "run_from", "run_words"), "mix-taken")
@@ -201,9 +212,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 OP2_SQL = rf"""
 WITH s AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+    coalesce(doc_id::VARCHAR, 'null|' || md5(coalesce(text, ''))) AS place FROM documents
 ), totals AS (
-  SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM s GROUP BY source
+  SELECT source, sum(size)::BIGINT AS source_size, count(*) AS source_rows, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM s GROUP BY source
 ), filled AS (
   SELECT *, {MOST} * source_size / w AS ratio, row_number() OVER (ORDER BY {MOST} * source_size / w, source NULLS LAST) AS i,
     ({SHARE} * sum(source_size) OVER ())::DOUBLE AS whole FROM totals
@@ -212,10 +224,10 @@ WITH s AS (
 ), level AS (
   SELECT coalesce(min(CASE WHEN per_weight <= ratio THEN i END), max(i)) AS stop_i FROM open_
 ), targets AS (
-  SELECT source, source_size, least(w * (SELECT per_weight FROM open_, level WHERE i = stop_i), ({MOST} * source_size)::DOUBLE) AS target FROM open_
+  SELECT source, source_size, source_rows, least(w * (SELECT per_weight FROM open_, level WHERE i = stop_i), ({MOST} * source_size)::DOUBLE) AS target FROM open_
 ), rows_ AS (
-  SELECT s.doc_id, s.source, s.size, t.source_size, t.target, ('0x' || substr(md5('{SEED}|' || coalesce(s.doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS seed,
-    greatest(1, ceil(t.source_size / {SHARD_WORDS}.0))::BIGINT AS shards FROM s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+  SELECT s.doc_id, s.source, s.size, t.source_size, t.target, ('0x' || substr(md5('{SEED}|' || s.place), 1, 15))::BIGINT AS seed,
+    greatest(ceil(t.source_size / {SHARD_WORDS}.0), ceil(t.source_rows / {SHARD_ROWS}.0))::BIGINT AS shards FROM s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 ), cells AS (
   SELECT source, seed % shards AS shard, sum(size)::BIGINT AS words, CASE WHEN any_value(source_size) > 0 THEN any_value(target) * sum(size)::BIGINT / any_value(source_size) ELSE 0.0 END AS target FROM rows_ GROUP BY ALL
 ), quotients AS (

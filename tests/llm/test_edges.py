@@ -224,7 +224,7 @@ def brute_targets(sizes, weights=(3, 1, 2)):
 def test_mixing(spark, docs, empty):
     from tessera.llm.common import durable, word_count
 
-    sizes = durable(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "t")
+    sizes = durable(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), mixing.place_of().alias("place")), "t")
     got = mixing.mix(sizes).collect()
     assert len(got) == len(rows()) and all(0 <= g.taken <= 2 * g["size"] for g in got)
     total = {}
@@ -242,6 +242,28 @@ def test_mixing(spark, docs, empty):
     assert mixing.mixed_documents(empty).count() == 0
 
 
+def test_sources_that_share_a_prefix(spark):
+    names = [f"https://www.example.org/{k * 7919 % 1000}" for k in range(1000)] + [None, "", "é", "😀", "z"]
+    got = mixing.ranked_sources(spark.createDataFrame([(x, 1, 1) for x in names], "source string, source_size long, source_rows long").repartition(3)).collect()
+    order = sorted(names, key=lambda x: (x is None, x or ""))
+    assert {r.source: r["rank"] for r in got} == {x: k for k, x in enumerate(order)}
+    assert got[0]["source_size"] == 1
+
+
+def test_hot_source_of_empty_texts(spark):
+    """A source of empty texts, without ids, is dealt to as many shards as its rows ask for; every row is there once."""
+    from tessera.llm.common import durable
+
+    rows = [(None, "hot", f" {'\t' * (k % 50)}\n{k % 977 * ' '}") for k in range(5000)] + [(k, "small", "a few words here") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    sizes = durable(docs.select("doc_id", "source", F.when(F.col("doc_id").isNull(), 0).otherwise(4).cast("long").alias("size"), mixing.place_of().alias("place")), "t")
+    place = sizes.where("source = 'hot'").select((mixing.seeded(F.col("place")) % 5).alias("k")).groupBy("k").count().collect()
+    assert len(place) == 5 and max(r["count"] for r in place) < 2000
+    got = mixing.mix(sizes).collect()
+    assert len(got) == 5030 and sum(g.taken for g in got if g.source == "hot") == 0 and abs(sum(g.taken for g in got) - 180) <= mixing.BLOCK_WORDS
+    assert mixing.SHARD_ROWS * 5 > 5000
+
+
 def test_apportionment(spark):
     r = random.Random(4)
     cells = [(f"c{k}", float(r.choice([1, 2, 5, 7, 7, 7, 40, 333]))) for k in range(40)]
@@ -249,7 +271,8 @@ def test_apportionment(spark):
     for house in (0, 1, 17, 200):
         quotients = sorted(((-t / (2 * k + 1), c, k) for c, t in cells for k in range(house + 1)))[:house]
         want = {c: sum(q[1] == c for q in quotients) for c, _ in cells}
-        assert {x["name"]: x.quota for x in mixing.apportion(df, house, ["name"]).collect()} == want
+        for close in (0, 10_000):  # all the way to ties, and by the last few quotients
+            assert {x["name"]: x.quota for x in mixing.apportion(df, house, ["name"], close=close).collect()} == want
 
 
 def test_simhash(docs, empty):
