@@ -1,35 +1,43 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations alone.
 
-A line of LEAST_CHARS characters or more goes if an equal line stands earlier in the
-corpus (by doc_id, then by place), or if a line within EDITS edits of it first stands
-earlier. Shorter lines always stay.
+A line goes if an equal line stands earlier in the corpus (by doc_id, then by place),
+or if a line that is linked to it first stands earlier. Lines of white space alone take
+no part and stay.
+
+Links: two different lines are linked if they are within EDITS edits and at most DIFFER
+per cent of the longer one's characters: one edit from 5 characters on, two from 10 on.
+So pairs fall into bands by the length of the longer line, each with its own number of
+edits, and each band is joined on its own (`bands`).
 
 Exact copies: lines are hashed to 128 bits where they are read; the first place and
 the number of places of each hash come from sums that are made before the shuffle.
 
-Near copies: each distinct line is cut into EDITS + 1 segments by its length; two
-lines within EDITS edits share one of them, at places that differ by no more than
+Near copies: each distinct line is cut into edits + 1 segments by its length; two
+lines within so many edits share one of them, at places that differ by no more than
 the edits on either side allow. So a line enters the index with its own segments and
-probes those of lines up to EDITS shorter at the few places that can match
-(length-aware). Only hashes of (length, segment number, segment) are shuffled; keys
-that one line alone has are dropped, and texts are fetched for the rest.
+probes those of lines up to that much shorter at the few places that can match
+(length-aware). Only hashes of (length, segment number, segment) and the line's number
+are shuffled; probes that meet no index row are dropped.
 
 Hot segments: where more than HOT lines share a key, no pairs are made. The shared
 segment is cut out and the rest of the lines is joined in the same way within the
-key, as often as needed: what is left shrinks each time, until an index row has EDITS
-characters or fewer. It then meets all rests of its key, which are up to EDITS longer:
-lines that agree in all but so little are few. So no group is paired off at large, and
-no link is lost.
-
-Check: banded bit-parallel edit distance. One register of 2 * EDITS + 1 bits for each
+key, as often as needed: what is left shrinks each time, until an index row has as many
+characters as there are edits, or fewer. It then meets all rests of its key, which are
+up to so much longer: lines that agree in all but so little are few, and nearly all
+linked. So no group is paired off at large, and no link is lost. Links themselves are
+written pair by pair, for they are counted: lines that differ in two characters at
+most, each from each, have as many as they are by twos.
+
+Check: banded bit-parallel edit distance. One register of 2 * edits + 1 bits for each
 number of edits holds the reachable cells of a band around the diagonal; a character
-moves all of them on with a few bit operations. Equal beginnings and ends are cut off
-first, in steps of STEP characters.
+moves all of them on with a few bit operations, and none once all are empty. Equal
+beginnings and ends are cut off first, in steps of STEPS characters.
 
 Defined results: null and empty texts have one empty line, which stays. A null doc_id
 comes last in order. Rows of one doc_id don't remove each other's lines at the same
-place, so repeated rows fare alike. Lines are cut at \\n alone; other columns, but
-n_chars where it is asked for, are not touched.
+place, so repeated rows fare alike. Lines that tie in their first place are one line.
+Lines are cut at \\n alone; other columns, but n_chars where it is asked for, are not
+touched, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,11 +50,11 @@ from pyspark.sql import functions as F
 from .common import durable, load, masked, unmasked
 from .components import components
 
-LEAST_CHARS, EDITS, HOT, STEP = 16, 1, 64, 32
+#: Most edits between linked lines, and most per cent of the longer one's characters.
+EDITS, DIFFER = 2, 20
+HOT, STEPS = 64, (32, 4)
 #: Places within a document; doc_id * PLACES + place orders lines.
 PLACES = 10**10
-#: Up to so many documents, the ids of those whose lines are to be compared are broadcast (8 bytes each).
-BROADCAST_IDS = 500_000
 LAST = (1 << 63) - 1
 #: Rows without a doc_id are nodes of their own above this, told apart by their text.
 NO_ID = LAST - (1 << 40)
@@ -57,6 +65,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def bands(edits: int = EDITS, differ: int = DIFFER) -> list[tuple[int, int, int | None]]:
+    """(edits, least, most length of the longer line) of each band of pairs."""
+    starts = [-(-100 * e // differ) for e in range(1, edits + 1)]
+    return [(e, lo, hi - 1 if hi else None) for e, lo, hi in zip(range(1, edits + 1), starts, [*starts[1:], None], strict=True)]
+
+
 def probes(edits: int) -> list[tuple[int, int, int]]:
     """(how much shorter, segment, shift) of each segment that a line looks up; (0, i, 0) are its own, which index it."""
     return [
@@ -75,36 +89,40 @@ def cut(n: Column, probe: tuple[int, int, int], edits: int) -> tuple[Column, Col
     return (begin + shift).cast("int"), (end - begin).cast("int")
 
 
-def segment_keys(line: Column, n: Column, edits: int, within: Column | None = None) -> list[Column]:
-    """A hash for each probe; null where the place is not inside the line."""
-    out = []
-    for p in probes(edits):
-        begin, size = cut(n, p, edits)
-        parts = [(n - p[0]).cast("int"), F.lit(p[1]), F.substring(line, begin + 1, size)]
-        out.append(F.when((begin >= 0) & (begin + size <= n) & (n >= p[0]), F.xxhash64(*([within] if within is not None else []), *parts)))
-    return out
+def segment_rows(rows: DataFrame, keep: list[str], text: str, edits: int, own: bool, may: Column, within: Column | None = None) -> DataFrame:
+    """A row (keep, key, probe) for each segment by which a text is indexed (own), or each other one that it probes, of the rows for which `may` holds."""
+    each = []
+    n = F.char_length(text)
+    for c, p in enumerate(probes(edits)):
+        if is_index(p) == own:
+            begin, size = cut(F.col("__n"), p, edits)
+            parts = [(F.col("__n") - p[0]).cast("int"), F.lit(p[1]), F.substring(F.col(text), begin + 1, size)]
+            key = F.xxhash64(*([within] if within is not None else []), *parts)
+            fits = F.lit(True) if own else (begin >= 0) & (begin + size <= F.col("__n")) & (F.col("__n") >= p[0])
+            each.append(F.struct(F.when(fits, key).alias("key"), F.lit(c).cast("byte").alias("probe")))
+    out = rows.where(may).withColumn("__n", n).select(*keep, F.explode(F.array(*each)).alias("__e")).select(*keep, "__e.*")
+    return out if own else out.where("key IS NOT NULL")
 
 
 def is_index(probe: tuple[int, int, int]) -> bool:
     return probe[0] == 0 and probe[2] == 0
 
 
-def exploded(rows: DataFrame, keys: list[Column], keep: list[str], flag: Column, edits: int) -> DataFrame:
-    """A row for each probe: key, whether it indexes the line, and which probe it is."""
-    each = F.array(*(F.struct(k.alias("key"), (flag & F.lit(is_index(p))).alias("own"), F.lit(c).alias("probe")) for c, (k, p) in enumerate(zip(keys, probes(edits), strict=True))))
-    return rows.select(*keep, F.explode(each).alias("__e")).select(*keep, "__e.*").where("key IS NOT NULL")
-
-
-def shared(rows: DataFrame) -> DataFrame:
-    """Rows whose key an index row and at least one more row have; n: how many."""
-    counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("any")).where("n > 1 AND any").select(F.col("key").alias("k"), "n")
-    return rows.join(counts, F.col("key") == F.col("k")).drop("k")
+def shared(own: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows (own: whether they index) whose key an index row and at least one more row have; n: how many. Both come with the same columns."""
+    counts = own.groupBy("key").agg(F.count("*").alias("n"))
+    met = durable(asked.join(counts.select(F.col("key").alias("k")), F.col("key") == F.col("k"), "left_semi"), "line-met")
+    keys = counts.where("n > 1").unionAll(met.groupBy("key").agg(F.count("*").alias("n"))).groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("parts"))
+    # a key that one line indexes and others ask for counts the one as well, or one more: it is used as a bound only
+    keys = durable(keys.select(F.col("key").alias("k"), (F.col("n") + F.when(F.col("parts") == 1, 1).otherwise(0)).alias("n")), "line-keys")
+    rows = own.withColumn("own", F.lit(True)).unionByName(met.withColumn("own", F.lit(False)))
+    return rows.join(keys, F.col("key") == F.col("k")).drop("k")
 
 
 def paired(rows: DataFrame, which: Column | None = None) -> DataFrame:
     """Pairs (a, b) of an index row (of those for which `which` holds) and another one of the same key, which few rows have."""
-    left = rows.where(F.col("own") if which is None else F.col("own") & which).select("key", F.col("h1").alias("a"))
-    right = rows.select("key", F.col("h1").alias("b"))
+    left = rows.where(F.col("own") if which is None else F.col("own") & which).select("key", F.col("id").alias("a"))
+    right = rows.select("key", F.col("id").alias("b"))
     return left.join(right, "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -115,13 +133,16 @@ def within_edits(x: Column, y: Column, edits: int) -> Column:
     at = lambda word, shift: F.shiftrightunsigned(word, shift) if shift >= 0 else F.shiftleft(word, -shift)
     register = lambda s, d: at(s, width * d).bitwiseAND(F.lit(full))
 
-    def strip(a: Column, b: Column) -> Column:
-        """struct<a, b> without equal beginnings, to steps of STEP."""
-        steps = F.sequence(F.lit(0), F.floor(F.greatest(F.least(F.length(a), F.length(b)), F.lit(1)) / STEP).cast("int"))
-        differs = F.transform(steps, lambda k: F.substring(a, k * STEP + 1, F.lit(STEP)) != F.substring(b, k * STEP + 1, F.lit(STEP)))
-        return let(F.array_position(differs, True), lambda p: F.when(p == 0, F.struct(F.substring(a, F.size(steps) * STEP + 1, F.lit(1 << 30)).alias("a"), F.substring(b, F.size(steps) * STEP + 1, F.lit(1 << 30)).alias("b"))).otherwise(
-            F.struct(F.substring(a, ((p - 1) * STEP + 1).cast("int"), F.lit(1 << 30)).alias("a"), F.substring(b, ((p - 1) * STEP + 1).cast("int"), F.lit(1 << 30)).alias("b"))
-        ))
+    def strip(a: Column, b: Column, step: int, most: int) -> Column:
+        """struct<a, b> without equal beginnings, in up to `most` steps and one."""
+        steps = F.sequence(F.lit(0), F.least(F.lit(most), F.floor(F.least(F.length(a), F.length(b)) / step)).cast("int"))
+        differs = F.transform(steps, lambda k: F.substring(a, k * step + 1, F.lit(step)) != F.substring(b, k * step + 1, F.lit(step)))
+        rest = lambda x, k: F.substring(x, (k * step + 1).cast("int"), F.lit(1 << 30))
+        after = lambda p: F.when(p == 0, F.size(steps)).otherwise(p - 1)
+        return let(let(F.array_position(differs, True), after), lambda k: F.struct(rest(a, k).alias("a"), rest(b, k).alias("b")))
+
+    def stripped(a: Column, b: Column) -> Column:
+        return let(strip(a, b, STEPS[0], 1 << 30), lambda s: strip(s["a"], s["b"], STEPS[1], STEPS[0] // STEPS[1]))
 
     def run(v: Column) -> Column:
         p, t = v["p"], v["t"]
@@ -140,7 +161,7 @@ def within_edits(x: Column, y: Column, edits: int) -> Column:
                     now = now.bitwiseOR(less).bitwiseOR(at(less, 1)).bitwiseOR(at(new, -1)).bitwiseAND(F.lit(full))
                 new = now
                 out = out.bitwiseOR(at(now, -width * d))
-            return out
+            return F.when(state == 0, state).otherwise(out)
 
         last = F.when(F.size(t) == 0, F.lit(first).cast("long")).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1))), F.lit(first).cast("long"), move))
         place = F.size(p) - F.size(t) + edits
@@ -150,8 +171,8 @@ def within_edits(x: Column, y: Column, edits: int) -> Column:
         return reached
 
     chars = lambda s: F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(F.split(s, ""))
-    ends = lambda s: strip(F.reverse(s["a"]), F.reverse(s["b"]))
-    return (F.abs(F.length(x) - F.length(y)) <= edits) & let(let(strip(x, y), ends), lambda s: let(F.struct(chars(s["a"]).alias("p"), chars(s["b"]).alias("t")), run))
+    ends = lambda s: stripped(F.reverse(s["a"]), F.reverse(s["b"]))
+    return (F.abs(F.length(x) - F.length(y)) <= edits) & let(let(stripped(x, y), ends), lambda s: let(F.struct(chars(s["a"]).alias("p"), chars(s["b"]).alias("t")), run))
 
 
 def order_id(doc_id: Column) -> Column:
@@ -163,73 +184,64 @@ def node_of(d: Column, th: Column) -> Column:
     return F.when(d == LAST, LAST - th.bitwiseAND(F.lit((1 << 40) - 1))).otherwise(d)
 
 
-def lines_of(docs: DataFrame, least: int) -> DataFrame:
-    """Lines that take part: d, th (row), pos, h1, h2 (128-bit hash), line, n."""
+def lines_of(docs: DataFrame) -> DataFrame:
+    """Lines that take part: d, th (row), pos, h1, h2 (128-bit hash), line."""
     rows = docs.select(order_id(F.col("doc_id")).alias("d"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return rows.withColumn("n", F.char_length("line")).where(F.col("n") >= least).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("line"), "line")})
-
-
-def near_links(docs: DataFrame, distinct: DataFrame, least: int, edits: int) -> DataFrame:
-    """Links (a1, a2, b1, b2) between hashes of different lines within so many edits. distinct: h1, h2, d and the keys k0, k1, ..."""
-    n_keys = len(probes(edits))
-    rows = exploded(distinct, [F.col(f"k{c}") for c in range(n_keys)], ["h1"], F.lit(True), edits)
-    level = durable(shared(rows), "line-shared")
-    ids = durable(level.select("h1").distinct(), "line-ids")
-    # texts of the lines that share a segment, from the documents where they stand first
-    homes = durable(distinct.join(ids, "h1").select("d").distinct(), "line-homes")
-    homes = F.broadcast(homes) if homes.count() <= BROADCAST_IDS else homes
-    there = docs.withColumn("__d", order_id(F.col("doc_id"))).join(homes, F.col("__d") == F.col("d"), "left_semi").drop("__d")
-    texts = durable(lines_of(there, least).select("h1", "h2", "line").join(ids, "h1", "left_semi").dropDuplicates(["h1", "h2"]), "line-texts")
+    return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("line"), "line")})
+
+
+def near_pairs(lines: DataFrame, edits: int, least: int, most: int | None) -> DataFrame:
+    """Links (a, b) between the ids of different lines (id, line; durable) within so many edits, the longer of which has `least` to `most` characters."""
+    n = F.char_length("line")
+    longer = (n >= least) & (F.lit(True) if most is None else n <= most)
+    either = (n >= least - edits) & (F.lit(True) if most is None else n <= most)
+    level = durable(shared(segment_rows(lines, ["id"], "line", edits, True, either), segment_rows(lines, ["id"], "line", edits, False, longer)), "line-shared")
     pairs = paired(level.where(F.col("n") <= HOT))
-    hot = level.where(F.col("n") > HOT)
-    first = True
-    while True:
-        hot = durable(hot, "line-hot")
-        if hot.isEmpty():
-            break
-        if first:
-            hot = hot.join(texts.select("h1", "line"), "h1").withColumn("rest", F.col("line")).drop("line")
-            first = False
+    hot = durable(level.where(F.col("n") > HOT).join(lines.select("id", F.col("line").alias("rest")), "id"), "line-hot")
+    while not hot.isEmpty():
         size = F.char_length("rest")
         begin, length = F.lit(None).cast("int"), F.lit(None).cast("int")
         for c, p in enumerate(probes(edits)):
             b, s = cut(size, p, edits)
             begin, length = F.when(F.col("probe") == c, b).otherwise(begin), F.when(F.col("probe") == c, s).otherwise(length)
         cutout = hot.withColumns({"__b": begin, "__s": length})
-        cutout = cutout.select("h1", "own", F.col("key").alias("parent"), F.concat(F.substring("rest", F.lit(1), F.col("__b")), F.substring(F.col("rest"), F.col("__b") + F.col("__s") + 1, F.lit(1 << 30))).alias("rest"))
-        cutout = durable(cutout.distinct().withColumn("len", F.char_length("rest")), "line-rest")
+        cutout = cutout.select("id", "own", F.col("key").alias("parent"), F.concat(F.substring("rest", F.lit(1), F.col("__b")), F.substring(F.col("rest"), F.col("__b") + F.col("__s") + 1, F.lit(1 << 30))).alias("rest"))
+        cutout = durable(cutout.distinct(), "line-rest")
         # index rests of a parent are equally long; those too short to be cut meet the rests that are up to so many edits longer
-        ends = cutout.where(F.col("len") <= 2 * edits).withColumn("key", F.col("parent"))
-        pairs = pairs.unionAll(paired(ends, F.col("len") <= edits))
-        again = exploded(cutout.where(F.col("len") > edits), segment_keys(F.col("rest"), F.col("len"), edits, F.col("parent")), ["h1", "rest", "len"], F.col("own"), edits)
-        level = durable(shared(again), "line-again")
+        long = F.char_length("rest") > edits
+        pairs = pairs.unionAll(paired(cutout.where(F.char_length("rest") <= 2 * edits).withColumn("key", F.col("parent")), ~long))
+        again = lambda own: segment_rows(cutout, ["id", "rest"], "rest", edits, own, long & F.col("own") if own else long, F.col("parent"))  # noqa: B023, E731
+        # a rest that doesn't index its parent asks with all segments, its own places too
+        guests = segment_rows(cutout, ["id", "rest"], "rest", edits, True, long & ~F.col("own"), F.col("parent"))
+        level = durable(shared(again(True), again(False).unionByName(guests)), "line-again")
         pairs = pairs.unionAll(paired(level.where(F.col("n") <= HOT)))
-        hot = level.where(F.col("n") > HOT).drop("len", "n")
-    pairs = durable(pairs.distinct(), "line-pairs")
-    t = lambda x: texts.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("line").alias(f"{x}t"))
-    both = pairs.join(t("a"), F.col("a") == F.col("a1")).join(t("b"), F.col("b") == F.col("b1"))
-    return durable(both.where(within_edits(F.col("at"), F.col("bt"), edits)).select("a1", "a2", "b1", "b2"), "line-links")
+        hot = durable(level.where(F.col("n") > HOT).drop("n"), "line-hot")
+    text = lambda x: lines.select(F.col("id").alias(x), F.col("line").alias(f"{x}t"))
+    both = durable(pairs.distinct(), "line-pairs").join(text("a"), "a").join(text("b"), "b")
+    size = F.greatest(F.char_length("at"), F.char_length("bt"))
+    fits = (size >= least) & (F.lit(True) if most is None else size <= most)
+    return both.where(fits & within_edits(F.col("at"), F.col("bt"), edits)).select("a", "b")
 
 
-def marked_lines(docs: DataFrame, least: int = LEAST_CHARS, edits: int = EDITS, classes: bool = True) -> DataFrame:
+def marked_lines(docs: DataFrame, edits: int = EDITS, classes: bool = True) -> DataFrame:
     """Rows of documents with lines that are repeated or linked: d, th, gone (their places), near (those gone for a link alone), linked; with classes also class.
 
     A class is a connected component: rows belong together if they have an equal line,
     or two lines that are linked, or are so joined by others. class: its least doc_id.
     """
-    lines = lines_of(docs, least)
-    keys = {f"k{c}": k for c, k in enumerate(segment_keys(F.col("line"), F.col("n"), edits))}
-    places = durable(lines.select("d", "th", "pos", "h1", "h2", *(k.alias(c) for c, k in keys.items())), "line-places")
     order = F.col("d").cast("decimal(20,0)") * F.lit(PLACES).cast("decimal(12,0)") + F.col("pos")
     order = order.cast("decimal(38,0)")
-    distinct = places.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.min("d").alias("d"), F.min(node_of(F.col("d"), F.col("th"))).alias("home"), F.count("*").alias("n"), *(F.max(c).alias(c) for c in keys))
-    distinct = durable(distinct, "line-distinct")
-    links = near_links(docs, distinct, least, edits)
-    ends = links.unionAll(links.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2")))
-    firsts = distinct.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("first").alias("other"))
-    linked = ends.join(firsts, ["b1", "b2"]).groupBy(F.col("a1").alias("h1"), F.col("a2").alias("h2")).agg(F.count("*").alias("links"), F.min("other").alias("other"))
-    notable = distinct.join(linked, ["h1", "h2"], "left").where("n > 1 OR links IS NOT NULL").select("h1", "h2", "first", "home", "links", "other")
-    met = places.select("d", "th", "pos", "h1", "h2").join(durable(notable, "line-notable"), ["h1", "h2"])
+    lines = lines_of(docs)
+    distinct = lines.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.min(node_of(F.col("d"), F.col("th"))).alias("home"), F.count("*").alias("n"), F.min("line").alias("line"))
+    distinct = durable(distinct.withColumn("id", F.monotonically_increasing_id()), "line-distinct")
+    links = None
+    for e, least, most in bands(edits):
+        found = durable(near_pairs(distinct.select("id", "line"), e, least, most), "line-links")
+        links = found if links is None else links.unionAll(found)
+    ends = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    linked = ends.join(distinct.select(F.col("id").alias("b"), F.col("first").alias("other")), "b").groupBy(F.col("a").alias("id")).agg(F.count("*").alias("links"), F.min("other").alias("other"))
+    notable = distinct.join(linked, "id", "left").where("n > 1 OR links IS NOT NULL").select("h1", "h2", "first", "home", "links", "other")
+    met = lines.select("d", "th", "pos", "h1", "h2").join(durable(notable, "line-notable"), ["h1", "h2"])
     repeat, near = F.col("first") < order, F.coalesce(F.col("other") < F.col("first"), F.lit(False))
     gone = met.withColumns({"repeat": repeat, "near": near})
     out = gone.groupBy("d", "th").agg(
@@ -242,17 +254,17 @@ def marked_lines(docs: DataFrame, least: int = LEAST_CHARS, edits: int = EDITS,
         return out
     # each row is joined to the homes of its lines, and the homes of linked lines to each other
     out = durable(out.withColumn("node", node_of(F.col("d"), F.col("th"))), "line-marks")
-    home = lambda x: distinct.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("home").alias(x))
-    across = links.join(home("a"), ["a1", "a2"]).join(home("b"), ["b1", "b2"]).select("a", "b")
+    home = lambda x: distinct.select(F.col("id").alias(x), F.col("home").alias(f"{x}h"))
+    across = links.join(home("a"), "a").join(home("b"), "b").select(F.col("ah").alias("a"), F.col("bh").alias("b"))
     edges = out.select(F.col("node").alias("a"), F.explode("homes").alias("b")).unionAll(across).where("a != b")
     roots = components(durable(edges.distinct(), "line-edges")).withColumnRenamed("node", "k")
     root = F.coalesce("root", "node")
     return out.join(roots, F.col("node") == F.col("k"), "left").withColumn("class", F.when(root <= NO_ID, root)).drop("homes", "node", "k", "root")
 
 
-def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS, edits: int = EDITS, classes: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, classes: bool = True) -> DataFrame:
     """docs with __text (what stays of text) and __gone, __near, __linked, and, with classes, __class."""
-    marks = marked_lines(docs, least, edits, classes)
+    marks = marked_lines(docs, edits, classes)
     names = {"gone": "__gone", "near": "__near", "linked": "__linked", **({"class": "__class"} if classes else {}), "d": "__md", "th": "__mth"}
     marks = marks.select(*(F.col(a).alias(b) for a, b in names.items()))
     rows = docs.withColumns({"__d": order_id(F.col("doc_id")), "__th": F.xxhash64("text")})

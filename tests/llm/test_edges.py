@@ -464,18 +464,24 @@ def edits(a, b):
     return p[-1]
 
 
-def brute_lines(table, least=16, most=1):
-    occ = sorted((i, p, x) for i, t in table for p, x in enumerate((t or "").split("\n")) if len(x) >= least)
+def linked(x, y):
+    most = min(2, max(len(x), len(y)) // 5)
+    return x != y and abs(len(x) - len(y)) <= most and edits(x, y) <= most
+
+
+def brute_lines(table):
+    occ = sorted((i, p, x) for i, t in table for p, x in enumerate((t or "").split("\n")) if x.strip(" \t\n\x0b\x0c\r"))
     first = {}
     for i, p, x in occ:
         first.setdefault(x, (i, p))
     lines = sorted(first)
-    near = {x: [y for y in lines if x != y and abs(len(x) - len(y)) <= most and edits(x, y) <= most] for x in lines}
-    out = {}
+    near = {x: [y for y in lines if linked(x, y)] for x in lines}
+    out, links = {}, {}
     for i, t in table:
-        stay = [x for p, x in enumerate((t or "").split("\n")) if len(x) < least or not (first[x] < (i, p) or any(first[y] < first[x] for y in near[x]))]
+        stay = [x for p, x in enumerate((t or "").split("\n")) if x not in first or not (first[x] < (i, p) or any(first[y] < first[x] for y in near[x]))]
         out[i] = "\n".join(stay)
-    return out
+        links[i] = sum(len(near.get(x, ())) for x in (t or "").split("\n"))
+    return out, links
 
 
 def test_edit_distance(spark):
@@ -488,40 +494,50 @@ def test_edit_distance(spark):
             b[k : k + r.randint(0, 1)] = r.choice(["", "a", "z"])
         pairs.append(("".join(a), "".join(b)))
     df = spark.createDataFrame(pairs, "x string, y string")
-    for most in (1, 2):
+    for most in (1, 2, 3):
         for x in df.select("x", "y", line_dedup.within_edits(F.col("x"), F.col("y"), most).alias("w")).collect():
             assert x.w == (edits(x.x, x.y) <= most)
 
 
 @pytest.mark.parametrize("hot", [64, 2])
 def test_line_dedup(spark, hot, monkeypatch):
+    """Lines of any length, one and two edits, against brute force; hot keys cut out again and again."""
     monkeypatch.setattr(line_dedup, "HOT", hot)
     r = random.Random(hot)
-    table = [(k, "\n".join([f"Error at line {r.randint(0, 99):02d} of the same module", "".join(r.choice("ab") for _ in range(17)), "the same line in every document", "short", ""])) for k in range(30)] + [(40, None), (41, "")]
-    got = {x.doc_id: x.t for x in line_dedup.dedup_lines(spark.createDataFrame(table, "doc_id long, text string")).select("doc_id", F.coalesce("__text", F.lit("")).alias("t")).collect()}
-    assert got == brute_lines(table)
+
+    def typos(x):
+        for _ in range(r.randint(0, 3)):
+            k = r.randint(0, len(x))
+            x = x[:k] + r.choice(["", "q", "é"]) + x[k + r.randint(0, 1) :]
+        return x
+
+    def lines(k):
+        few = lambda n: "".join(r.choice("abc") for _ in range(n))
+        return [f"Error at line {r.randint(0, 99):02d} of the same module", few(17), "the same line in every document", typos("a line with up to three typing errors, each of its own"), few(8), few(9), few(4), few(5), f"p {k}", "Les.", "", "  \t", r.choice(["ab", "😀", "x"])]
+
+    table = [(k, "\n".join(lines(k))) for k in range(25)] + [(40, None), (41, ""), (42, "\n\n")]
+    rows = line_dedup.dedup_lines(spark.createDataFrame(table, "doc_id long, text string")).select("doc_id", F.coalesce("__text", F.lit("")).alias("t"), F.coalesce(F.aggregate("__linked", F.lit(0).cast("long"), lambda a, x: a + x["links"]), F.lit(0)).alias("n")).collect()
+    text, links = brute_lines(table)
+    assert {x.doc_id: x.t for x in rows} == text
+    assert {x.doc_id: x.n for x in rows} == links
 
 
 def test_numbered_lines_keep_all_links(spark):
-    """Hot keys whose lines differ in length: 'page 1' and 'page 10' are linked."""
+    """Hot keys whose lines differ in length: 'page 1', 'page 10' and 'page 101' are linked."""
     lines = [f"Continued on page {k}" for k in range(300)]
     df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
-    got = {x.doc_id: sum(y["links"] for y in x.linked or []) for x in line_dedup.dedup_lines(df).select("doc_id", F.col("__linked").alias("linked")).collect()}
-    short = lambda x: {x[:i] + x[i + 1 :] for i in range(len(x))}
-    number = [str(k) for k in range(300)]
-    linked = lambda x, y: x != y and (x in short(y) or y in short(x) or len(x) == len(y) and sum(a != b for a, b in zip(x, y, strict=True)) == 1)
-    assert got == {k: sum(linked(x, y) for y in number) for k, x in enumerate(number)}
+    got = {x.doc_id: sum(y["links"] for y in x.linked or []) for x in line_dedup.dedup_lines(df, classes=False).select("doc_id", F.col("__linked").alias("linked")).collect()}
+    assert got == {k: sum(linked(x, y) for y in lines) for k, x in enumerate(lines)}
 
 
 def test_line_classes(spark, tmp_path):
     """class_id and n_links against brute force: chains of shared lines and of near lines, and rows without a doc_id."""
-    a, b, c = "alpha line that two rows share", "other line that two rows share", "a chain of near lines: "
+    a, b, c = "alpha line that two rows share", "b: quite unlike it, and shared", "a chain of near lines: "
     table = [(1, "nothing here is shared with others"), (2, a), (3, f"{a}\n{b}"), (4, f"{b}\nsomething of its own, too"), (5, c + "xxxx"), (6, c + "xxxy"), (7, c + "xxyy"), (8, c + "xyyy"), (9, f"{c}xyyy\n{b}")]
     table += [(10, "near before it is repeated 00"), (11, "near before it is repeated 01"), (12, "near before it is repeated 01"), (None, "this row has no doc_id, ever"), (20, "this row has no doc_id, ever"), (None, "neither has this one, either"), (30, "neither has this one, either"), (40, None)]
     spark.createDataFrame(table, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = [(x.doc_id, x.class_id, x.n_links) for x in line_dedup.op8_line_dedup(spark, str(tmp_path)).collect()]
-    lines = [set() if t is None else {x for x in t.split("\n") if len(x) >= 16} for _, t in table]
-    linked = lambda x, y: x != y and edits(x, y) <= 1
+    lines = [set() if t is None else set(t.split("\n")) for _, t in table]
     group = list(range(len(table)))
     for i, p in enumerate(lines):
         for j, q in enumerate(lines):
