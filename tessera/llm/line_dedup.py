@@ -16,8 +16,9 @@ Near copies: each distinct line is cut into edits + 1 segments by its length; tw
 lines within so many edits share one of them, at places that differ by no more than
 the edits on either side allow. So a line enters the index with its own segments and
 probes those of lines up to that much shorter at the few places that can match
-(length-aware). Only hashes of (length, segment number, segment) and the line's number
-are shuffled; probes that meet no index row are dropped.
+(length-aware). Only hashes, of (length, segment number, segment) and of the line, are
+shuffled, straight from the documents; rows that meet no other line's are dropped, and
+texts are fetched for the rest.
 
 Hot segments: where more than HOT lines share a key, no pairs are made. The shared
 segment is cut out and the rest of the lines is joined in the same way within the
@@ -52,7 +53,9 @@ from .components import components
 
 #: Most edits between linked lines, and most per cent of the longer one's characters.
 EDITS, DIFFER = 2, 20
-HOT, STEPS = 64, (32, 4)
+HOT, STEPS = 16, (32, 4)
+#: Up to so many lines that may have links, their hashes are broadcast (8 bytes each) to fetch their texts.
+BROADCAST_IDS = 1_000_000
 #: Places within a document; doc_id * PLACES + place orders lines.
 PLACES = 10**10
 LAST = (1 << 63) - 1
@@ -81,42 +84,58 @@ def probes(edits: int) -> list[tuple[int, int, int]]:
     ]
 
 
-def cut(n: Column, probe: tuple[int, int, int], edits: int) -> tuple[Column, Column]:
+def is_index(probe: tuple[int, int, int]) -> bool:
+    return probe[0] == 0 and probe[2] == 0
+
+
+def parameters(edits: int, first: bool) -> list[dict[str, int]]:
+    """Each segment that lines index or look up, for each number of edits. first: for whole lines, with the lengths of their band."""
+    out = []
+    for e, least, most in bands(edits):
+        for short, i, shift in probes(e):
+            own = is_index((short, i, shift))
+            lo, hi = (least - e if own else least, (1 << 30) if most is None else most) if first else (e + 1, 1 << 30)
+            out.append({"e": e, "short": short, "i": i, "shift": shift, "own": int(own), "lo": lo, "hi": hi})
+    return out
+
+
+def cut(n: Column, p: dict[str, Column] | Column) -> tuple[Column, Column]:
     """Begin (from 0) and size of a probe's segment in a line of n characters."""
-    short, i, shift = probe
-    of = n - short
-    begin, end = F.floor(of * i / (edits + 1)), F.floor(of * (i + 1) / (edits + 1))
-    return (begin + shift).cast("int"), (end - begin).cast("int")
-
-
-def segment_rows(rows: DataFrame, keep: list[str], text: str, edits: int, own: bool, may: Column, within: Column | None = None) -> DataFrame:
-    """A row (keep, key, probe) for each segment by which a text is indexed (own), or each other one that it probes, of the rows for which `may` holds."""
-    each = []
-    n = F.char_length(text)
-    for c, p in enumerate(probes(edits)):
-        if is_index(p) == own:
-            begin, size = cut(F.col("__n"), p, edits)
-            parts = [(F.col("__n") - p[0]).cast("int"), F.lit(p[1]), F.substring(F.col(text), begin + 1, size)]
-            key = F.xxhash64(*([within] if within is not None else []), *parts)
-            fits = F.lit(True) if own else (begin >= 0) & (begin + size <= F.col("__n")) & (F.col("__n") >= p[0])
-            each.append(F.struct(F.when(fits, key).alias("key"), F.lit(c).cast("byte").alias("probe")))
-    out = rows.where(may).withColumn("__n", n).select(*keep, F.explode(F.array(*each)).alias("__e")).select(*keep, "__e.*")
-    return out if own else out.where("key IS NOT NULL")
+    of, parts = n - p["short"], p["e"] + 1
+    begin, end = F.floor(of * p["i"] / parts), F.floor(of * (p["i"] + 1) / parts)
+    return (begin + p["shift"]).cast("int"), (end - begin).cast("int")
 
 
-def is_index(probe: tuple[int, int, int]) -> bool:
-    return probe[0] == 0 and probe[2] == 0
+def segment_rows(rows: DataFrame, keep: list[str], text: str, edits: int, within: str | None = None, only_own: bool = False) -> DataFrame:
+    """rows' `keep` with key and p, the parameters of its segment; `own` of rows, where they have it, says whether they may index."""
+    use = [p for p in parameters(edits, within is None) if p["own"] or not only_own]
+    each = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in p.items())) for p in use))
+    wide = rows.withColumn("__n", F.char_length(text)).select(*keep, *({text, "__n"} - set(keep)), *([within] if within and within not in keep else []), *(["own"] if "own" in rows.columns and "own" not in keep else []), F.explode(each).alias("p"))
+    n, p = F.col("__n"), F.col("p")
+    begin, size = cut(n, p)
+    fits = (n >= p["lo"]) & (n <= p["hi"]) & (begin >= 0) & (begin + size <= n) & (n >= p["short"])
+    if "e" in rows.columns:  # what is left of lines stays with their number of edits
+        fits &= p["e"] == F.col("e")
+    key = F.xxhash64(*([within] if within else []), p["e"], n - p["short"], p["i"], F.substring(F.col(text), begin + 1, size))
+    own = (p["own"] == 1) & F.col("own") if "own" in rows.columns else p["own"] == 1
+    return wide.where(fits).select(*keep, key.alias("key"), own.alias("own"), p["e"].cast("byte").alias("e"), p["short"].cast("byte").alias("short"), p["i"].cast("byte").alias("i"), p["shift"].cast("byte").alias("shift"))
+
+
+ROW = ["id", "key", "own", "e", "short", "i", "shift"]
+
 
+def shared(own: DataFrame, rows: DataFrame, more: list[str]) -> DataFrame:
+    """Rows (ROW and `more`) of keys that an index row and another line's row have, with n: how many. own: the index rows among them."""
+    counts = own.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).withColumnRenamed("key", "k")
+    several, asks = F.col("lo") != F.col("hi"), ~F.col("own") & (F.col("id") != F.col("lo"))
+    met = rows.join(counts.hint("shuffle_hash"), F.col("key") == F.col("k")).where(several | asks)
+    # a key that one line alone indexes: asking rows bring it with them
+    return durable(met.select(*ROW, *more, F.when(~several, F.col("lo")).alias("only")).distinct(), "line-met")
 
-def shared(own: DataFrame, asked: DataFrame) -> DataFrame:
-    """Rows (own: whether they index) whose key an index row and at least one more row have; n: how many. Both come with the same columns."""
-    counts = own.groupBy("key").agg(F.count("*").alias("n"))
-    met = durable(asked.join(counts.select(F.col("key").alias("k")), F.col("key") == F.col("k"), "left_semi"), "line-met")
-    keys = counts.where("n > 1").unionAll(met.groupBy("key").agg(F.count("*").alias("n"))).groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("parts"))
-    # a key that one line indexes and others ask for counts the one as well, or one more: it is used as a bound only
-    keys = durable(keys.select(F.col("key").alias("k"), (F.col("n") + F.when(F.col("parts") == 1, 1).otherwise(0)).alias("n")), "line-keys")
-    rows = own.withColumn("own", F.lit(True)).unionByName(met.withColumn("own", F.lit(False)))
-    return rows.join(keys, F.col("key") == F.col("k")).drop("k")
+
+def counted(rows: DataFrame) -> DataFrame:
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).withColumnRenamed("key", "k")
+    return durable(rows.join(sizes, F.col("key") == F.col("k")).drop("k"), "line-level")
 
 
 def paired(rows: DataFrame, which: Column | None = None) -> DataFrame:
@@ -126,8 +145,8 @@ def paired(rows: DataFrame, which: Column | None = None) -> DataFrame:
     return left.join(right, "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def within_edits(x: Column, y: Column, edits: int) -> Column:
-    """Whether two texts are within so many edits: banded, bit-parallel."""
+def within_edits(x: Column, y: Column, edits: int, allowed: Column | None = None) -> Column:
+    """Whether two texts are within so many edits, or within `allowed` (at most edits) of them: banded, bit-parallel."""
     width = 2 * edits + 1
     full = (1 << width) - 1
     at = lambda word, shift: F.shiftrightunsigned(word, shift) if shift >= 0 else F.shiftleft(word, -shift)
@@ -164,15 +183,13 @@ def within_edits(x: Column, y: Column, edits: int) -> Column:
             return F.when(state == 0, state).otherwise(out)
 
         last = F.when(F.size(t) == 0, F.lit(first).cast("long")).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1))), F.lit(first).cast("long"), move))
-        place = F.size(p) - F.size(t) + edits
-        reached = F.lit(False)
-        for k in range(width):
-            reached = reached | ((place == k) & (at(register(last, edits), k).bitwiseAND(F.lit(1)) == 1))
-        return reached
+        # the bit of the last cell, in the register of the edits that are allowed
+        place = (F.size(p) - F.size(t) + edits + width * (F.lit(edits) if allowed is None else v["d"])).cast("int")
+        return let(last, lambda end: F.get(F.array(*(at(end, k).bitwiseAND(F.lit(1)) == 1 for k in range(width * (edits + 1)))), place))
 
     chars = lambda s: F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(F.split(s, ""))
     ends = lambda s: stripped(F.reverse(s["a"]), F.reverse(s["b"]))
-    return (F.abs(F.length(x) - F.length(y)) <= edits) & let(let(stripped(x, y), ends), lambda s: let(F.struct(chars(s["a"]).alias("p"), chars(s["b"]).alias("t")), run))
+    return (F.abs(F.length(x) - F.length(y)) <= edits) & let(let(stripped(x, y), ends), lambda s: let(F.struct(chars(s["a"]).alias("p"), chars(s["b"]).alias("t"), *([] if allowed is None else [allowed.alias("d")])), run))
 
 
 def order_id(doc_id: Column) -> Column:
@@ -190,37 +207,46 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("line"), "line")})
 
 
-def near_pairs(lines: DataFrame, edits: int, least: int, most: int | None) -> DataFrame:
-    """Links (a, b) between the ids of different lines (id, line; durable) within so many edits, the longer of which has `least` to `most` characters."""
-    n = F.char_length("line")
-    longer = (n >= least) & (F.lit(True) if most is None else n <= most)
-    either = (n >= least - edits) & (F.lit(True) if most is None else n <= most)
-    level = durable(shared(segment_rows(lines, ["id"], "line", edits, True, either), segment_rows(lines, ["id"], "line", edits, False, longer)), "line-shared")
+def near_links(docs: DataFrame, edits: int) -> DataFrame:
+    """Links (a1, a2, b1, b2) between hashes of different lines that are within the edits that their lengths allow."""
+    lines = lines_of(docs).select(F.col("h1").alias("id"), "line")
+    found = shared(segment_rows(lines, ["id"], "line", edits, only_own=True), segment_rows(lines, ["id"], "line", edits), [])
+    # the one line that indexes a key, as a row of its own
+    owner = found.where("only IS NOT NULL").select(F.col("only").alias("id"), "key", F.lit(True).alias("own"), "e", F.lit(0).cast("byte").alias("short"), "i", F.lit(0).cast("byte").alias("shift"))
+    level = counted(found.select(*ROW).unionByName(owner).distinct())
+    ids = durable(level.select(F.col("id").alias("k")).distinct(), "line-ids")
+    small = ids.count() <= BROADCAST_IDS
+    texts = lines_of(docs).select("h1", "h2", "line").join(F.broadcast(ids) if small else ids, F.col("h1") == F.col("k"), "left_semi")
+    texts = durable(texts.dropDuplicates(["h1", "h2"]), "line-texts")
     pairs = paired(level.where(F.col("n") <= HOT))
-    hot = durable(level.where(F.col("n") > HOT).join(lines.select("id", F.col("line").alias("rest")), "id"), "line-hot")
-    while not hot.isEmpty():
-        size = F.char_length("rest")
-        begin, length = F.lit(None).cast("int"), F.lit(None).cast("int")
-        for c, p in enumerate(probes(edits)):
-            b, s = cut(size, p, edits)
-            begin, length = F.when(F.col("probe") == c, b).otherwise(begin), F.when(F.col("probe") == c, s).otherwise(length)
+    hot = level.where(F.col("n") > HOT).drop("n").join(texts.select(F.col("h1").alias("id"), F.col("line").alias("rest")), "id")
+    while True:
+        hot = durable(hot, "line-hot")
+        if hot.isEmpty():
+            break
+        begin, length = cut(F.char_length("rest"), {k: F.col(k).cast("int") for k in ("e", "short", "i", "shift")})
         cutout = hot.withColumns({"__b": begin, "__s": length})
-        cutout = cutout.select("id", "own", F.col("key").alias("parent"), F.concat(F.substring("rest", F.lit(1), F.col("__b")), F.substring(F.col("rest"), F.col("__b") + F.col("__s") + 1, F.lit(1 << 30))).alias("rest"))
+        cutout = cutout.select("id", "own", "e", F.col("key").alias("parent"), F.concat(F.substring("rest", F.lit(1), F.col("__b")), F.substring(F.col("rest"), F.col("__b") + F.col("__s") + 1, F.lit(1 << 30))).alias("rest"))
         cutout = durable(cutout.distinct(), "line-rest")
         # index rests of a parent are equally long; those too short to be cut meet the rests that are up to so many edits longer
-        long = F.char_length("rest") > edits
-        pairs = pairs.unionAll(paired(cutout.where(F.char_length("rest") <= 2 * edits).withColumn("key", F.col("parent")), ~long))
-        again = lambda own: segment_rows(cutout, ["id", "rest"], "rest", edits, own, long & F.col("own") if own else long, F.col("parent"))  # noqa: B023, E731
-        # a rest that doesn't index its parent asks with all segments, its own places too
-        guests = segment_rows(cutout, ["id", "rest"], "rest", edits, True, long & ~F.col("own"), F.col("parent"))
-        level = durable(shared(again(True), again(False).unionByName(guests)), "line-again")
+        size = F.char_length("rest")
+        pairs = pairs.unionAll(paired(cutout.where(size <= 2 * F.col("e")).withColumn("key", F.col("parent")), size <= F.col("e")))
+        again = segment_rows(cutout.where(size > F.col("e")), ["id", "rest"], "rest", edits, "parent")
+        found = shared(again.where("own"), again, ["rest"])
+        alone = found.where("only IS NOT NULL").select("key", F.col("only").alias("id"), "e", "i").distinct()
+        owner = alone.join(again.where("own"), ["key", "id", "e", "i"]).select(*ROW, "rest")
+        level = counted(found.select(*ROW, "rest").unionByName(owner).distinct())
         pairs = pairs.unionAll(paired(level.where(F.col("n") <= HOT)))
-        hot = durable(level.where(F.col("n") > HOT).drop("n"), "line-hot")
-    text = lambda x: lines.select(F.col("id").alias(x), F.col("line").alias(f"{x}t"))
-    both = durable(pairs.distinct(), "line-pairs").join(text("a"), "a").join(text("b"), "b")
-    size = F.greatest(F.char_length("at"), F.char_length("bt"))
-    fits = (size >= least) & (F.lit(True) if most is None else size <= most)
-    return both.where(fits & within_edits(F.col("at"), F.col("bt"), edits)).select("a", "b")
+        hot = level.where(F.col("n") > HOT).drop("n")
+    pairs = durable(pairs.distinct(), "line-pairs")
+    text = lambda x: texts.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("line").alias(f"{x}t"))
+    both = pairs.join(text("a"), F.col("a") == F.col("a1")).join(text("b"), F.col("b") == F.col("b1"))
+    longer = F.greatest(F.char_length("at"), F.char_length("bt"))
+    allowed = F.lit(0)
+    for e, least, _ in bands(edits):
+        allowed = F.when(longer >= least, e).otherwise(allowed)
+    both = both.withColumn("__d", allowed).where("__d > 0")
+    return durable(both.where(within_edits(F.col("at"), F.col("bt"), edits, F.col("__d"))).select("a1", "a2", "b1", "b2"), "line-links")
 
 
 def marked_lines(docs: DataFrame, edits: int = EDITS, classes: bool = True) -> DataFrame:
@@ -231,17 +257,14 @@ def marked_lines(docs: DataFrame, edits: int = EDITS, classes: bool = True) -> D
     """
     order = F.col("d").cast("decimal(20,0)") * F.lit(PLACES).cast("decimal(12,0)") + F.col("pos")
     order = order.cast("decimal(38,0)")
-    lines = lines_of(docs)
-    distinct = lines.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.min(node_of(F.col("d"), F.col("th"))).alias("home"), F.count("*").alias("n"), F.min("line").alias("line"))
-    distinct = durable(distinct.withColumn("id", F.monotonically_increasing_id()), "line-distinct")
-    links = None
-    for e, least, most in bands(edits):
-        found = durable(near_pairs(distinct.select("id", "line"), e, least, most), "line-links")
-        links = found if links is None else links.unionAll(found)
-    ends = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = ends.join(distinct.select(F.col("id").alias("b"), F.col("first").alias("other")), "b").groupBy(F.col("a").alias("id")).agg(F.count("*").alias("links"), F.min("other").alias("other"))
-    notable = distinct.join(linked, "id", "left").where("n > 1 OR links IS NOT NULL").select("h1", "h2", "first", "home", "links", "other")
-    met = lines.select("d", "th", "pos", "h1", "h2").join(durable(notable, "line-notable"), ["h1", "h2"])
+    places = durable(lines_of(docs).drop("line"), "line-places")
+    distinct = durable(places.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.min(node_of(F.col("d"), F.col("th"))).alias("home"), F.count("*").alias("n")), "line-distinct")
+    links = near_links(docs, edits)
+    ends = links.unionAll(links.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2")))
+    firsts = distinct.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("first").alias("other"))
+    linked = ends.join(firsts, ["b1", "b2"]).groupBy(F.col("a1").alias("h1"), F.col("a2").alias("h2")).agg(F.count("*").alias("links"), F.min("other").alias("other"))
+    notable = distinct.join(linked, ["h1", "h2"], "left").where("n > 1 OR links IS NOT NULL").select("h1", "h2", "first", "home", "links", "other")
+    met = places.join(durable(notable, "line-notable"), ["h1", "h2"])
     repeat, near = F.col("first") < order, F.coalesce(F.col("other") < F.col("first"), F.lit(False))
     gone = met.withColumns({"repeat": repeat, "near": near})
     out = gone.groupBy("d", "th").agg(
@@ -254,8 +277,8 @@ def marked_lines(docs: DataFrame, edits: int = EDITS, classes: bool = True) -> D
         return out
     # each row is joined to the homes of its lines, and the homes of linked lines to each other
     out = durable(out.withColumn("node", node_of(F.col("d"), F.col("th"))), "line-marks")
-    home = lambda x: distinct.select(F.col("id").alias(x), F.col("home").alias(f"{x}h"))
-    across = links.join(home("a"), "a").join(home("b"), "b").select(F.col("ah").alias("a"), F.col("bh").alias("b"))
+    home = lambda x: distinct.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("home").alias(x))
+    across = links.join(home("a"), ["a1", "a2"]).join(home("b"), ["b1", "b2"]).select("a", "b")
     edges = out.select(F.col("node").alias("a"), F.explode("homes").alias("b")).unionAll(across).where("a != b")
     roots = components(durable(edges.distinct(), "line-edges")).withColumnRenamed("node", "k")
     root = F.coalesce("root", "node")
