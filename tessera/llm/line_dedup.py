@@ -20,6 +20,10 @@ probes those of lines up to that much shorter at the few places that can match
 shuffled, straight from the documents; rows that meet no other line's are dropped, and
 texts are fetched for the rest.
 
+Filter: an edit turns at most two of the parities of how often each letter stands in a
+line, so the lines of a key are paired only if their parities differ in no more than
+twice the edits. What a key can cost is bounded by HOT.
+
 Hot segments: where more than HOT lines share a key, no pairs are made. The shared
 segment is cut out and the rest of the lines is joined in the same way within the
 key, as often as needed: what is left shrinks each time, until an index row has as many
@@ -32,7 +36,8 @@ most, each from each, have as many as they are by twos.
 Check: banded bit-parallel edit distance. One register of 2 * edits + 1 bits for each
 number of edits holds the reachable cells of a band around the diagonal; a character
 moves all of them on with a few bit operations, and none once all are empty. Equal
-beginnings and ends are cut off first, in steps of STEPS characters.
+beginnings are cut off first, in steps of STEPS characters, then HEAD characters are
+worked through, which settle most pairs; of the rest, equal ends are cut off too.
 
 Defined results: null and empty texts have one empty line, which stays. A null doc_id
 comes last in order. Rows of one doc_id don't remove each other's lines at the same
@@ -53,7 +58,9 @@ from .components import components
 
 #: Most edits between linked lines, and most per cent of the longer one's characters.
 EDITS, DIFFER = 2, 20
-HOT, STEPS = 16, (32, 4)
+HOT, STEPS, HEAD = 512, (32, 4), 24
+#: The characters whose parities are held.
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 .,-"
 #: Up to so many lines that may have links, their hashes are broadcast (8 bytes each) to fetch their texts.
 BROADCAST_IDS = 1_000_000
 #: Places within a document; doc_id * PLACES + place orders lines.
@@ -138,11 +145,17 @@ def counted(rows: DataFrame) -> DataFrame:
     return durable(rows.join(sizes, F.col("key") == F.col("k")).drop("k"), "line-level")
 
 
+def parities(line: Column) -> Column:
+    """Whether each of LETTERS stands an odd number of times in a line, as bits."""
+    return F.aggregate(F.array(*map(F.lit, LETTERS)), F.lit(0).cast("long"), lambda a, c: a * 2 + (F.char_length(line) - F.char_length(F.replace(line, c, F.lit("")))) % 2)
+
+
 def paired(rows: DataFrame, which: Column | None = None) -> DataFrame:
-    """Pairs (a, b) of an index row (of those for which `which` holds) and another one of the same key, which few rows have."""
-    left = rows.where(F.col("own") if which is None else F.col("own") & which).select("key", F.col("id").alias("a"))
-    right = rows.select("key", F.col("id").alias("b"))
-    return left.join(right, "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    """Pairs (a, b) of an index row (of those for which `which` holds) and another one of the same key, which few rows have, whose parities allow a link."""
+    left = rows.where(F.col("own") if which is None else F.col("own") & which).select("key", "e", F.col("id").alias("a"), F.col("parity").alias("pa"))
+    right = rows.select(F.col("key").alias("k"), F.col("id").alias("b"), F.col("parity").alias("pb"))
+    near = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 2 * F.col("e")
+    return left.join(right, (F.col("key") == F.col("k")) & (F.col("a") != F.col("b")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def within_edits(x: Column, y: Column, edits: int, allowed: Column | None = None) -> Column:
@@ -163,9 +176,12 @@ def within_edits(x: Column, y: Column, edits: int, allowed: Column | None = None
     def stripped(a: Column, b: Column) -> Column:
         return let(strip(a, b, STEPS[0], 1 << 30), lambda s: strip(s["a"], s["b"], STEPS[1], STEPS[0] // STEPS[1]))
 
-    def run(v: Column) -> Column:
-        p, t = v["p"], v["t"]
-        first = sum(sum(1 << (k + width * d) for k in range(edits, edits + d + 1)) for d in range(edits + 1))
+    first = sum(sum(1 << (k + width * d) for k in range(edits, edits + d + 1)) for d in range(edits + 1))
+
+    start = F.lit(first).cast("long")
+
+    def walk(p: Column, t: Column) -> Column:
+        """The registers after all characters of t."""
 
         def move(state: Column, j: Column) -> Column:
             here = F.get(t, j - 1)
@@ -182,14 +198,24 @@ def within_edits(x: Column, y: Column, edits: int, allowed: Column | None = None
                 out = out.bitwiseOR(at(now, -width * d))
             return F.when(state == 0, state).otherwise(out)
 
-        last = F.when(F.size(t) == 0, F.lit(first).cast("long")).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1))), F.lit(first).cast("long"), move))
+        return F.when(F.size(t) == 0, start).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1))), start, move))
+
+    chars = lambda s: F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(F.split(s, ""))
+
+    def lives(s: Column) -> Column:
+        """Whether the beginnings leave any cell."""
+        both = F.struct(chars(F.substring(s["a"], 1, HEAD + edits)).alias("p"), chars(F.substring(s["b"], 1, HEAD)).alias("t"))
+        return let(both, lambda v: walk(v["p"], v["t"]) != 0)
+
+    def whole(v: Column) -> Column:
+        p, t = v["p"], v["t"]
         # the bit of the last cell, in the register of the edits that are allowed
         place = (F.size(p) - F.size(t) + edits + width * (F.lit(edits) if allowed is None else v["d"])).cast("int")
-        return let(last, lambda end: F.get(F.array(*(at(end, k).bitwiseAND(F.lit(1)) == 1 for k in range(width * (edits + 1)))), place))
+        return let(walk(p, t), lambda end: F.get(F.array(*(at(end, k).bitwiseAND(F.lit(1)) == 1 for k in range(width * (edits + 1)))), place))
 
-    chars = lambda s: F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(F.split(s, ""))
     ends = lambda s: stripped(F.reverse(s["a"]), F.reverse(s["b"]))
-    return (F.abs(F.length(x) - F.length(y)) <= edits) & let(let(stripped(x, y), ends), lambda s: let(F.struct(chars(s["a"]).alias("p"), chars(s["b"]).alias("t"), *([] if allowed is None else [allowed.alias("d")])), run))
+    rest = lambda s: let(ends(s), lambda s: let(F.struct(chars(s["a"]).alias("p"), chars(s["b"]).alias("t"), *([] if allowed is None else [allowed.alias("d")])), whole))
+    return (F.abs(F.length(x) - F.length(y)) <= edits) & let(stripped(x, y), lambda s: lives(s) & rest(s))
 
 
 def order_id(doc_id: Column) -> Column:
@@ -217,25 +243,25 @@ def near_links(docs: DataFrame, edits: int) -> DataFrame:
     ids = durable(level.select(F.col("id").alias("k")).distinct(), "line-ids")
     small = ids.count() <= BROADCAST_IDS
     texts = lines_of(docs).select("h1", "h2", "line").join(F.broadcast(ids) if small else ids, F.col("h1") == F.col("k"), "left_semi")
-    texts = durable(texts.dropDuplicates(["h1", "h2"]), "line-texts")
-    pairs = paired(level.where(F.col("n") <= HOT))
-    hot = level.where(F.col("n") > HOT).drop("n").join(texts.select(F.col("h1").alias("id"), F.col("line").alias("rest")), "id")
+    texts = durable(texts.dropDuplicates(["h1", "h2"]).withColumn("parity", parities(F.col("line"))), "line-texts")
+    pairs = paired(level.where(F.col("n") <= HOT).join(texts.select(F.col("h1").alias("id"), "parity"), "id"))
+    hot = level.where(F.col("n") > HOT).drop("n").join(texts.select(F.col("h1").alias("id"), F.col("line").alias("rest"), "parity"), "id")
     while True:
         hot = durable(hot, "line-hot")
         if hot.isEmpty():
             break
         begin, length = cut(F.char_length("rest"), {k: F.col(k).cast("int") for k in ("e", "short", "i", "shift")})
         cutout = hot.withColumns({"__b": begin, "__s": length})
-        cutout = cutout.select("id", "own", "e", F.col("key").alias("parent"), F.concat(F.substring("rest", F.lit(1), F.col("__b")), F.substring(F.col("rest"), F.col("__b") + F.col("__s") + 1, F.lit(1 << 30))).alias("rest"))
+        cutout = cutout.select("id", "own", "e", "parity", F.col("key").alias("parent"), F.concat(F.substring("rest", F.lit(1), F.col("__b")), F.substring(F.col("rest"), F.col("__b") + F.col("__s") + 1, F.lit(1 << 30))).alias("rest"))
         cutout = durable(cutout.distinct(), "line-rest")
         # index rests of a parent are equally long; those too short to be cut meet the rests that are up to so many edits longer
         size = F.char_length("rest")
         pairs = pairs.unionAll(paired(cutout.where(size <= 2 * F.col("e")).withColumn("key", F.col("parent")), size <= F.col("e")))
-        again = segment_rows(cutout.where(size > F.col("e")), ["id", "rest"], "rest", edits, "parent")
-        found = shared(again.where("own"), again, ["rest"])
+        again = segment_rows(cutout.where(size > F.col("e")), ["id", "rest", "parity"], "rest", edits, "parent")
+        found = shared(again.where("own"), again, ["rest", "parity"])
         alone = found.where("only IS NOT NULL").select("key", F.col("only").alias("id"), "e", "i").distinct()
-        owner = alone.join(again.where("own"), ["key", "id", "e", "i"]).select(*ROW, "rest")
-        level = counted(found.select(*ROW, "rest").unionByName(owner).distinct())
+        owner = alone.join(again.where("own"), ["key", "id", "e", "i"]).select(*ROW, "rest", "parity")
+        level = counted(found.select(*ROW, "rest", "parity").unionByName(owner).distinct())
         pairs = pairs.unionAll(paired(level.where(F.col("n") <= HOT)))
         hot = level.where(F.col("n") > HOT).drop("n")
     pairs = durable(pairs.distinct(), "line-pairs")

@@ -499,7 +499,7 @@ def test_edit_distance(spark):
             assert x.w == (edits(x.x, x.y) <= most)
 
 
-@pytest.mark.parametrize("hot", [64, 2])
+@pytest.mark.parametrize("hot", [512, 2])
 def test_line_dedup(spark, hot, monkeypatch):
     """Lines of any length, one and two edits, against brute force; hot keys cut out again and again."""
     monkeypatch.setattr(line_dedup, "HOT", hot)
