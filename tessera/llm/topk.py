@@ -42,15 +42,15 @@ from pyspark.sql import functions as F
 
 from .common import durable, load, new_path
 
-SCALE, K, BLOCK = 64, 20, 8192
+SCALE, K, BLOCK = 64, 20, 16384
 #: Queries of a pass, and of a row of packed queries.
 PASS, BATCH = 1 << 16, 1 << 11
 #: Blocks of a cell at most.
-CELL = 64
+CELL = 32
 #: Limits of the rounds, as shares of a query's and a block's root mean square product; the last one takes all.
-ROUNDS = (0.5, 0.3, 0.2, 0.1, 0.0)
+ROUNDS = (0.4, 0.2, 0.1, 0.0)
 #: A query is settled at a block if at most this share of its vectors can still be members.
-FEW = 0.06
+FEW = 0.15
 #: Sums below this are exact in doubles.
 EXACT = 1 << 52
 NONE = np.iinfo(np.int64).min

@@ -391,7 +391,7 @@ def test_topk_stops_on_proof():
     for r, s in enumerate(q @ x.T):
         order = [i for i in np.lexsort((ids, -s)) if ids[i] != qids[r]][:20]
         assert best.id[r].tolist() == ids[order].tolist() and best.score[r].tolist() == s[order].tolist()
-    assert tally["stopped"] > 0.9 * tally["queries"] and tally["taken"] < 0.9 * tally["postings"] and tally["rescored"] < 0.1 * 1000 * tally["queries"]
+    assert tally["stopped"] > 0.9 * tally["queries"] and tally["taken"] < 0.9 * tally["postings"] and tally["rescored"] < topk.FEW * 1000 * tally["queries"]
 
 
 def test_topk_odd_vectors():
