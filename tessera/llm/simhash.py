@@ -189,7 +189,7 @@ def shards(nodes: DataFrame, size: int = SHARD, most: int = SHARD_MOST) -> DataF
     n = nodes.count()
     bits = max(0, (max(n, 1) - 1) // size).bit_length()
     masks = sorted(set(cut_bits(0, most=bits)))  # without bits all views are one
-    rows = views(nodes.select(F.lit(0).cast("long").alias("mask"), F.col("fp")), {0: masks})
+    rows = nodes.select(F.explode(F.array(*(F.lit(signed(m)).cast("long") for m in masks))).alias("mask"), "fp")
     done = None
     while True:
         rows = durable(rows, "simhash-dealt")

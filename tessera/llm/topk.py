@@ -179,12 +179,15 @@ def search(q: np.ndarray, qids: np.ndarray, block: Block, best: Best, tally: Cou
             limit = max(1.0, np.ceil(share * scale))
             some = np.flatnonzero((size >= limit) & (size < upper))
             upper = min(upper, limit)
-            runs = block.size[some]
-            total = int(runs.sum())
-            tally["taken"] += total
-            if total:
-                at = np.arange(total) + np.repeat(block.begin[some] - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs)
-                got += np.bincount(block.post[at], np.repeat(adds[some] * low + 1.0, runs), n)
+            if len(some):
+                runs = block.size[some]
+                # segments that follow one another in the list are one stretch of it
+                cuts = np.flatnonzero(np.diff(block.begin[some]) != runs[:-1])
+                first, last = block.begin[some[np.concatenate([[0], cuts + 1])]], (block.begin[some] + runs)[np.concatenate([cuts, [len(some) - 1]])]
+                vectors = np.concatenate([block.post[a:z] for a, z in zip(first.tolist(), last.tolist(), strict=True)])
+                # a posting adds its score, and 1 to the low digits
+                got += np.bincount(vectors, np.repeat(adds[some] * low + 1.0, runs), n)
+                tally["taken"] += len(vectors)
             score = np.floor(got / low)
             bound = score + (come - (got - score * low)) * (upper - 1)
             floor = best.score[r, -1]
