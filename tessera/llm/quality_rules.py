@@ -6,8 +6,11 @@ score whole batches with a few numpy steps. Features whose growth means worse
 text (symbols, repetition, repeated lines, capitals) are held to a falling effect.
 
 Defined results: a null text counts as empty (no words, all counts 0, base rule
-fails). Repeated rows are judged alike; other columns aren't touched. Without
-usable labels every document that passes the base rule is kept.
+fails). Repeated rows are judged alike; of rows that repeat a labelled doc_id the one
+whose text hashes lowest is fitted on, so fits agree from run to run. An empty table
+gives no rows; other columns aren't touched, whatever their names. Without usable
+labels every document that passes the base rule is kept. A document that ties with
+KEEP_FROM is kept.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .boosting import FlatTrees, fit
 from .common import load, masked, training_ids, unmasked
@@ -29,6 +33,7 @@ TRAINING_ROWS = 8000
 KEEP_FROM = 0.5
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
+LEAST_WORDS = 50
 SPACES = " \t\n\x0b\x0c\r"
 FEATURES = ["log_words", "word_length", "symbols_per_word", "pipes_per_word", "repeat_share", "dup_line_share", "distinct_share", "capital_share", "digit_share", "exclaim_per_word", "stops_per_word", "commas_per_word", "words_per_line", "short_share"]
 MONOTONE = np.array([0, 0, -1, -1, -1, -1, 0, -1, 0, -1, 0, 0, 0, 0])
@@ -79,26 +84,22 @@ def statistics(text: str | None) -> tuple[tuple[int, int, int, int, int], list[f
     return (n, chars, symbols, dup_lines, repeats), features
 
 
-def base_failed(n_words: int, n_repeat_words: int) -> bool:
-    return n_words < 50 or 100 * n_repeat_words > 50 * n_words
-
-
-def with_text_first(docs: DataFrame, keep: list[str]) -> DataFrame:
-    return docs.select(*keep, F.col("text").alias("__text"))
+def base_failed(n_words: int, n_repeat_words: int, least: int = LEAST_WORDS) -> bool:
+    return n_words < least or 100 * n_repeat_words > 50 * n_words
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of at most `bound` labelled documents; a text seen twice counts once per row."""
     ids = training_ids(labels, "quality", bound)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.col("quality").alias("label"), F.col("doc_id"), F.col("text").alias("__text"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.col("quality").alias("label"), F.col("doc_id"), F.xxhash64("text").alias("h"), F.col("text").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = [statistics(t)[1] for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f, pa.list_(pa.float64()))], ["label", "doc_id", "f"])
+            f = [statistics(t)[1] for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(f, pa.list_(pa.float64()))], ["label", "doc_id", "h", "f"])
 
     # repeated rows of a doc_id keep to the bound
-    got = rows.mapInArrow(run, "label int, doc_id long, f array<double>").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+    got = rows.mapInArrow(run, "label int, doc_id long, h long, f array<double>").groupBy("doc_id").agg(F.min(F.struct("h", "label", "f")).alias("r")).select("doc_id", "r.label", "r.f").orderBy("doc_id").toPandas()
     return np.array(got["f"].tolist(), "f8").reshape(-1, len(FEATURES)), got["label"].to_numpy("f8")
 
 
@@ -107,27 +108,25 @@ def fit_rules(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) ->
     return fit(x, y, MONOTONE)
 
 
-def judge(docs: DataFrame, trees: FlatTrees, keep: list[str]) -> DataFrame:
-    """Columns of `keep` plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept."""
-    source = with_text_first(docs, keep)
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    schema += ", ".join(f"{n} long" for n in names) + ", base_failed boolean, score double, kept boolean"
+def judge(docs: DataFrame, trees: FlatTrees, keep: list[str], least: int = LEAST_WORDS) -> DataFrame:
+    """Columns of `keep` plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed (with `least` words), score, kept. Columns of `keep` may have these names too."""
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    source = docs.select(*(F.col(k).alias(f"k{n}") for n, k in enumerate(keep)), F.col("text").alias("__text"))
+    mine = [*(T.StructField(c, T.LongType()) for c in counts), T.StructField("base_failed", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())]
+    schema = T.StructType([*(T.StructField(f"k{n}", f.dataType) for n, f in enumerate(docs.select(*keep).schema.fields)), *mine])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            text = b.schema.get_field_index("__text")
-            got = [statistics(t.as_py()) for t in b.column(text)]
-            failed = np.array([base_failed(c[0], c[4]) for c, _ in got], bool)
+            got = [statistics(t.as_py()) for t in b.column(b.num_columns - 1)]
+            failed = np.array([base_failed(c[0], c[4], least) for c, _ in got], bool)
             score = trees.probability(np.array([f for _, f in got], "f8")) if len(trees.roots) else np.ones(len(got))
-            cols = [b.column(b.schema.get_field_index(k)) for k in keep]
-            cols += [pa.array([c[i] for c, _ in got], pa.int64()) for i in range(5)]
+            cols = [*b.columns[:-1], *(pa.array([c[i] for c, _ in got], pa.int64()) for i in range(5))]
             cols += [pa.array(failed), pa.array(score, pa.float64()), pa.array(~failed & (score >= KEEP_FROM))]
-            yield pa.RecordBatch.from_arrays(cols, [*keep, *names, "base_failed", "score", "kept"])
+            yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*keep, *(f.name for f in mine))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +134,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, fit_rules(docs, load(spark, sf_dir, "labels")), ["doc_id"])
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that pass, with their own columns."""
+def keep_good(docs: DataFrame, labels: DataFrame, least: int = 1) -> DataFrame:
+    """The rows of docs that pass, with their own columns.
+
+    A document goes if the trees reject it, if over half of its words are repeated, or
+    if it has fewer than `least` words: one here, since short documents can be clean
+    (the trees know the number of words).
+    """
     hidden, names = masked(docs, ("doc_id", "text"))
-    return unmasked(judge(hidden, fit_rules(docs, labels), hidden.columns).where("kept"), names)
+    return unmasked(judge(hidden, fit_rules(docs, labels), hidden.columns, least).where("kept"), names)

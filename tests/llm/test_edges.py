@@ -114,7 +114,12 @@ def test_quality_rules(docs, empty, labels):
     assert len(got) == len(rows()) and all(g.base_failed == quality_rules.base_failed(g.n_words, g.n_repeat_words) and not (g.kept and g.base_failed) for g in got)
     assert quality_rules.keep_good(docs, labels).columns == docs.columns
     assert quality_rules.keep_good(empty, labels).count() == 0
-    assert quality_rules.keep_good(docs, labels.limit(0)).count() == sum(not g.base_failed for g in got)
+    assert quality_rules.keep_good(docs, labels.limit(0)).count() == sum(not quality_rules.base_failed(g.n_words, g.n_repeat_words, 1) for g in got)
+    clash = quality_rules.judge(docs, trees, ["score", "kept", "doc_id", "n"]).collect()
+    assert len(clash) == len(rows()) and {(r[0], r[1], r[3]) for r in clash} == {(0.5, True, 4)}
+    assert sorted((r[2] or 0, r[-1]) for r in clash) == sorted((g.doc_id or 0, g.kept) for g in got)
+    again = quality_rules.fit_rules(docs.orderBy(F.rand(1)), labels)
+    assert np.array_equal(again.probability(np.zeros((1, 14))), trees.probability(np.zeros((1, 14))))
 
 
 def test_trees_learn_and_stay_monotone():
@@ -131,6 +136,26 @@ def test_trees_learn_and_stay_monotone():
         assert (sign * np.diff(t.margin(line).reshape(20, 50), axis=1) >= -1e-12).all()
 
 
+def test_flat_trees_against_a_plain_walk():
+    from tessera.llm import boosting
+
+    r = np.random.default_rng(3)
+    x = r.random((400, 3)).round(2)
+    t = boosting.fit(x, (x[:, 0] * x[:, 1] > 0.3).astype(float), np.array([1, 0, 0]), trees=9)
+    assert len(t.roots) == 9
+
+    def walk(row):
+        total = t.base
+        for n in t.roots:
+            for _ in range(t.depth):
+                n = t.left[n] if row[t.feature[n]] <= t.cut[n] else t.right[n]
+            assert t.left[n] == n == t.right[n]
+            total += t.value[n]
+        return total
+
+    np.testing.assert_allclose(t.margin(x), [walk(row) for row in x], rtol=1e-12)
+
+
 def test_crf(docs, empty, labels):
     model = line_crf.train(docs, labels)
     got = line_crf.classify(docs, model, ["doc_id"]).collect()
@@ -502,6 +527,65 @@ def test_randomness_battery(spark):
     assert sum(got[k] for k in range(50)) >= 45 and sum(got[100 + k] for k in range(200)) <= 2
 
 
+def plain_tests(token):
+    """(p under ordinary text, whether randomness stands) of a token, counted symbol by symbol."""
+    import math
+    from collections import Counter
+    from itertools import groupby
+
+    x = token.rstrip("=")
+    n, k = len(x), next((size for pattern, size in secrets.ALPHABETS.values() if not pattern or re.search(pattern, x)), 64)
+    tail = lambda z: max(1e-15, math.erfc(z / math.sqrt(2)) / 2)
+    chi = k * sum(c * c for c in Counter(x).values()) / n - n
+    shift = n * (k * secrets.COINCIDENCE - 1)
+    plain = tail(-(chi - (k - 1 + shift)) / math.sqrt(2 * (k - 1 + 2 * shift)))
+    kinds = ["u" if c.isupper() else "l" if c.islower() else "d" if c.isdigit() else "s" for c in x]
+    runs, counts = len(list(groupby(kinds))), Counter(kinds).values()
+    rate = secrets.CHANGES * n
+    logs = math.log(plain) + math.log(tail((runs - 1 - rate - 0.5) / math.sqrt(rate)))
+    sq, cb = sum(c**2 for c in counts), sum(c**3 for c in counts)
+    spread = (sq * (sq + n * (n + 1)) - 2 * n * cb - n**3) / (n * n * (n - 1))
+    even = 1.0 if spread <= 1e-9 else 2 * tail(abs(runs - (n * (n + 1) - sq) / n) / math.sqrt(spread))
+    v = [secrets.SYMBOLS.index(c) + 1 for c in x]
+    s, ss, sp = sum(v), sum(a * a for a in v), sum(a * b for a, b in zip(v, v[-1:] + v, strict=False))
+    corr = 2 * tail(abs((n * sp - s * s) / max(n * ss - s * s, 1e-9) + 1 / (n - 1)) * math.sqrt(n))
+    uniform = tail((chi - (k - 1)) / math.sqrt(2 * (k - 1)))
+    return n, math.exp(logs) * (1 - logs), min(uniform, even, corr)
+
+
+def test_random_spans_and_thresholds_against_brute_force(spark):
+    """Places, p-values and verdicts of candidates, the length strata's thresholds by sorting, and what the query then reports."""
+    r = random.Random(21)
+    sets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz", secrets.SYMBOLS[:62], secrets.SYMBOLS[:64], "aab", "aabbccddee01"]
+    texts = []
+    for k in range(120):
+        parts = ["".join(r.choice(r.choice(sets)) if k % 7 == 0 else c for c in r.choices(r.choice(sets), k=r.randint(18, 110))) + "=" * r.randint(0, 2) for _ in range(3)]
+        texts.append((k, f" é {parts[0]} 😀\n{parts[1]}, the-quick-brown-fox-jumps-over {parts[2]}."))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    scanned = secrets.scan(df, ["doc_id"])
+    limits = secrets.thresholds(scanned)
+    stratum = lambda n: max(i for i, lo in enumerate(secrets.STRATA) if n >= lo) if n >= secrets.STRATA[0] else 0
+    want, tested = {}, []
+    for i, t in texts:
+        for m in re.finditer(secrets.CANDIDATE, t, re.ASCII):
+            if not re.search(f"{secrets.HEX}|{secrets.ACCESS}", m[0]):
+                want[i, m.start(), m.end()] = plain_tests(m[0])
+    got = {(x.doc_id, c.s, c.e): c for x in scanned.collect() for c in x.cand}
+    assert set(got) == set(want)
+    for key, (n, p, least) in want.items():
+        c = got[key]
+        assert c.n == n and abs(np.log10(c.p) - np.log10(max(p, 1e-30))) < 0.02
+        assert abs(least / secrets.FAILS - 1) < 0.01 or c.fits == (least >= secrets.FAILS)
+        tested.append((stratum(n), c.p, key))
+    for k in range(len(secrets.STRATA)):
+        ps = sorted(p for s, p, _ in tested if s == k)
+        bins = [10 ** (-min(secrets.BINS, int(np.floor(-np.log10(p) / secrets.BIN + 1e-12))) * secrets.BIN) for p in ps]
+        best = [at for at in set(bins) if len(ps) * at <= secrets.RATE * sum(b <= at * 1.0000001 for b in bins)]
+        assert abs(max(best, default=-1.0) - limits[k]) < 1e-12
+    found = {x.doc_id: x.n_random for x in secrets.op_columns(scanned, limits, ["doc_id"]).collect()}
+    assert found == {i: sum(got[key].fits and p <= limits[s] for s, p, key in tested if key[0] == i) for i, _ in texts} and sum(found.values()) > 50
+
+
 def edits(a, b):
     p = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -607,6 +691,52 @@ def test_line_stage(docs, empty):
     assert line_dedup.keep_lines(empty).count() == 0
 
 
+def test_pipeline_stage_by_stage_against_brute_force(spark, tmp_path):
+    """Each stage on what the one before kept: rules, lines and near copies as counted in plain Python, mixed words near their targets, ids as the library's."""
+    from tokenizers import Tokenizer
+
+    r = random.Random(4)
+    common = "this line stands in many of the documents, word for word"
+    texts = [prose(k, 60) + ("\n" + common.replace("many", r.choice(["many", "mane", "some"])) if k % 3 == 0 else "") for k in range(24)]
+    texts += [texts[1], texts[2].replace("a.", "b.", 1), "short but clean text", "", None, "BUY | NOW !!! # " * 30]
+    table = [(k, t, "en", f"s{k % 3}", len(t or "")) for k, t in enumerate(texts)]
+    spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(k, int(k < 27)) for k in range(30)], "doc_id long, quality int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    docs, sf = spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)
+    from tessera.llm.common import durable
+
+    seen = [{r.doc_id: r.text for r in docs.collect()}]
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = durable(stage(spark, docs, sf), "t")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        seen.append({r.doc_id: r.text for r in docs.collect()})
+    trees = quality_rules.fit_rules(spark.read.parquet(f"{sf}/documents.parquet"), labels)
+    passes = lambda t: not quality_rules.base_failed(brute_rules(t)[0], brute_rules(t)[4], 1) and trees.probability(np.array([quality_rules.statistics(t)[1]]))[0] >= 0.5
+    assert seen[1] == {k: t for k, t in seen[0].items() if passes(t)} and 27 not in seen[1] and set(range(24)) <= set(seen[1])
+    assert seen[2] == {k: t for k, t in brute_lines(sorted(seen[1].items()))[0].items()}
+    codes = {k: simhash.fingerprint(t) for k, t in seen[2].items()}
+    group = {k: k for k in codes}
+    for a in sorted(codes):
+        for b in sorted(codes):
+            if a < b and (codes[a] ^ codes[b]).bit_count() <= 4 and group[a] != group[b]:
+                lo, hi = sorted((group[a], group[b]))
+                group = {k: lo if g == hi else g for k, g in group.items()}
+    assert seen[3] == {k: seen[2][k] for k in set(group.values())}
+    mixed = durable(corpus_pipeline.STAGES[3][1](spark, docs, sf), "t")
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    sizes, got = {}, {}
+    for x in docs.collect():
+        sizes[x.source] = sizes.get(x.source, 0) + words(x.text)
+    for x in mixed.collect():
+        got[x.source] = got.get(x.source, 0) + words(x.text)
+        assert all(w in seen[3][x.doc_id].split() for w in x.text.split())
+    assert all(abs(got[s] - t) <= 3 * mixing.BLOCK_WORDS for s, t in brute_targets(sizes).items())
+    lib = Tokenizer.from_file(bpe.byte_vocab())
+    want = sorted((x.doc_id, lib.encode(x.text, add_special_tokens=False).ids) for x in mixed.collect())
+    assert sorted((x.doc_id, list(x.ids)) for x in corpus_pipeline.STAGES[4][1](spark, mixed, sf).collect()) == want
+
+
 def test_pipeline(spark, docs, labels, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     labels.write.parquet(str(tmp_path / "labels.parquet"))
