@@ -8,14 +8,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Function words that tokens leave out. Other languages' lists are passed as a parameter.
-STOP_WORDS = tuple(
-    "a an the and or but if then else when where which with without from into onto of for on at by in to is was are were "
-    "be been being am as it its this that these those he she they them their his her we you i me my your our has have had "
-    "do does did not no yes can could should would may might must shall will about such some any each every all both few "
-    "more most other same so than too very just also there here what who whom whose why how know tell give info information "
-    "detail details explain explanation show list summarize summary extensively please provide done doing get got want need "
-    "like topic topics subject subjects question questions".split()
-)
+STOP_WORDS = (
+    # articles and pronouns
+    "the", "an", "it", "its", "he", "she", "they", "them", "his", "her", "their", "we", "our", "you", "your", "this", "that", "these", "those", "which", "who", "what",
+    # prepositions
+    "of", "in", "on", "at", "to", "from", "by", "for", "with", "as", "into", "over", "under", "about", "after", "before", "between",
+    # conjunctions and particles
+    "and", "or", "but", "nor", "not", "if", "then", "than", "so", "because", "when", "where", "while", "how",
+    # verbs that carry little
+    "is", "are", "was", "were", "be", "been", "being", "am", "has", "have", "had", "do", "does", "did", "can", "could", "will", "would", "may", "might", "shall", "should", "must",
+    # quantities
+    "all", "any", "each", "few", "more", "most", "no", "some", "such", "only", "both", "other",
+)
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 

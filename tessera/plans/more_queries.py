@@ -13,18 +13,47 @@ from .common import EDGES_SQL, FACTS_SQL, edges, facts
 from .registry import load, query
 
 
-@query(rf"""SELECT doc_id, len(regexp_extract_all(text, '{A.PATTERNS["years"]}')) AS years, len(regexp_extract_all(text, '{A.PATTERNS["people"]}')) AS people,
-len(regexp_extract_all(text, '{A.PATTERNS["doi"]}')) AS doi, len(regexp_extract_all(text, '{A.PATTERNS["iso_dates"]}')) AS iso_dates FROM documents""")
+def ascii_words(pattern: str) -> str:
+    """A pattern of A.word for SQL's regular expressions, which have no look-around: their own word edges, on texts whose other letters are `_`."""
+    out = pattern.replace(A.word("\0").split("\0")[0].removesuffix("(?:"), r"\b").replace(A.word("\0").split("\0")[1].removeprefix(")"), r"\b")
+    return out.replace("'", "''")
+
+
+def count_sql(*patterns: str) -> str:
+    return " + ".join(f"len(regexp_extract_all(t, '{ascii_words(p)}'))" for p in patterns)
+
+
+ANNOTATION_SQL = rf"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\x00-\x7F\P{{L}}]|[^\x00-\x7F\P{{N}}]', '_', 'g') AS t FROM documents)
+SELECT doc_id, {count_sql(A.word(A.YEAR))} AS years, {count_sql(*A.DATE_FORMS.values())} AS dates, {count_sql(A.PAGES)} AS pages, {count_sql(*A.IDENTIFIER_FORMS.values())} AS identifiers,
+{count_sql(A.word(A.CAPITAL + chr(92) + 's+' + A.CAPITAL))} AS people, {count_sql(A.CITATIONS)} AS citations FROM d"""
+
+
+@query(ANNOTATION_SQL)
 def annotation_counts(spark: SparkSession, sf: str) -> DataFrame:
-    n = lambda b: F.size(A.mentions(F.col("text"), b)).cast("long").alias(b)
-    return load(spark, sf, "documents").select("doc_id", n("years"), n("people"), n("doi"), n("iso_dates"))
+    a = load(spark, sf, "documents").select("doc_id", A.annotations(F.col("text")).alias("a"))
+    return a.select("doc_id", *(F.size(F.col("a")[b]).cast("long").alias(b) for b in ("years", "dates", "pages", "identifiers", "people", "citations")))
 
 
 @query()
 def annotation_buckets(spark: SparkSession, sf: str) -> DataFrame:
-    """All buckets in long form."""
-    a = load(spark, sf, "documents").select("doc_id", F.explode(A.annotations(F.col("text"))).alias("bucket", "found"))
-    return a.select("doc_id", "bucket", F.posexplode("found").alias("n", "mention"))
+    """All buckets in long form, with places."""
+    a = load(spark, sf, "documents").select("doc_id", A.annotations(F.col("text")).alias("a")).select("doc_id", F.explode("a").alias("bucket", "found"))
+    return a.select("doc_id", "bucket", F.posexplode("found").alias("n", "m")).select("doc_id", "bucket", "n", "m.text", "m.start", "m.end")
+
+
+TERMS_SQL = r"""b AS (SELECT regexp_extract_all(text, '[a-zA-Z0-9]+') AS w FROM (SELECT regexp_replace(text, '[^\x00-\x7F\P{L}]|[^\x00-\x7F\P{N}]', '0', 'g') AS text FROM benchmark)),
+terms AS (SELECT DISTINCT lower(w[1] || ' ' || w[2]) AS term FROM b WHERE len(w) > 1)"""
+
+
+@query(rf"""WITH {TERMS_SQL}, d AS (SELECT doc_id, regexp_extract_all(regexp_replace(coalesce(text, ''), '[^\x00-\x7F\P{{L}}]|[^\x00-\x7F\P{{N}}]', '0', 'g'), '[a-zA-Z0-9]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: lower(w[i] || ' ' || w[i + 1]))) AS term FROM d) SELECT doc_id, term, count(*) AS n FROM g JOIN terms USING (term) GROUP BY ALL""")
+def gazetteer_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole-word mentions of a gazetteer, by an n-gram join; the first two words of benchmark passages stand for place names (letters beyond ASCII as 0, for SQL's sake)."""
+    plain = lambda t: t.withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), r"[\p{L}\p{N}&&[^\x00-\x7F]]", "0"))
+    w = F.regexp_extract_all("text", F.lit("[a-zA-Z0-9]+"), F.lit(0))
+    first = plain(load(spark, sf, "benchmark")).select(w.alias("w")).where(F.size("w") > 1)
+    terms = first.select(F.lower(F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1)))).alias("term"), F.lit("place").alias("kind")).distinct()
+    return A.gazetteer_mentions(plain(load(spark, sf, "documents")), terms, most=2).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 
 @query(rf"""WITH {FACTS_SQL}, w AS (SELECT fact_id, regexp_extract_all(lower(fact_text), '[a-z]+') AS w FROM facts), p AS (SELECT fact_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS p, list_transform(range(1, len(w)), lambda i: CASE WHEN w[i] <> w[i + 1] THEN w[i + 1] || ' ' || w[i] END) AS b FROM w)
