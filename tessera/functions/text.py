@@ -239,3 +239,13 @@ def first_json(c: Column) -> Column:
     """The JSON from the first bracket of a model's answer to the last, without thinking; curly quotes and trailing commas are mended. Empty where there is none."""
     found = F.regexp_extract(strip_thinking(c), r"(?s)[{\[].*[}\]]", 0)
     return F.regexp_replace(F.translate(found, "\u201c\u201d", '""'), r",(\s*[}\]])", "$1")
+
+
+def person_name(c: Column) -> Column:
+    """White space squeezed; a single name in title case."""
+    return let(squeeze(c), lambda n: F.when(F.contains(n, F.lit(" ")), n).otherwise(F.initcap(n)))
+
+
+def location_name(c: Column) -> Column:
+    """Without punctuation, in title case."""
+    return F.initcap(F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}_\s]", "")))
