@@ -7,46 +7,30 @@ from pyspark.sql import functions as F
 
 from ..operators import blocks as B
 from ..operators import relational as R
-from .common import EDGES_SQL, FACTS_SQL, SIDES_SQL, TOKENS_SQL, TRIPLES_SQL, edges, facts, opposed, points, tokens, triples
+from .common import EDGES_SQL, FACTS_SQL, SIDES_SQL, TOKENS_SQL, TRIPLES_SQL, edges, facts, points, tokens, triples
 from .registry import load, query
 
 CONTRA_SQL = f"""{FACTS_SQL}, {SIDES_SQL}, c AS (
   SELECT 'negation' AS kind, f.fact_id AS a, s.strongest AS b, s.links FROM facts f JOIN sides s ON f.fact_type = s.fact_type AND f.canonical_value = s.canonical_value AND f.negation <> s.negation
-  UNION ALL SELECT 'text', a.fact_id, b.fact_id, 1 FROM facts a JOIN facts b ON a.doc_id = b.doc_id AND a.canonical_value = b.canonical_value AND a.fact_id < b.fact_id AND b.pos <= a.pos + 2 AND a.fact_text <> b.fact_text)"""
+  UNION ALL SELECT 'text', a.fact_id, min({{'c': -b.confidence, 'i': b.fact_id}}).i, count(*) FROM facts a JOIN facts b ON a.fact_type = b.fact_type AND a.canonical_value = b.canonical_value AND a.fact_text <> b.fact_text GROUP BY a.fact_id)"""
 
 
-def contradictions(spark: SparkSession, sf: str) -> DataFrame:
-    """(kind, a, b, links). Negation: each opposed fact a with its strongest opponent b, one of `links`; text: neighbours of one value."""
-    f = facts(spark, sf)
-    neg = opposed(f).select(F.lit("negation").alias("kind"), F.col("fact_id").alias("a"), F.col("strongest").alias("b"), "links")
-    # facts at most two places apart: each looks up the next two places, so no pair of a whole document is made
-    left = f.select("doc_id", "canonical_value", F.col("fact_id").alias("a"), F.col("fact_text").alias("ta"), F.explode(F.array(F.col("pos") + 1, F.col("pos") + 2)).alias("pos"))
-    near = left.join(f.select("doc_id", "canonical_value", "pos", F.col("fact_id").alias("b"), F.col("fact_text").alias("tb")), ["doc_id", "canonical_value", "pos"]).where("ta <> tb")
-    return neg.unionByName(near.select(F.lit("text").alias("kind"), "a", "b", F.lit(1).cast("long").alias("links")))
-
-
-@query(f"WITH {CONTRA_SQL} SELECT * FROM c")
+@query(f"WITH {CONTRA_SQL} SELECT kind, a, b, links FROM c")
 def contradiction_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return contradictions(spark, sf)
+    return contradictions(spark, sf).select("kind", "a", "b", "links")
 
 
-@query(f"WITH {CONTRA_SQL} SELECT kind, a, b, CASE WHEN abs(x.confidence - y.confidence) > 0.2 THEN CASE WHEN x.confidence < y.confidence THEN 'drop a' ELSE 'drop b' END ELSE 'review' END AS decision FROM c JOIN facts x ON x.fact_id = a JOIN facts y ON y.fact_id = b")
+@query(f"""WITH {CONTRA_SQL}
+SELECT kind, a, b, links, CASE WHEN abs(x.confidence - y.confidence) > 0.2 THEN CASE WHEN x.confidence < y.confidence THEN 'drop a' ELSE 'drop b' END ELSE 'review' END AS decision FROM c JOIN facts x ON x.fact_id = a JOIN facts y ON y.fact_id = b""")
 def contradiction_decisions(spark: SparkSession, sf: str) -> DataFrame:
-    f = facts(spark, sf).select("fact_id", "confidence")
-    x, y = f.select(F.col("fact_id").alias("a"), F.col("confidence").alias("ca")), f.select(F.col("fact_id").alias("b"), F.col("confidence").alias("cb"))
-    decision = F.when(F.abs(F.col("ca") - F.col("cb")) > 0.2, F.when(F.col("ca") < F.col("cb"), "drop a").otherwise("drop b")).otherwise("review")
-    return contradictions(spark, sf).join(x, "a").join(y, "b").select("kind", "a", "b", decision.alias("decision"))
+    return contradictions(spark, sf)
 
 
-@query(f"""WITH {FACTS_SQL}, {SIDES_SQL}, c AS (
-  SELECT 'negation' AS kind, f.fact_id AS a, s.strongest AS b, s.links FROM facts f JOIN sides s ON f.fact_type = s.fact_type AND f.canonical_value = s.canonical_value AND f.negation <> s.negation
-  UNION ALL SELECT 'text', a.fact_id, min({{'c': -b.confidence, 'i': b.fact_id}}).i, count(*) FROM facts a JOIN facts b ON a.fact_type = b.fact_type AND a.canonical_value = b.canonical_value AND a.fact_text <> b.fact_text GROUP BY a.fact_id)
-SELECT kind, a, b, links, CASE WHEN abs(x.confidence - y.confidence) > 0.2 THEN CASE WHEN x.confidence < y.confidence THEN 'drop a' ELSE 'drop b' END ELSE 'review' END AS decision FROM c JOIN facts x ON x.fact_id = a JOIN facts y ON y.fact_id = b""")
-def contradictions_whole(spark: SparkSession, sf: str) -> DataFrame:
+def contradictions(spark: SparkSession, sf: str) -> DataFrame:
     """Each fact that others of its type and value contradict anywhere in the corpus: the strongest of them, how many there are, and what to do.
 
     kind: by negation, or by another text (these facts have no validity, so all count as valid
-    at one time). contradiction_pairs and _decisions have only texts two places apart.
+    at one time).
     """
     place, code = 1 << 50, (100 - F.round(F.col("confidence") * 100).cast("long")) * (1 << 50) + F.col("fact_id")  # confidence is in hundredths; the least code is the strongest fact
     # groups and texts by 64-bit hashes, a text by both

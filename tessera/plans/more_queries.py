@@ -139,20 +139,22 @@ def conversation_selection(spark: SparkSession, sf: str) -> DataFrame:
     return d.join(near, "conv_id").where("d <= radius").select("conv_id", "turn")
 
 
-@query(f"""WITH {FACTS_SQL}, a AS (SELECT fact_id, doc_id, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(fact_text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 1)) AS w FROM facts WHERE pos = 1),
+@query(f"""WITH {FACTS_SQL}, a AS (SELECT fact_id, doc_id, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(fact_text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 1)) AS w FROM facts),
 c AS (SELECT doc_id, list_distinct(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+')) AS w FROM documents) SELECT fact_id, len(a.w) > 0 AND len(list_intersect(a.w, c.w))::DOUBLE / greatest(len(a.w), 1) >= 0.8 AS faithful FROM a JOIN c USING (doc_id)""")
 def faithfulness(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether a context holds at least 0.8 of an answer's tokens; each document's second sentence stands for its answer."""
-    a = facts(spark, sf).where("pos = 1").select("fact_id", "doc_id", F.array_distinct(T.tokenize(F.col("fact_text"), ("",))).alias("w"))
-    c = load(spark, sf, "documents").select("doc_id", F.array_distinct(T.tokenize(F.col("text"), ("",))).alias("cw"))
-    share = F.size(F.array_intersect("w", "cw")) / F.greatest(F.size("w"), F.lit(1))
-    return a.join(c, "doc_id").select("fact_id", ((F.size("w") > 0) & (share >= 0.8)).alias("faithful"))
+    """Whether a context holds at least 0.8 of an answer's tokens; each sentence stands for an answer, its document for the context. Judged in the document's row."""
+    words = lambda c: F.array_distinct(T.tokenize(c, ("",)))
+    held = lambda w, context: (F.size(w) > 0) & (F.size(F.array_intersect(w, context)) / F.greatest(F.size(w), F.lit(1)) >= 0.8)
+    each = lambda v: F.transform(v["s"], lambda x: F.struct((F.length(x) > 0).alias("there"), T.let(words(x), lambda w: held(w, v["context"])).alias("faithful")))
+    row = F.struct(T.sentences(F.col("text")).alias("s"), words(F.col("text")).alias("context"))
+    judged = load(spark, sf, "documents").select("doc_id", T.let(row, each).alias("j"))
+    return judged.select("doc_id", F.posexplode("j").alias("pos", "j")).where("j.there").select((F.col("doc_id") * 10000 + F.col("pos")).alias("fact_id"), "j.faithful")
 
 
-@query(f"WITH {FACTS_SQL} SELECT doc_id, list_sort(list(fact_id)) AS sentences FROM (SELECT doc_id, fact_id, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, fact_id) AS r FROM facts WHERE length(fact_text) > 40) WHERE r <= 3 GROUP BY doc_id")
+@query(f"WITH {FACTS_SQL} SELECT doc_id, list_sort(list(fact_id)) AS sentences FROM (SELECT doc_id, fact_id, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, fact_id) AS r FROM facts) WHERE r <= 3 GROUP BY doc_id")
 def extractive_summaries(spark: SparkSession, sf: str) -> DataFrame:
     """Stand-in for a model's summary: a document's three strongest sentences, in order."""
-    best = R.top_by(facts(spark, sf).where("length(fact_text) > 40"), ["doc_id"], [F.desc("confidence"), F.col("fact_id")], 3)
+    best = R.top_by(facts(spark, sf), ["doc_id"], [F.desc("confidence"), F.col("fact_id")], 3)
     return best.groupBy("doc_id").agg(F.array_sort(F.collect_list("fact_id")).alias("sentences"))
 
 

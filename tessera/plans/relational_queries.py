@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import relational as R
+from ..storage import settle
 from .common import EDGES_SQL, FACTS_SQL, SIDES_SQL, TOKENS_SQL, TRIPLES_SQL, edges, facts, opposed, tokens, triples
 from .registry import load, query
 
@@ -89,23 +91,13 @@ def node_degrees(spark: SparkSession, sf: str) -> DataFrame:
     return n.join(d, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-@query("""SELECT a.ps AS subject, a.pk AS object_a, b.pk AS object_b FROM (SELECT DISTINCT l_suppkey AS ps, l_partkey AS pk FROM lineitem) a
-JOIN (SELECT DISTINCT l_suppkey AS ps, l_partkey AS pk FROM lineitem) b ON a.ps = b.ps AND a.pk < b.pk AND b.pk <= a.pk + 3""")
-def conflicting_objects(spark: SparkSession, sf: str) -> DataFrame:
-    x = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("subject"), F.col("l_partkey").alias("object_a")).distinct()
-    # the distance of objects makes the join key finer: the bucket of b is a's or the next one
-    y = x.select(F.col("subject"), F.col("object_a").alias("object_b")).withColumn("bucket", F.floor(F.col("object_b") / 4))
-    left = x.withColumn("bucket", F.explode(F.array(F.floor(F.col("object_a") / 4), F.floor(F.col("object_a") / 4) + 1)))
-    return left.join(y, ["subject", "bucket"]).where("object_a < object_b AND object_b <= object_a + 3").select("subject", "object_a", "object_b")
-
-
 @query("""WITH x AS (SELECT DISTINCT l_suppkey AS subject, l_partkey AS object FROM lineitem)
 SELECT a.subject, a.object, min(b.object) AS other, count(*) AS links FROM x a JOIN x b ON a.subject = b.subject AND a.object <> b.object GROUP BY ALL""")
-def conflicting_objects_whole(spark: SparkSession, sf: str) -> DataFrame:
+def conflicting_objects(spark: SparkSession, sf: str) -> DataFrame:
     """Each object with what conflicts with it in its whole subject, however far: the first other object, and how many there are.
 
-    conflicting_objects has the pairs at most three apart. A subject's count and two least
-    objects are summed up before its rows meet them, so no pairs are made.
+    A subject's count and two least objects are summed up before its rows meet them, so
+    no pairs are made.
     """
     x = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("subject"), F.col("l_partkey").alias("object")).distinct()
     return R.others(x, ["subject"], "object", F.col("object"), F.lit(1)).select("subject", "object", "other", "links")
@@ -151,12 +143,16 @@ def doc_keywords(spark: SparkSession, sf: str) -> DataFrame:
     return R.top_by(n, ["doc_id"], [F.desc("n"), F.col("token")], 6).select("doc_id", "token")
 
 
-@query(f"WITH {KEYWORDS_SQL} SELECT a.token AS a, b.token AS b, count(*) AS n, list_sort(list(a.doc_id)) AS docs FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.token < b.token GROUP BY ALL HAVING count(*) >= 3")
+@query(f"WITH {KEYWORDS_SQL} SELECT a.token AS a, b.token AS b, count(*) AS n, min(a.doc_id) AS first_doc, max(a.doc_id) AS last_doc FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.token < b.token GROUP BY ALL HAVING count(*) >= 3")
 def keyword_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of a document's six keywords: at most 15 a document, made in place."""
-    k = doc_keywords(spark, sf).groupBy("doc_id").agg(F.array_sort(F.collect_list("token")).alias("t"))
+    """Pairs of a document's six keywords: tokens are counted in their row, and at most 15 pairs a document are shuffled."""
+    runs = lambda w: F.filter(F.transform(w, lambda x, i: F.struct(x.alias("token"), i.alias("i"))), lambda x: (x["i"] == 0) | (F.get(w, x["i"] - 1) != x["token"]))  # noqa: E731  where each token begins
+    sizes = lambda v: F.transform(v["runs"], lambda x, k: F.struct((x["i"] - F.coalesce(F.get(v["runs"], k + 1)["i"], F.size(v["w"]))).alias("less"), x["token"].alias("token")))  # noqa: E731  the most frequent sorts first
+    count = lambda w: T.let(F.struct(w.alias("w"), runs(w).alias("runs")), sizes)
+    counted = load(spark, sf, "documents").select("doc_id", T.let(F.array_sort(T.tokenize(F.col("text"))), lambda w: F.slice(F.array_sort(count(w)), 1, 6)).alias("n"))
+    k = counted.select("doc_id", F.array_sort(F.transform("n", lambda x: x["token"])).alias("t"))
     pairs = k.select("doc_id", "t", F.posexplode("t").alias("i", "a")).select("doc_id", "a", F.explode(F.expr("slice(t, i + 2, 6)")).alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("doc_id")).alias("docs")).where("n >= 3")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("n >= 3")
 
 
 @query("SELECT l_suppkey AS src, l_partkey AS dst, l_returnflag AS rel, sum(l_quantity)::DOUBLE AS weight, count(*) AS occurrences, min_by(l_orderkey, l_orderkey * 10 + l_linenumber) AS first_seen FROM lineitem GROUP BY ALL")
@@ -224,9 +220,11 @@ def fact_versions(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT s_suppkey, round((row_number() OVER (ORDER BY s_acctbal, s_suppkey) - 1)::DOUBLE / (count(*) OVER () - 1) * 0.999999, 6) AS depth FROM supplier")
 def depth_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     """Rank by sorted ranges: each range's count gives the ranks' offsets, so no task sorts the whole."""
-    s = load(spark, sf, "supplier").select("s_suppkey", "s_acctbal").repartitionByRange(8, "s_acctbal", "s_suppkey").withColumn("part", F.spark_partition_id()).persist()
-    n = s.groupBy("part").agg(F.count("*").alias("n"))
-    before = n.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).crossJoin(F.broadcast(n.agg(F.sum("n").alias("total")))).drop("n")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    s = settle(load(spark, sf, "supplier").select("s_suppkey", "s_acctbal").repartitionByRange(parts, "s_acctbal", "s_suppkey").withColumn("part", F.spark_partition_id()))
+    n = s.groupBy("part").agg(F.count("*").alias("n"))  # a row for each range
+    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = n.select("part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"), F.sum("n").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
     r = s.withColumn("rn", F.row_number().over(Window.partitionBy("part").orderBy("s_acctbal", "s_suppkey"))).join(F.broadcast(before), "part")
     return r.select("s_suppkey", F.round((F.col("before") + F.col("rn") - 1) / (F.col("total") - 1) * 0.999999, 6).alias("depth"))
 

@@ -23,9 +23,9 @@ def chunk_keyword_search(spark: SparkSession, sf: str) -> DataFrame:
     return S.chunk_search(load(spark, sf, "documents"), TERMS, PHRASE, 20)
 
 
-@query(f"WITH {TOKENS_SQL} SELECT token, doc_id, count(*) AS n FROM tokens WHERE length(token) >= 9 GROUP BY ALL")
+@query(f"WITH {TOKENS_SQL} SELECT token, doc_id, count(*) AS n FROM tokens GROUP BY ALL")
 def posting_list(spark: SparkSession, sf: str) -> DataFrame:
-    return S.postings(load(spark, sf, "documents")).where("length(token) >= 9").select("token", "doc_id", "n")
+    return S.postings(load(spark, sf, "documents")).select("token", "doc_id", "n")
 
 
 @query(f"""WITH {FACTS_SQL}, s AS (SELECT fact_id, confidence, CASE WHEN contains(lower(fact_text), 'the of') THEN 100.0 ELSE 100.0 * len(list_intersect(list_distinct(string_split(lower(fact_text), ' ')), ['the', 'of'])) / 2 END AS fuzzy FROM facts WHERE fact_text ILIKE '%the of%' OR canonical_value ILIKE '%the%')
@@ -95,9 +95,9 @@ def hierarchical_points(spark: SparkSession, sf: str) -> DataFrame:
     return docs.unionByName(summary).unionByName(row(hits.join(best, "doc_id"), "fact", F.col("fact_id"), F.col("confidence")))
 
 
-@query(f"""WITH {TOKENS_SQL}, c AS (SELECT token, source, count(*) AS w FROM tokens WHERE length(token) > 6 GROUP BY ALL) SELECT b.token, sum(a.w * b.w) AS weight FROM c a JOIN c b ON a.source = b.source AND a.token = 'thatthe' AND b.token <> 'thatthe' GROUP BY b.token HAVING sum(a.w * b.w) >= 3""")
+@query(f"""WITH {TOKENS_SQL}, c AS (SELECT token, source, count(*) AS w FROM tokens GROUP BY ALL) SELECT b.token, sum(a.w * b.w) AS weight FROM c a JOIN c b ON a.source = b.source AND a.token = 'thatthe' AND b.token <> 'thatthe' GROUP BY b.token HAVING sum(a.w * b.w) >= 3""")
 def related_keywords(spark: SparkSession, sf: str) -> DataFrame:
-    c = tokens(spark, sf).where("length(token) > 6").groupBy("token", "source").agg(F.count("*").alias("w"))
+    c = tokens(spark, sf).groupBy("token", "source").agg(F.count("*").alias("w"))
     mine = c.where("token = 'thatthe'").select("source", F.col("w").alias("mw"))
     return c.where("token <> 'thatthe'").join(mine, "source").groupBy("token").agg(F.sum(F.col("w") * F.col("mw")).alias("weight")).where("weight >= 3")
 

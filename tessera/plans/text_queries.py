@@ -33,10 +33,10 @@ def bigram_sets(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").select("doc_id", F.size(T.bigrams(T.tokenize(F.col("text")))).cast("long").alias("n_bigrams"))
 
 
-@query("""WITH c AS (SELECT doc_id, text, unnest(range(greatest((length(text) - 200 - 1) // 1800, 0) + 1)) AS k FROM documents WHERE length(text) > 200)
+@query("""WITH c AS (SELECT doc_id, text, unnest(range(greatest((length(text) - 200 - 1) // 1800, 0) + 1)) AS k FROM documents)
 SELECT doc_id, k, length(substring(text, (k * 1800 + 1)::BIGINT, 2000)) AS n FROM c""")
 def fixed_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    docs = load(spark, sf, "documents").where(F.length("text") > 200)
+    docs = load(spark, sf, "documents")
     return docs.select("doc_id", F.posexplode(T.windows(F.col("text"))).alias("k", "chunk")).select("doc_id", F.col("k").cast("long").alias("k"), F.char_length("chunk").cast("long").alias("n"))
 
 
@@ -53,10 +53,10 @@ def key_phrases(spark: SparkSession, sf: str) -> DataFrame:
     return p.groupBy("phrase").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "phrase").limit(20)
 
 
-@query("""SELECT n_nationkey, list_sort(list_distinct([n_name, lower(n_name), upper(n_name[1]) || lower(n_name[2:]), regexp_replace(lower(n_name), 's$', ''), regexp_replace(lower(n_name), 'ies$', 'y')])) AS variants
-FROM nation WHERE n_name NOT LIKE '% %'""")
+@query("""SELECT n_nationkey, list_sort(list_distinct([n_name, lower(n_name), array_to_string(list_transform(string_split(n_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' '), regexp_replace(lower(n_name), 's$', ''), regexp_replace(lower(n_name), 'ies$', 'y')])) AS variants
+FROM nation""")
 def keyword_variants(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "nation").where(~F.col("n_name").contains(" ")).select("n_nationkey", T.keyword_variants(F.col("n_name")).alias("variants"))
+    return load(spark, sf, "nation").select("n_nationkey", T.keyword_variants(F.col("n_name")).alias("variants"))
 
 
 @query("""SELECT p_partkey, array_to_string(regexp_extract_all(lower(p_name), '[a-z0-9]+'), ' ') AS mention, trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS name FROM part""".replace("\\\\", "\\"))

@@ -9,7 +9,7 @@ from tessera.plans import all_queries
 def test_conflicting_objects_far_apart(spark, tmp_path):
     items = [(1, 5), (1, 900), (1, 900), (1, 70), (2, 4), (3, 8), (3, 9)]
     spark.createDataFrame(items, "l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
-    got = sorted(map(tuple, all_queries.QUERIES["conflicting_objects_whole"](spark, str(tmp_path)).collect()))
+    got = sorted(map(tuple, all_queries.QUERIES["conflicting_objects"](spark, str(tmp_path)).collect()))
     assert got == [(1, 5, 70, 2), (1, 70, 5, 2), (1, 900, 5, 2), (3, 8, 9, 1), (3, 9, 8, 1)]
 
 
@@ -22,7 +22,7 @@ def test_contradicting_texts_of_other_documents(spark, tmp_path):
         other = [(-c, b) for b, t, v, c in facts if b % 5 == a % 5 and v == value and t != text]
         if other:
             want.append((a, min(other)[1], len(other)))
-    got = all_queries.QUERIES["contradictions_whole"](spark, str(tmp_path)).where("kind = 'text'").collect()
+    got = all_queries.QUERIES["contradiction_pairs"](spark, str(tmp_path)).where("kind = 'text'").collect()
     assert sorted((x.a, x.b, x.links) for x in got) == sorted(want)
     assert any(a // 10000 != b // 10000 for a, b, _ in want)
 
