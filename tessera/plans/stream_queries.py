@@ -15,12 +15,12 @@ def stream(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL")
 def tumbling_windows(spark: SparkSession, sf: str) -> DataFrame:
-    return E.drain(E.tumbling(stream(spark, sf)), "tumbling", "complete").withColumn("total", F.round("total", 3))
+    return E.drain(E.tumbling(stream(spark, sf)), "tumbling", "update", keys=["start", "event_type"]).withColumn("total", F.round("total", 3))
 
 
 @query("SELECT start, count(*) AS n FROM (SELECT time_bucket(INTERVAL '1 hour', ts) - INTERVAL '1 hour' * k AS start FROM events, (SELECT unnest([0, 1]) AS k)) GROUP BY start")
 def sliding_windows(spark: SparkSession, sf: str) -> DataFrame:
-    return E.drain(E.sliding(stream(spark, sf)), "sliding", "complete")
+    return E.drain(E.sliding(stream(spark, sf)), "sliding", "update", keys=["start"])
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new, event_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -35,6 +35,6 @@ def stream_distinct(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
+@query("SELECT user_id, count(*) AS n, round(list_reduce(list(value ORDER BY event_id), lambda x, v: 0.7 * x + 0.3 * v), 4) AS x FROM events GROUP BY user_id")
 def user_state(spark: SparkSession, sf: str) -> DataFrame:
-    return E.drain(E.decayed_state(stream(spark, sf)), "state", "update").groupBy("user_id").agg(F.max("n").alias("n"))
+    return E.drain(E.decayed_state(stream(spark, sf)), "state", "update", keys=["user_id"]).withColumn("x", F.round("x", 4))

@@ -54,8 +54,11 @@ def decayed_state(events: DataFrame, rate: float = 0.3) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, x double", "n long, x double", "update", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
-    """Run a stream over all that is there, into a table in the shared folder (or through `each` batch), and read that."""
+def drain(stream: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None, keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over all that is there, into a table in the shared folder (or through `each` batch), and read that.
+
+    keys: what a row is known by, where batches bring newer versions of it (update mode); the last one counts.
+    """
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
 
@@ -67,7 +70,12 @@ def drain(stream: DataFrame, name: str, mode: str = "append", each: Callable[[Da
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out/batch=*")
+    out = spark.read.schema(stream.schema).parquet(f"{base}/out/batch=*")
+    if not keys:
+        return out
+    number = F.regexp_extract(F.input_file_name(), r"/batch=([0-9]+)/", 1).cast("long")
+    latest = out.withColumn("__batch", number).groupBy(*keys).agg(F.max_by(F.struct(*(c for c in out.columns if c not in keys)), "__batch").alias("__row"))
+    return latest.select(*keys, "__row.*").select(*out.columns)
 
 
 def centroids(stream: DataFrame, key: str, value: str, keep: float = 0.9) -> DataFrame:
