@@ -21,7 +21,10 @@ of matches and of what lies between them, in blocks, so that texts with very man
 matches take time in proportion.
 
 Defined results: a null or empty text has no spans. Offsets count code points, ends
-are exclusive. Repeated rows are scanned alike; other columns are not touched.
+are exclusive. Spans that begin alike stand in the order of KINDS. Candidates that tie
+with a stratum's threshold are discoveries. An empty table gives no rows and no
+thresholds. Repeated rows are scanned alike; other columns are not touched, and their
+names don't matter unless they are asked for.
 """
 
 from __future__ import annotations
