@@ -3,6 +3,13 @@
 Stages take (spark, docs, sf_dir) and return a DataFrame; the caller writes it as
 Parquet and reads it again as the next stage's docs. All but the last return the
 columns of documents. run() does the same through the shared folder.
+
+Defined results: null and empty texts, having no word, go in the quality stage; texts
+that lose all their lines in the second are near copies of one another in the third,
+which keeps one of them, and give nothing to the mix. Rows without a doc_id come last
+wherever order counts. Repeated rows fare alike until the third stage, which keeps one.
+Ties are broken by doc_id. Further columns, whatever their names, are handed on by all
+stages but the last. An empty table gives an empty result. Long texts are never cut.
 """
 
 from __future__ import annotations
