@@ -53,12 +53,39 @@ def cosine_neighbours(queries: DataFrame, vectors: DataFrame, k: int, block: int
 
 
 def neighbours(queries: DataFrame, points: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """The k nearest points (vec_id, p) of each query (query_id, q): rows rank 1 to k.
+    """The k nearest points (vec_id, p) of each query (query_id, q) other than itself: rows rank 1 to k, ties to the smaller vec_id.
 
-    Each task keeps its best k per query before rows go to the ranking by query.
+    Queries come in blocks of about `block`, which points meet where they lie, in matrix
+    products; a task gives its k best of each query of a block. No queries: no rows.
     """
+    spark, blocks = points.sparkSession, -(-queries.count() // block)
+    found = spark.createDataFrame([], "query_id long, vec_id long, d double")
+    for n in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).select("query_id", "q").collect()  # about `block` of them
+        if rows:
+            ids, q = np.array([r["query_id"] for r in rows]), np.array([r["q"] for r in rows])
+            found = found.unionAll(points.select("vec_id", "p").mapInPandas(lambda got, ids=ids, q=q: nearest(got, ids, q, k), found.schema))
     w = Window.partitionBy("query_id").orderBy("d", "vec_id")
-    return distances(queries, points, block).select("query_id", "vec_id", "d").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def nearest(got: Iterator[pd.DataFrame], ids: np.ndarray, q: np.ndarray, k: int, chunk: int = 1000) -> Iterator[pd.DataFrame]:
+    """The k nearest of the points that come, for each query: (query_id, vec_id, d)."""
+    best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # query's place, vec_id, d
+    for b in got:
+        for a in range(0, len(b), chunk):
+            part = b.iloc[a : a + chunk]
+            at = part["vec_id"].to_numpy()
+            d = ball_distances(q, np.stack(part["p"].to_numpy()))
+            d[ids[:, None] == at[None, :]] = np.inf
+            edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.full((len(q), 1), np.inf)
+            r, c = np.nonzero((d <= edge) & np.isfinite(d))
+            row, vec, far = (np.concatenate(x) for x in zip(best, (r, at[c], d[r, c]), strict=True))
+            order = np.lexsort((vec, far, row))
+            row, vec, far = row[order], vec[order], far[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            best = [x[place < k] for x in (row, vec, far)]
+    yield pd.DataFrame({"query_id": ids[best[0]], "vec_id": best[1], "d": best[2]})
 
 
 def pruned_neighbours(queries: DataFrame, points: DataFrame, k: int, pivots: int = 16) -> DataFrame:
