@@ -123,6 +123,15 @@ def annotations(c: Column, first_names: tuple[str, ...] = (), suffixes: tuple[st
     return F.map_from_arrays(F.array(*map(F.lit, found)), F.array(*(v.cast(SPAN) for v in found.values())))
 
 
+#: Buckets whose mentions are just what their patterns match.
+PLAIN = {"years": [word(YEAR)], "dates": [*DATE_FORMS.values()], "pages": [PAGES], "identifiers": [*IDENTIFIER_FORMS.values()], "people": [word(rf"{CAPITAL}\s+{CAPITAL}")], "citations": [CITATIONS]}
+
+
+def mention_count(c: Column, bucket: str) -> Column:
+    """How many mentions a bucket of PLAIN has; without their places, which cost more."""
+    return sum((F.regexp_count(F.coalesce(c, F.lit("")), F.lit(p)) for p in PLAIN[bucket]), F.lit(0)).cast("long")
+
+
 def gazetteer_mentions(docs: DataFrame, terms: DataFrame, key: str = "doc_id", most: int = 4) -> DataFrame:
     """(key, term, kind, start, end) of each whole-word occurrence in `text` of a term (term, kind) of up to `most` words, by an equi join on words.
 

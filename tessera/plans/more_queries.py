@@ -30,8 +30,7 @@ SELECT doc_id, {count_sql(A.word(A.YEAR))} AS years, {count_sql(*A.DATE_FORMS.va
 
 @query(ANNOTATION_SQL)
 def annotation_counts(spark: SparkSession, sf: str) -> DataFrame:
-    a = load(spark, sf, "documents").select("doc_id", A.annotations(F.col("text")).alias("a"))
-    return a.select("doc_id", *(F.size(F.col("a")[b]).cast("long").alias(b) for b in ("years", "dates", "pages", "identifiers", "people", "citations")))
+    return load(spark, sf, "documents").select("doc_id", *(A.mention_count(F.col("text"), b).alias(b) for b in A.PLAIN))
 
 
 @query()

@@ -22,6 +22,8 @@ The Harbour Trust University was founded by Peter Quill in Bergen. Nobody came.
 def test_article(spark):
     a = spark.createDataFrame([(ARTICLE,), (None,)], "text string").select(A.annotations(F.col("text")).alias("a")).collect()
     got = {k: [m.text for m in v] for k, v in a[0].a.items()}
+    counts = spark.createDataFrame([(ARTICLE,)], "text string").select(*(A.mention_count(F.col("text"), b).alias(b) for b in A.PLAIN)).first().asDict()
+    assert counts == {b: len(got[b]) for b in A.PLAIN}
     assert got["years"] == ["1999", "2001", "2011", "1780", "1914", "1918", "1950"]
     assert sorted(got["dates"]) == sorted(["1999-11-30", "24.12.2001", "June 2011", "circa 1780", "1914–1918", "Feb 3, 1950"])
     assert got["pages"] == ["p. 17", "pp. 20-24", "Pages 3"]
