@@ -12,6 +12,7 @@ from .line_crf import op4_line_crf
 from .line_dedup import op8_line_dedup
 from .mixing import OP2_SQL, op2_mixing
 from .quality_rules import op6_quality_rules
+from .runs import op13_runs
 from .secrets import op3_secrets
 from .simhash import op9_simhash
 from .token_files import op10_token_files
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
     "op10_token_files": op10_token_files,
+    "op13_runs": op13_runs,
 }
 ORACLES: dict[str, str] = {
     "op2_mixing": OP2_SQL,
