@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op5_bpe
+from .conversation_trie import op12_conversation_trie
 from .licenses import op1_licenses
 from .line_crf import op4_line_crf
 from .line_dedup import op8_line_dedup
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
     "op10_token_files": op10_token_files,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_runs": op13_runs,
 }
 ORACLES: dict[str, str] = {
