@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op5_bpe
 from .conversation_trie import op12_conversation_trie
+from .jaccard import op11_jaccard
 from .licenses import op1_licenses
 from .line_crf import op4_line_crf
 from .line_dedup import op8_line_dedup
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
     "op10_token_files": op10_token_files,
+    "op11_jaccard": op11_jaccard,
     "op12_conversation_trie": op12_conversation_trie,
     "op13_runs": op13_runs,
 }
