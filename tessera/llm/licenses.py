@@ -7,14 +7,16 @@ word for word. Candidate blocks are the stretches of a text around such pieces,
 enough for the template they are from, merged where they meet: no notice lies outside.
 
 Every block is compressed alone and with each template as a raw zstandard dictionary;
-the template that a block's content comes from saves the most bytes. Templates are
-ranked by bytes saved, as a share of what they save on themselves; those above SAVES are
-confirmed by their exact wording: the template's words are aligned with the block's at
-the least number of word differences, for every place where a run of words can end.
+the template that a block's content comes from saves the most bytes. The templates that
+have a piece in the block are ranked by bytes saved, as a share of what they save on
+themselves, and confirmed in that order by their exact wording: the template's words are
+aligned with the block's at the least number of word differences, for every place where a
+run of words can end. Ranks order, they leave none out: beside other notices a short one
+may have nothing left to save.
 Runs within the allowed differences are notices; of those of one template that overlap
 the one with fewest differences stays, and all that don't overlap it are kept. Where
 notices of several templates overlap, the longest stays, then the one with fewer
-differences, then the one of the first template.
+differences, then the one that saves more, then the one of the first template.
 
 Texts without any of the pieces' longest words are passed over after one search for
 them all (an automaton); others are cut into words whole.
@@ -22,15 +24,15 @@ them all (an automaton); others are cut into words whole.
 Defined results: a null or empty text has no blocks, an empty table no rows. Case,
 punctuation and line breaks don't matter to the wording. Repeated rows are scanned
 alike; other columns are not touched, whatever their names. Texts are read once,
-without a shuffle. Blocks of very many words are scanned in parts that overlap by the
-longest template.
+without a shuffle. Very long texts are scanned whole; blocks of very many words in parts
+that overlap by the longest template.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -161,8 +163,6 @@ def short_forms() -> dict[str, str]:
 
 TEMPLATES = NOTICES | short_forms()
 LEVEL = 9
-#: Templates that save less than this share of what they save on themselves are not in a block.
-SAVES = 0.1
 #: Largest share of a template's words that may differ; templates of fewer words than LONG must match exactly.
 DIFFERENCES, LONG = 0.1, 10
 #: Words of a block that are scanned at once.
@@ -236,42 +236,46 @@ class Scanner:
             self.finder.add_word(w, w)
         self.finder.make_automaton()
 
-    def blocks(self, words: list[str]) -> list[tuple[int, int]]:
-        """Runs of words around pieces, wide enough for their templates, merged where they meet; long ones in overlapping parts."""
+    def blocks(self, words: list[str]) -> list[tuple[int, int, set[int]]]:
+        """Runs of words around pieces, wide enough for their templates, merged where they meet; long ones in overlapping parts. Each with the templates that have a piece in it."""
         found = []
         for i, w in enumerate(words):
             for piece, at, place, k in self.pieces.get(w, ()):
                 p = i - at
                 if p >= 0 and words[p : p + len(piece)] == piece:
                     a = p - place - self.allowed[k]
-                    found.append((max(0, a), min(len(words), p - place + len(self.words[k]) + self.allowed[k])))
-        merged: list[list[int]] = []
-        for a, z in sorted(found):
+                    found.append((max(0, a), min(len(words), p - place + len(self.words[k]) + self.allowed[k]), k))
+        merged: list[tuple[int, int, list[tuple[int, int, int]]]] = []
+        for a, z, k in sorted(found):
             if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], z)
+                merged[-1] = (merged[-1][0], max(merged[-1][1], z), merged[-1][2])
             else:
-                merged.append([a, z])
+                merged.append((a, z, []))
+            merged[-1][2].append((a, z, k))
         step = max(PART, 2 * self.longest)
-        return [(x, min(x + step, z)) for a, z in merged for x in range(a, max(a + 1, z - self.longest), step - self.longest)]
-
-    def rank(self, block: str) -> list[tuple[float, int]]:
-        """Templates by the share of their possible saving, best first."""
+        out = []
+        for a, z, of in merged:
+            for x in range(a, max(a + 1, z - self.longest), step - self.longest):
+                y = min(x + step, z)
+                out.append((x, y, {k for b, e, k in of if b < y and e > x}))
+        return out
+
+    def rank(self, block: str, templates: Iterable[int]) -> list[tuple[float, int]]:
+        """Of these templates, the share of what they save on themselves that they save on the block; best first."""
         data = block.lower().encode("utf-8", "surrogatepass")
         plain = len(self.alone.compress(data))
-        saved = [plain - len(c.compress(data)) for c in self.given]
-        return sorted(((s / m, k) for k, (s, m) in enumerate(zip(saved, self.most, strict=True)) if s > 0), key=lambda x: (-x[0], x[1]))
+        saved = [(plain - len(self.given[k].compress(data)), k) for k in templates]
+        return sorted(((s / self.most[k], k) for s, k in saved), key=lambda x: (-x[0], x[1]))
 
-    def confirm(self, block: str, words: list[str]) -> list[tuple[int, int, int, int]]:
-        """(first word, last word + 1, differences, template) of the block's notices."""
+    def confirm(self, block: str, words: list[str], templates: Iterable[int]) -> list[tuple[int, int, int, int, int]]:
+        """(first word, last word + 1, differences, rank, template) of the block's notices: winners first, but none is left out for what it saves."""
         have, hits = set(words), []
-        for share, k in self.rank(block):
-            if share < SAVES:
-                break
+        for place, (_, k) in enumerate(self.rank(block, templates)):
             need, d = self.words[k], self.allowed[k]
             if sum(w not in have for w in need) <= d:
                 cost, begin = align(need, words)
                 runs = [(int(cost[e]), int(begin[e]), int(e)) for e in np.flatnonzero(cost <= d) if begin[e] < e]
-                hits += [(a, b, c, k) for c, a, b in apart(runs)]
+                hits += [(a, b, c, place, k) for c, a, b in apart(runs)]
         return hits
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int, str, int]]]:
@@ -282,13 +286,13 @@ class Scanner:
         plain = [w for w, _, _ in all_words]
         found = self.blocks(plain)
         hits = set()
-        for a, z in found:
+        for a, z, templates in found:
             block = text[all_words[a][1] : all_words[z - 1][2]]
-            hits |= {(a + x, a + y, d, k) for x, y, d, k in self.confirm(block, plain[a:z])}
+            hits |= {(a + x, a + y, d, place, k) for x, y, d, place, k in self.confirm(block, plain[a:z], templates)}
         # the longest first: apart() takes what is least
         best = {}
-        for a, b, d, k in sorted(hits, key=lambda h: (h[2], h[3])):
-            best.setdefault((a, b), (d, k))
+        for a, b, d, place, k in sorted(hits, key=lambda h: h[2:]):
+            best.setdefault((a, b), (d, place, k))
         kept: list[tuple[int, int, int]] = []
         begins: list[int] = []
         for a, b in sorted(best, key=lambda r: (all_words[r[0]][1] - all_words[r[1] - 1][2], best[r], r)):
@@ -296,7 +300,7 @@ class Scanner:
             if (i == 0 or kept[i - 1][1] <= a) and (i == len(kept) or kept[i][0] >= b):
                 kept.insert(i, (a, b))
                 begins.insert(i, a)
-        return len(found), [(all_words[a][1], all_words[b - 1][2], self.names[best[a, b][1]], best[a, b][0]) for a, b in kept]
+        return len(found), [(all_words[a][1], all_words[b - 1][2], self.names[best[a, b][2]], best[a, b][0]) for a, b in kept]
 
 
 _scanners: dict[tuple, Scanner] = {}
