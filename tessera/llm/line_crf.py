@@ -5,11 +5,12 @@ its neighbours; transitions tie neighbouring lines together. Forward-backward
 gives each line's marginal of being good, and the document's quality is their
 mean weighted by line length. Weights are fitted on a bounded sample of labelled
 documents, none of the held-out fold, each of whose lines carries the document's
-label: TRAINING_ROWS rows at most, with TRAINING_LINES lines at most together. Rows
-are taken whole, in the order of a hash; one that what is left of these lines doesn't
-hold is passed over.
+label: TRAINING_ROWS rows at most, with TRAINING_LINES lines at most together. No row is
+passed over for its length: where all have more lines than that, the longest give their
+first ones, as many as leave all of theirs to the shorter ones (`lines_each`).
 
-Defined results: a null or empty text is one empty line and gets its score.
+Defined results: a null or empty text is one empty line and gets its score; very long
+texts are scored whole, in stretches of lines. Texts with equal lines tie in their scores.
 Repeated rows score alike; of rows that repeat a labelled doc_id the one whose text
 hashes lowest is fitted on, so fits agree from run to run. Other columns are not
 touched, whatever their names. An empty table gives no rows. Without usable labels
@@ -219,31 +220,30 @@ def fit_crf(x: np.ndarray, first: np.ndarray, label: np.ndarray, rounds: int = 1
     return model
 
 
-def chosen(sizes: list[tuple[int, int]], lines: int) -> list[int]:
-    """Of (doc_id, lines) in order, the ids whose lines fit into what is left of `lines`."""
-    out = []
-    for i, n in sizes:
-        if n <= lines:
-            out.append(i)
-            lines -= n
-    return out
+def lines_each(sizes: list[int], lines: int) -> int:
+    """The most lines that every document may give so that all together give `lines` at most: short documents give all of theirs."""
+    left, rest = lines, sorted(sizes)
+    for k, n in enumerate(rest):
+        share = left // (len(rest) - k)
+        if n > share:
+            return share
+        left -= n
+    return rest[-1] if rest else 0
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS, lines: int = TRAINING_LINES) -> LineCRF:
     ids = training_ids(labels, "quality", bound)
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.col("quality").alias("label"), F.xxhash64("text").alias("h"), F.col("text").alias("__text"))
     n_lines = F.coalesce(F.size(F.split("__text", "\n", -1)), F.lit(1))
-    # (doc_id, lines) of `bound` rows at most
-    sizes = rows.groupBy("doc_id").agg(F.min(F.struct("h", n_lines.alias("n"))).alias("s")).select("doc_id", "s.n").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    taken = docs.sparkSession.createDataFrame([(i,) for i in chosen([(r["doc_id"], r["n"]) for r in sizes], lines)], "doc_id long")
-    rows = rows.join(F.broadcast(taken), "doc_id").select("doc_id", "label", "h", "__text")
+    # lines of `bound` rows at most
+    most = lines_each([r["n"] for r in rows.groupBy("doc_id").agg(F.min(F.struct("h", n_lines.alias("n"))).alias("s")).select("s.n").collect()], lines)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(3).to_pylist()
             for a, z in steps(texts, STEP_CHARS):
                 x, _, first = line_features(texts[a:z])
-                features = [x[first[k] : first[k + 1]].astype("<f4").tobytes() for k in range(z - a)]
+                features = [x[first[k] : min(first[k + 1], first[k] + most)].astype("<f4").tobytes() for k in range(z - a)]
                 yield pa.RecordBatch.from_arrays([*(b.column(i).slice(a, z - a) for i in range(3)), pa.array(features, pa.binary())], ["doc_id", "label", "h", "x"])
 
     got = rows.mapInArrow(run, "doc_id long, label int, h long, x binary").groupBy("doc_id").agg(F.min(F.struct("h", "label", "x")).alias("r")).select("doc_id", "r.label", "r.x").orderBy("doc_id").collect()
