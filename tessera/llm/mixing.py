@@ -22,8 +22,8 @@ sums over these ranges, never sorted in one task.
 
 Defined results: a null text has size 0 and is never taken; a null source is a
 source of its own; a row without a doc_id is placed by its text, after all others of
-its shard that agree in their seeds; repeated rows count and are taken one by one; tied
-quotients go out in the order of sources and shards; an empty table or one without words
+its shard that agree in their seeds; rows of one doc_id and size are in the order of
+their texts' hashes; repeated rows count and are taken one by one; tied quotients go out in the order of sources and shards; an empty table or one without words
 has targets and takings of 0. Other columns are not touched.
 """
 
@@ -138,7 +138,7 @@ def place_of() -> Column:
 
 
 def mix(sizes: DataFrame, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Mix rows (doc_id, source, size, place, and any more columns), which should be durable: they are read more than once.
+    """Mix rows (doc_id, source, size, place, and any more columns), which should be durable: they are read more than once. A column __row, a hash of the text, breaks ties.
 
     Adds source_size, target, passes, run_from, run_words and taken: the row's words
     are taken `passes` times whole, and run_words of them from its word run_from on
@@ -165,7 +165,9 @@ def mix(sizes: DataFrame, block: int = BLOCK_WORDS, shard_words: int = SHARD_WOR
         (seeded(F.coalesce("source", F.lit("null")), F.col("__shard").cast("string")) % m * block).alias("__lo"),
         (quota % m * block).alias("__len"), (m * block).alias("__ring"),
     )
-    w = Window.partitionBy("source", "__shard").orderBy("__seed", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    # rows of one id and size that differ in their texts stand in the order of these
+    ties = [c for c in ("__row",) if c in sizes.columns]
+    w = Window.partitionBy("source", "__shard").orderBy("__seed", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("__b", F.sum("size").over(w)).withColumn("__a", F.col("__b") - F.col("size"))
     out = placed.join(plan, same(F.col("source"), F.col("__s")) & (F.col("__shard") == F.col("__k")))
     a, b, lo, hi = F.col("__a"), F.col("__b"), F.col("__lo"), F.col("__lo") + F.col("__len")

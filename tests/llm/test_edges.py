@@ -167,7 +167,7 @@ def test_crf(docs, empty, labels):
 
 
 def test_crf_fits_long_documents(spark):
-    """Labelled documents of 300 lines are fitted on; a row that the bound on lines can't hold is passed over; repeated ids agree."""
+    """Labelled documents of 300 lines are fitted on, with their first lines where the bound holds no more; repeated ids agree."""
     from pyspark.sql import functions as F
 
     good = lambda k: "\n".join(prose(k, 240).split("\n") * 15)
@@ -179,8 +179,9 @@ def test_crf_fits_long_documents(spark):
     assert np.array_equal(m.weights, line_crf.train(docs.orderBy(F.rand(3)), labels).weights)
     s = m.score([t for _, t in rows])
     assert (s[1::2] > 0.5).all() and (s[::2] < 0.3).all()
-    assert line_crf.chosen([(1, 5), (2, 300), (3, 6), (4, 1)], 11) == [1, 3]
-    assert (line_crf.train(docs, labels, lines=299).score(["x"]) == 0.5).all()
+    assert [line_crf.lines_each(n, most) for n, most in (([5, 300, 6, 1], 312), ([5, 300, 6, 1], 40), ([5, 300, 6, 1], 10), ([], 9))] == [300, 28, 3, 0]
+    first = line_crf.train(docs, labels, lines=100).score([t for _, t in rows])
+    assert (first[1::2] > 0.5).all() and (first[::2] < 0.3).all()
 
 
 def test_crf_score_against_enumeration():
@@ -267,6 +268,18 @@ def test_mixing(spark, docs, empty):
     assert mixing.mixed_documents(empty).count() == 0
 
 
+def test_mixed_texts_agree_between_reruns(spark):
+    """Rows of one id and size with different texts: the same texts are taken, however the table is read."""
+    rows = [(k % 50, f"{k % 7} one two three four {k}", f"s{k % 3}") for k in range(300)] + [(1, "repeated row", "s1")] * 3
+    seen = set()
+    for seed in (1, 2, 3):
+        mixed = list(rows)
+        random.Random(seed).shuffle(mixed)
+        docs = spark.createDataFrame(mixed, "doc_id long, text string, source string").repartition(seed + 1)
+        seen.add(tuple(sorted((r.doc_id, r.source, r.text) for r in mixing.mixed_documents(docs).collect())))
+    assert len(seen) == 1 and len(seen.pop()) > 300
+
+
 def test_sources_that_share_a_prefix(spark):
     names = [f"https://www.example.org/{k * 7919 % 1000}" for k in range(1000)] + [None, "", "é", "😀", "z"]
     got = mixing.ranked_sources(spark.createDataFrame([(x, 1, 1) for x in names], "source string, source_size long, source_rows long").repartition(3)).collect()
@@ -462,6 +475,49 @@ def test_licenses(docs, empty):
     assert clash.columns == ["spans", "doc_id", "n_blocks", "n_licenses", "licenses", "spans"] and clash.count() == len(rows())
 
 
+def license_brute_force(s, words):
+    """Spans of a scanner's notices by the definition: every template, every run of words."""
+    found = {}
+    for k, need in enumerate(s.words):
+        d = s.allowed[k]
+        for a in range(len(words)):
+            for b in range(a + max(1, len(need) - d), min(len(words), a + len(need) + d) + 1):
+                if sum(x != y for x, y in zip(words[a:b], need, strict=False)) == 0 and b - a == len(need):
+                    found.setdefault((a, b), 0)
+    kept = []
+    for a, b in sorted(found, key=lambda r: (sum(map(len, words[r[0] : r[1]])) * -1 - (r[1] - r[0]), r)):
+        if all(b <= x or a >= y for x, y in kept):
+            kept.append((a, b))
+    return kept
+
+
+def test_many_licenses_in_one_block_lose_none():
+    """Notices that stand word for word are found whatever else their block holds: ranks leave none out."""
+    s = licenses.Scanner(licenses.TEMPLATES)
+    names = lambda t: {h[2].split()[0] for h in s.scan(t)[1]}
+    assert names("under the CC0 1.0 plain while under the Creative Commons Attribution 4.0 International License") == {"CC0-1.0", "CC-BY-4.0"}
+    assert names("under CC0 1.0 brown fell plain under GNU General Public License, version 2") == {"CC0-1.0", "GPL-2.0"}
+    rng, short = random.Random(12), [k for k, w in enumerate(s.words) if len(w) < licenses.LONG]
+    for _ in range(300):
+        words = []
+        for _ in range(rng.randint(1, 6)):
+            words += s.words[rng.choice(short)] + [rng.choice(WORDS) for _ in range(rng.randint(1, 3))]
+        text = " ".join(words)
+        at = np.cumsum([0, *(len(w) + 1 for w in words)])
+        got = [(h[0], h[1]) for h in s.scan(text)[1] if len(s.words[s.names.index(h[2])]) < licenses.LONG]
+        assert len(got) == len(s.scan(text)[1])
+        want = sorted((int(at[a]), int(at[b]) - 1) for a, b in license_brute_force(Short(s), words))
+        assert got == want, text
+
+
+class Short:
+    """A scanner's templates that must stand word for word."""
+
+    def __init__(self, s):
+        keep = [k for k, d in enumerate(s.allowed) if d == 0]
+        self.words, self.allowed = [s.words[k] for k in keep], [0] * len(keep)
+
+
 def test_license_notices_against_brute_force():
     """Every run of words within the allowed differences is found, best of overlapping ones first, wherever it stands."""
     r = random.Random(11)
