@@ -1,16 +1,24 @@
-"""Communities by modularity, contradictions by meaning, fuzzy canonical names, ball trees and layered embeddings."""
+"""Communities by modularity, contradictions by meaning, fuzzy names, ball trees, layered embeddings, a trained gate, shapes and far points."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ball_tree import build, search
 from ..operators.canonical import LEAST, MOST, canonical_names
+from ..operators.embeddings import layered, seeded_features, seeded_weights
+from ..operators.gate import train as train_gate
 from ..operators.modularity import modularity, modularity_communities
+from ..operators.shapes import dominance, edgeworth, far_points
 from ..operators.threshold_join import cosine_pairs
+from ..operators.vectors import ball_distances
+from ..storage import settle
 from .audit_queries import CONTRA_SQL, contradiction_pairs
-from .common import EDGES_SQL, STOP_SQL, edges, tokens
+from .common import EDGES_SQL, STOP_SQL, edges, points, tokens
 from .registry import load, query
+from .vector_queries import KNN_SQL
 
 
 @query()
@@ -91,3 +99,81 @@ def fuzzy_names(spark: SparkSession, sf: str) -> DataFrame:
     """Documents by the words that they begin with: one node for names of a language that are alike."""
     names = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("kind"), name_words(F.col("text")).alias("words"))
     return canonical_names(names.withColumn("words", F.coalesce("words", F.array().cast("array<string>"))))
+
+
+@query(f"WITH {KNN_SQL} SELECT query_id, rank, round(d, 3) AS d FROM near")
+def ball_tree_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest points of the rows whose id is divisible by 20, down a ball tree."""
+    p = settle(points(spark, sf), "ball-input")
+    q = p.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("p").alias("q"))
+    return search(build(p), q, 10).select("query_id", "rank", F.round("d", 3).alias("d"))
+
+
+DIMS, HIDDEN, OUT = 4, 4, 3
+LAYERS = [seeded_weights(HIDDEN, 2 * DIMS, 5), seeded_weights(OUT, 2 * HIDDEN, 8)]
+
+
+def _layers_sql() -> str:
+    """The two layers on lists."""
+    sql = f"""{EDGES_SQL}, b AS (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges),
+    x0 AS (SELECT node, [{', '.join(f'((node * {k + 3} * 7919 + {k * 104729}) % 1000) / 500.0::DOUBLE - 1' for k in range(DIMS))}] AS x FROM (SELECT DISTINCT a AS node FROM b))"""
+    for n, weights in enumerate(LAYERS):
+        dims = len(weights[0]) // 2
+        value = lambda row: " + ".join(f"({w!r}::DOUBLE) * {'x' if c < dims else 'm'}[{c % dims + 1}]" for c, w in enumerate(row))  # noqa: B023, E731
+        rows = ", ".join(f"greatest(0, {value(r)})" if n == 0 else value(r) for r in weights)
+        sql += f""", m{n} AS (SELECT b.a AS node, [{', '.join(f'avg(x[{k + 1}])' for k in range(dims))}] AS m FROM b JOIN x{n} ON x{n}.node = b.b GROUP BY b.a),
+        x{n + 1} AS (SELECT x{n}.node, [{rows}] AS x FROM x{n} JOIN m{n} USING (node))"""
+    length = f"sqrt({' + '.join(f'x[{k + 1}] * x[{k + 1}]' for k in range(OUT))})"
+    return f"WITH {sql} SELECT node, {', '.join(f'round(CASE WHEN {length} > 0 THEN x[{k + 1}] / {length} ELSE 0 END, 6) AS x{k}' for k in range(OUT))} FROM x2"
+
+
+@query(_layers_sql())
+def layered_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers and parts by two layers of message passing over seeded features."""
+    e = edges(spark, sf)
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    x = layered(e, seeded_features(nodes, DIMS), LAYERS)
+    return x.select("node", *(F.round(F.get("x", F.lit(k)), 6).alias(f"x{k}") for k in range(OUT)))
+
+
+MARKS = ".,;:!?#*$%&|<>"
+
+
+def gate_features(text: Column) -> list[Column]:
+    """22 statistics of a text: shares of kinds of characters, and its words."""
+    size, words = F.greatest(F.char_length(text), F.lit(1)), F.greatest(F.regexp_count(text, F.lit(r"\S+")), F.lit(1))
+    share = lambda pattern: F.regexp_count(text, F.lit(pattern)) / size
+    shares = [share(p) for p in (r"\p{L}", r"\p{Lu}", r"\d", " ", "\n", *("[" + c + "]" for c in MARKS))]
+    distinct = F.size(F.array_distinct(F.split(text, r"\s+"))) / words
+    return [*shares, words / size, F.least(distinct, F.lit(1.0)), size / words / 50]
+
+
+@query()
+def trained_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """(place, weight) of a gate that tells good documents from bad ones, trained on all labelled ones; place 0 is the bias."""
+    docs = load(spark, sf, "documents").select("doc_id", F.array(*gate_features(F.coalesce("text", F.lit("")))).alias("x"))
+    rows = docs.join(load(spark, sf, "labels").select("doc_id", F.col("quality").alias("y")), "doc_id")
+    w, _ = train_gate(rows, steps=20, rate=2.0, penalty=0.0005, extra=0.0005)
+    return spark.createDataFrame([(k, round(float(x), 9)) for k, x in enumerate(w)], "place int, weight double")
+
+
+@query()
+def far_apart(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten points, each as far as can be from those before it."""
+    return far_points(settle(points(spark, sf), "far-input"), 10, ball_distances).withColumn("d", F.round("d", 6))
+
+
+@query()
+def ordered_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """How far each nation's balances, by market segment and key, are from supermodular, and its first two segments from a steeper first one."""
+    grid = load(spark, sf, "customer").groupBy("c_nationkey", "c_mktsegment", (F.col("c_custkey") % 4).alias("place")).agg((F.avg("c_acctbal") / 1000).alias("x"))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:  # at most five segments by four places
+        y = g.pivot(index="c_mktsegment", columns="place", values="x").sort_index().fillna(0.0).to_numpy()
+        moved = [((edgeworth(y) - y) ** 2).sum()]
+        p, q = dominance(y[0], y[-1])
+        moved.append(((p - y[0]) ** 2).sum() + ((q - y[-1]) ** 2).sum())
+        return pd.DataFrame({"nation": [g["c_nationkey"].iloc[0]], "edgeworth": [moved[0]], "dominance": [moved[1]]})
+
+    out = grid.groupBy("c_nationkey").applyInPandas(run, "nation long, edgeworth double, dominance double")
+    return out.select("nation", F.round("edgeworth", 6).alias("edgeworth"), F.round("dominance", 6).alias("dominance"))

@@ -36,6 +36,28 @@ def test_article(spark):
     assert set(got) | {"locations"} == set(A.BUCKETS) and all(v == [] for v in a[1].a.values())
 
 
+LINES = {
+    "bylines": [("Story by Li Wei", ["Li Wei"]), ("Authors: A. B. Moss", ["A. B. Moss"]), ("by the river", []), ("By Ann and others went home", []), ("writer: Élodie Roux", ["Élodie Roux"])],
+    "datelines": [("NEW YORK — It rained.", ["NEW YORK"]), ("PARIS, France -- It rained.", ["PARIS, France"]), ("Paris — it rained", []), ("BONN: quiet", []), ("ÅLESUND – Fisk.", ["ÅLESUND"])],
+    "speakers": [("Speaker 2: well", ["Speaker 2"]), ("[1:02] Mr. O'Neil: yes", ["Mr. O'Neil"]), ("note: no", []), ("Anna:", []), ("One Two Three Four Five Six: no", [])],
+    "chapters": [("Chapter 12", ["Chapter 12"]), ("APPENDIX B: Tables", ["APPENDIX B: Tables"]), ("section 3.1 - On rain", ["section 3.1 - On rain"]), ("part of it", []), ("Act of grace", [])],
+    "citations": [("so Berg, Holt and Weiss-Moore (1999) say", ["Berg, Holt and Weiss-Moore (1999)"]), ("Quill et al. (2004b)", ["Quill et al. (2004b)"]), ("in Oslo (12)", [])],
+    "identifiers": [("ISBN 0-306-40615-2", ["ISBN 0-306-40615-2"]), ("ISBN: 9780306406157", ["ISBN: 9780306406157"]), ("ISBN 12345", []), ("see 10.1000/xyz-1.", ["10.1000/xyz-1"]), ("ISSN 2049-363X", ["ISSN 2049-363X"])],
+    "pages": [("p. 9", ["p. 9"]), ("pages 10–12", ["pages 10–12"]), ("pp 9", []), ("page", [])],
+    "events": [("It was signed here. Nothing else.", ["It was signed here."]), ("Signedness", [])],
+    "organizations": [("the Sea Bank of old", ["the Sea Bank"]), ("banking", [])],
+}
+
+
+def test_single_lines(spark):
+    """Literal expectations, bucket by bucket."""
+    cases = [(b, t, want) for b, v in LINES.items() for t, want in v]
+    df = spark.createDataFrame([(n, t) for n, (_, t, _) in enumerate(cases)], "n long, text string").select("n", A.annotations(F.col("text")).alias("a"))
+    for r in df.collect():
+        bucket, text, want = cases[r.n]
+        assert [m.text for m in r.a[bucket]] == want, (bucket, text)
+
+
 def test_first_names_gate_people(spark):
     df = spark.createDataFrame([("Anna Berg met Tall Tree",)], "text string")
     assert [m.text for m in df.select(A.annotations(F.col("text"), ("anna",))["people"].alias("p")).first().p] == ["Anna Berg"]
