@@ -10,14 +10,20 @@ from ..operators.ball_tree import build, search
 from ..operators.canonical import LEAST, MOST, canonical_names
 from ..operators.embeddings import layered, seeded_features, seeded_weights
 from ..operators.gate import train as train_gate
+from ..operators.grounding import grounded, sentences
 from ..operators.modularity import modularity, modularity_communities
+from ..operators.provenance import Ledger, compared, table_digest
 from ..operators.shapes import dominance, edgeworth, far_points
 from ..operators.threshold_join import cosine_pairs
+from ..operators.vector_index import VectorIndex
 from ..operators.vectors import ball_distances
-from ..storage import settle
+from ..storage import new_path, settle
+from ..streaming.expiring import SESSION, ActiveNames
+from ..streaming.expiring import run as run_states
 from .audit_queries import CONTRA_SQL, contradiction_pairs
 from .common import EDGES_SQL, STOP_SQL, edges, points, tokens
 from .registry import load, query
+from .stream_queries import stream
 from .vector_queries import KNN_SQL
 
 
@@ -177,3 +183,72 @@ def ordered_shapes(spark: SparkSession, sf: str) -> DataFrame:
 
     out = grid.groupBy("c_nationkey").applyInPandas(run, "nation long, edgeworth double, dominance double")
     return out.select("nation", F.round("edgeworth", 6).alias("edgeworth"), F.round("dominance", 6).alias("dominance"))
+
+
+@query()
+def sentence_places(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's sentences with their places."""
+    return sentences(load(spark, sf, "documents")).select("doc_id", "pos", "start", "end")
+
+
+@query()
+def span_places(spark: SparkSession, sf: str) -> DataFrame:
+    """Where quotes from documents stand: every document's middle as it is, or with every twelfth character lost, or its beginning in capitals."""
+    n = F.char_length("text")
+    quote = F.substring(F.col("text"), (F.floor(n / 2) + 1).cast("int"), F.lit(80))
+    blurred = F.regexp_replace(quote, r"(?s)(.{11}).", "$1")
+    kind = F.col("doc_id") % 3
+    span = F.when(kind == 0, quote).when(kind == 1, blurred).otherwise(F.upper(F.substring("text", 1, 60)))
+    facts = load(spark, sf, "documents").where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text", span.alias("span"), F.col("text").alias("fact_text"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
+    return grounded(facts, "doc_id")
+
+
+IDLE = 30 * 60_000
+
+
+@query(f"""WITH e AS (SELECT user_id, event_type, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) > {IDLE} * 1000 THEN 1 ELSE 0 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id AS key, min(ts) AS started, max(ts) AS ended, count(*) AS n, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS names FROM s GROUP BY user_id, k
+HAVING epoch_ms(max(ts)) + {IDLE} <= (SELECT epoch_ms(max(ts)) FROM events) OR k < (SELECT max(k) FROM s t WHERE t.user_id = s.user_id)""")
+def active_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """What users named in each session that has ended: list state, and a timer that half an hour of event time without a row sets off."""
+    named = stream(spark, sf).select(F.col("user_id").cast("long").alias("key"), F.col("event_type").alias("name"), "ts")
+    return run_states(named.withWatermark("ts", "0 seconds"), ActiveNames(IDLE), SESSION, "active")
+
+
+@query("""WITH d AS (SELECT 'nation' AS name, md5(concat_ws('|', n_nationkey, n_name, n_regionkey)) AS h FROM nation UNION ALL SELECT 'region', md5(concat_ws('|', r_regionkey, r_name)) FROM region
+UNION ALL SELECT 'events', md5(concat_ws('|', event_id, user_id, event_type)) FROM events) SELECT name, count(*) AS n_rows, sum(('0x' || substr(h, 1, 12))::BIGINT)::BIGINT AS digest FROM d GROUP BY name""")
+def table_digests(spark: SparkSession, sf: str) -> DataFrame:
+    """What a run's manifest keeps of its inputs: rows and a digest that no order changes."""
+    columns = {"nation": ["n_nationkey", "n_name", "n_regionkey"], "region": ["r_regionkey", "r_name"], "events": ["event_id", "user_id", "event_type"]}
+    parts = [table_digest(load(spark, sf, t), c).select(F.lit(t).alias("name"), "n_rows", "digest") for t, c in columns.items()]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+@query()
+def replayed_run(spark: SparkSession, sf: str) -> DataFrame:
+    """The layered embeddings, run twice and recorded: what differs between the runs' manifests, and how far their values are apart."""
+    e = edges(spark, sf)
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    ledger = Ledger(spark)
+    results = []
+    for n in (1, 2):
+        given = e.repartition(2 * n, "dst")
+        x = layered(given, seeded_features(nodes, DIMS), LAYERS)
+        results.append(x.select("node", *(F.get("x", F.lit(k)).alias(f"x{k}") for k in range(OUT))))
+        ledger.record(f"run-{n}", {"edges": e}, {"dims": DIMS, "layers": LAYERS}, {"embeddings": results[-1].select("node", *(F.round(f"x{k}", 6).alias(f"x{k}") for k in range(OUT)))})
+    apart = compared(*results, ["node"], [f"x{k}" for k in range(OUT)]).withColumn("changed", F.lit(",".join(ledger.differences("run-1", "run-2"))))
+    return apart
+
+
+@query(f"WITH {KNN_SQL} SELECT query_id, rank, round(d, 3) AS d FROM near")
+def index_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest points through a versioned index on disk: built, and refreshed when nothing has changed."""
+    p = points(spark, sf).select("vec_id", F.col("p").alias("v"))
+    dim = p.select(F.size("v")).first()
+    index = VectorIndex(spark, new_path(spark, "vector-index"), dim[0] if dim else 0)
+    index.refresh(p)
+    index.refresh(p)
+    held = index.read().select("vec_id", F.col("v").alias("p"))
+    q = held.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("p").alias("q"))
+    return search(build(held), q, 10).select("query_id", "rank", F.round("d", 3).alias("d"))
