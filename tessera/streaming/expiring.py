@@ -1,7 +1,8 @@
-"""State that ends: active sessions, trailing verification and caches, with list state, event-time timers and time to live.
+"""State that ends: active sessions, trailing verification and expiring caches, with list and value state and event-time timers.
 
-Processors keep what they know of a key in the state store; timers and times to live end
-it, so state grows with what is active, not with all that ever came.
+Processors keep what they know of a key in the state store until a timer ends it, so state
+grows with what is active, not with all that ever came. Timers are never taken back: one
+that later rows have put off finds so in the state and does nothing.
 """
 
 from __future__ import annotations
@@ -104,34 +105,42 @@ class TrailingVerifier(StatefulProcessor):
 
 
 class ExpiringCache(StatefulProcessor):
-    """Each batch's requests of a key: the value that is held, or the one that the first of them brings, held for `ttl_ms` from then on."""
+    """Requests of a key in their order: the value that is held, or the one that the request brings, which is then held for `ttl_ms` of event time."""
 
     def __init__(self, ttl_ms: int):
         self.ttl = ttl_ms
-        self.schema = T.StructType.fromDDL("value double")
+        self.schema = T.StructType.fromDDL("value double, until long")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("value", self.schema, self.ttl)
+        self.handle = handle
+        self.held = handle.getValueState("value", self.schema)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        got = self.value.get()[0] if self.value.exists() else None
-        for b in rows:
-            out = []
-            for v in b.sort_values("ts")["value"].tolist():
-                out.append((key[0], v if got is None else got, got is not None))
-                if got is None:
-                    got = v
-                    self.value.update((v,))
-            yield pd.DataFrame(out, columns=["key", "value", "hit"])
+        value, until = tuple(self.held.get()) if self.held.exists() else (None, 0)
+        asked = sorted((ms, v) for b in rows for ms, v in zip(b["ts"].astype("datetime64[ms]").astype("int64").tolist(), b["value"].tolist(), strict=True))
+        out = []
+        for ms, v in asked:
+            hit = value is not None and ms < until
+            if not hit:
+                value, until = v, ms + self.ttl
+            out.append((key[0], value, hit))
+        self.held.update((value, until))
+        self.handle.registerTimer(until)
+        yield pd.DataFrame(out, columns=["key", "value", "hit"])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.held.exists() and self.held.get()[1] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.held.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def run(stream: DataFrame, processor: StatefulProcessor, out: str, name: str, time: str = "EventTime", path: str | None = None) -> DataFrame:
+def run(stream: DataFrame, processor: StatefulProcessor, out: str, name: str, path: str | None = None) -> DataFrame:
     """Drain a stream (key: long, ts, and what the processor reads) through a processor and read what it gave; the same path goes on where it ended.
 
-    Event time needs a watermark on ts. The state store is RocksDB for this stream alone.
+    The stream needs a watermark on ts. The state store is RocksDB for this stream alone.
     """
     spark = stream.sparkSession
     base = path or f"{shared_dir(spark)}/state-{name}-{uuid.uuid4().hex}"
@@ -143,7 +152,7 @@ def run(stream: DataFrame, processor: StatefulProcessor, out: str, name: str, ti
 
     spark.conf.set(PROVIDER, ROCKS)
     try:
-        states = stream.groupBy("key").transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="Update", timeMode=time)
+        states = stream.groupBy("key").transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="Update", timeMode="EventTime")
         q = states.writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(put).start()
         q.awaitTermination()
         if q.exception():

@@ -103,14 +103,11 @@ def test_verifier_trails_the_latest_item(spark, tmp_path):
     assert seconds(out, "key", "item", "since") == [(1, "third", 90), (2, "only", 12), (3, "late", 95)]
 
 
-@pytest.mark.parametrize(("ttl", "second"), [(3_600_000, (1.5, True)), (1, (2.5, False))])
-def test_cached_values_expire(spark, tmp_path, ttl, second):
-    schema, base = "key long, value double, t long", str(tmp_path / "base")
-    stream = fed(spark, tmp_path / "in", [[(1, 1.5, 1), (1, 9.0, 2)]], schema)
-    X.run(stream, X.ExpiringCache(ttl), X.CACHED, "test", "ProcessingTime", base)
-    time.sleep(0.1)
-    fed(spark, tmp_path / "more", [[(1, 2.5, 3)]], schema)
-    spark.createDataFrame([(1, 2.5, 3)], schema).withColumn("ts", F.timestamp_seconds("t")).drop("t").coalesce(1).write.parquet(f"{tmp_path}/in/001")
-    out = X.run(add(spark, tmp_path / "in", schema), X.ExpiringCache(ttl), X.CACHED, "test", "ProcessingTime", base)
-    got = [(r.value, r.hit) for r in out.orderBy(F.input_file_name()).collect()]
-    assert sorted(got) == sorted([(1.5, False), (1.5, True) if ttl > 1 else (1.5, True), second])
+def test_cached_values_expire_and_go_on_from_a_checkpoint(spark, tmp_path):
+    schema, base, fold = "key long, value double, t long", str(tmp_path / "base"), tmp_path / "in"
+    stream = fed(spark, fold, [[(1, 1.5, 1), (1, 9.0, 2), (2, 4.0, 5)], [(1, 2.5, 30)]], schema).withWatermark("ts", "0 seconds")
+    first = X.run(stream, X.ExpiringCache(60_000), X.CACHED, "test", base)
+    assert sorted(map(tuple, first.collect())) == [(1, 1.5, False), (1, 1.5, True), (1, 1.5, True), (2, 4.0, False)]
+    spark.createDataFrame([(1, 7.0, 100), (2, 3.0, 64)], schema).withColumn("ts", F.timestamp_seconds("t")).drop("t").coalesce(1).write.parquet(f"{fold}/002")
+    again = X.run(add(spark, fold, schema).withWatermark("ts", "0 seconds"), X.ExpiringCache(60_000), X.CACHED, "test", base)
+    assert sorted(map(tuple, again.collect())) == [(1, 1.5, False), (1, 1.5, True), (1, 1.5, True), (1, 7.0, False), (2, 4.0, False), (2, 4.0, True)]
