@@ -55,37 +55,78 @@ def cosine_neighbours(queries: DataFrame, vectors: DataFrame, k: int, block: int
 def neighbours(queries: DataFrame, points: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """The k nearest points (vec_id, p) of each query (query_id, q) other than itself: rows rank 1 to k, ties to the smaller vec_id.
 
-    Queries come in blocks of about `block`, which points meet where they lie, in matrix
-    products; a task gives its k best of each query of a block. No queries: no rows.
+    Up to `block` queries go to the points where they lie. More of them are dealt to blocks,
+    points to cells, and each block meets each cell in a task that holds the block and lets
+    the cell's points stream past, in matrix products; a task gives its k best of each query.
     """
-    spark, blocks = points.sparkSession, -(-queries.count() // block)
-    found = spark.createDataFrame([], "query_id long, vec_id long, d double")
-    for n in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).select("query_id", "q").collect()  # about `block` of them
-        if rows:
-            ids, q = np.array([r["query_id"] for r in rows]), np.array([r["q"] for r in rows])
-            found = found.unionAll(points.select("vec_id", "p").mapInPandas(lambda got, ids=ids, q=q: nearest(got, ids, q, k), found.schema))
+    queries = settle(queries.select("query_id", "q"), "nearest-queries")
+    n = queries.count()
+    blocks, out = -(-n // block), "query_id long, vec_id long, d double"
+    if blocks <= 1:
+        rows = queries.collect()  # at most `block`
+        ids, q = np.array([r["query_id"] for r in rows], np.int64), np.array([r["q"] for r in rows])
+
+        def here(got: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = Nearest(ids, q, k)
+            for b in got:
+                best.add(b["vec_id"], b["p"])
+            yield best.frame()
+
+        found = points.select("vec_id", "p").mapInPandas(here, out)
+    else:
+        cells = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        span = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        asked = queries.select(span(cells).alias("cell"), dealt("query_id", blocks).alias("block"), F.lit(0).alias("side"), F.col("query_id").alias("id"), F.col("q").alias("v"))
+        held = points.select(dealt("vec_id", cells).alias("cell"), span(blocks).alias("block"), F.lit(1).alias("side"), F.col("vec_id").alias("id"), F.col("p").alias("v"))
+        both = asked.unionAll(held).repartition(cells * min(blocks, 8), "cell", "block").sortWithinPartitions("cell", "block", "side")
+
+        def cell(got: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            now, asked, best = None, [], None
+            for b in got:
+                for (c, n, side), part in b.groupby(["cell", "block", "side"], sort=True):
+                    if (c, n) != now:
+                        if best is not None:
+                            yield best.frame()
+                        now, asked, best = (c, n), [], None
+                    if side == 0:
+                        asked.append(part)
+                    elif asked:
+                        if best is None:
+                            q = pd.concat(asked)
+                            best = Nearest(q["id"].to_numpy(), np.stack(q["v"].to_numpy()), k)
+                        best.add(part["id"], part["v"])
+            if best is not None:
+                yield best.frame()
+
+        found = both.mapInPandas(cell, out)
     w = Window.partitionBy("query_id").orderBy("d", "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def nearest(got: Iterator[pd.DataFrame], ids: np.ndarray, q: np.ndarray, k: int, chunk: int = 1000) -> Iterator[pd.DataFrame]:
-    """The k nearest of the points that come, for each query: (query_id, vec_id, d)."""
-    best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # query's place, vec_id, d
-    for b in got:
-        for a in range(0, len(b), chunk):
-            part = b.iloc[a : a + chunk]
-            at = part["vec_id"].to_numpy()
-            d = ball_distances(q, np.stack(part["p"].to_numpy()))
-            d[ids[:, None] == at[None, :]] = np.inf
-            edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.full((len(q), 1), np.inf)
+class Nearest:
+    """The k nearest for each query of the points that come."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, chunk: int = 1000):
+        self.ids, self.q, self.k, self.chunk = ids, q, k, chunk
+        self.best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # query's place, vec_id, d
+
+    def add(self, vec_ids: pd.Series, vectors: pd.Series) -> None:
+        for a in range(0, len(vec_ids) if len(self.ids) else 0, self.chunk):
+            at = vec_ids.to_numpy()[a : a + self.chunk]
+            d = ball_distances(self.q, np.stack(vectors.to_numpy()[a : a + self.chunk]))
+            d[self.ids[:, None] == at[None, :]] = np.inf
+            edge = np.partition(d, self.k - 1, axis=1)[:, self.k - 1 : self.k] if d.shape[1] > self.k else np.full((len(self.q), 1), np.inf)
             r, c = np.nonzero((d <= edge) & np.isfinite(d))
-            row, vec, far = (np.concatenate(x) for x in zip(best, (r, at[c], d[r, c]), strict=True))
+            row, vec, far = (np.concatenate(x) for x in zip(self.best, (r, at[c], d[r, c]), strict=True))
             order = np.lexsort((vec, far, row))
             row, vec, far = row[order], vec[order], far[order]
             place = np.arange(len(row)) - np.searchsorted(row, row)
-            best = [x[place < k] for x in (row, vec, far)]
-    yield pd.DataFrame({"query_id": ids[best[0]], "vec_id": best[1], "d": best[2]})
+            self.best = [x[place < self.k] for x in (row, vec, far)]
+
+    def frame(self) -> pd.DataFrame:
+        """(query_id, vec_id, d)."""
+        return pd.DataFrame({"query_id": self.ids[self.best[0]], "vec_id": self.best[1], "d": self.best[2]})
 
 
 def pruned_neighbours(queries: DataFrame, points: DataFrame, k: int, pivots: int = 16) -> DataFrame:

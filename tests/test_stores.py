@@ -111,3 +111,18 @@ def test_cached_values_expire_and_go_on_from_a_checkpoint(spark, tmp_path):
     spark.createDataFrame([(1, 7.0, 100), (2, 3.0, 64)], schema).withColumn("ts", F.timestamp_seconds("t")).drop("t").coalesce(1).write.parquet(f"{fold}/002")
     again = X.run(add(spark, fold, schema).withWatermark("ts", "0 seconds"), X.ExpiringCache(60_000), X.CACHED, "test", base)
     assert sorted(map(tuple, again.collect())) == [(1, 1.5, False), (1, 1.5, True), (1, 1.5, True), (1, 7.0, False), (2, 4.0, False), (2, 4.0, True)]
+
+
+def test_queue_keeps_the_first_of_each_content(spark, tmp_path):
+    from tessera.streaming.queues import enqueue, runs
+
+    for n in range(40):
+        assert [k for a, z in runs(n) for k in range(a, z + 1)] == list(range(n)) and len(runs(n)) == n.bit_count()
+    batches = [[(k % 5, n, n)] + [(100 + n, n, n)] * 2 for n, k in enumerate([0, 1, 0, 2, 7, 3, 1])]
+    stream = fed(spark, tmp_path / "in", batches, "item long, batch long, t long")
+    got = sorted((r["item"], r["batch"]) for r in enqueue(stream, ["item"], str(tmp_path / "queue")).collect())
+    first = {}
+    for rows in batches:
+        for item, batch, _ in rows:
+            first.setdefault(item, batch)
+    assert got == sorted(first.items())
