@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from ..operators.ball_tree import build, search
 from ..operators.canonical import LEAST, MOST, canonical_names
 from ..operators.embeddings import layered, seeded_features, seeded_weights
 from ..operators.gate import train as train_gate
 from ..operators.grounding import grounded, sentences
+from ..operators.lattice import route_cells
 from ..operators.modularity import modularity, modularity_communities
 from ..operators.provenance import Ledger, compared, table_digest
 from ..operators.shapes import dominance, edgeworth, far_points
@@ -21,7 +23,7 @@ from ..storage import new_path, settle
 from ..streaming.expiring import SESSION, ActiveNames
 from ..streaming.expiring import run as run_states
 from .audit_queries import CONTRA_SQL, contradiction_pairs
-from .common import EDGES_SQL, STOP_SQL, edges, points, tokens
+from .common import EDGES_SQL, FACTS_SQL, STOP_SQL, TOKENS_SQL, edges, facts, points, tokens
 from .registry import load, query
 from .stream_queries import stream
 from .vector_queries import KNN_SQL
@@ -252,3 +254,63 @@ def index_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     held = index.read().select("vec_id", F.col("v").alias("p"))
     q = held.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("p").alias("q"))
     return search(build(held), q, 10).select("query_id", "rank", F.round("d", 3).alias("d"))
+
+
+ANCHORS_SQL = rf"""entities AS (SELECT DISTINCT lower(regexp_extract(text, '^[^\s.,!?;:]+')) AS term FROM benchmark),
+topics AS (SELECT w AS term FROM (SELECT item_id, unnest(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+')) AS w FROM benchmark) WHERE length(w) >= 6 GROUP BY w HAVING count(DISTINCT item_id) >= 2),
+standards AS (SELECT canonical_value AS term FROM facts WHERE confidence >= 0.95 GROUP BY 1 HAVING count(*) >= 2),
+disputed AS (SELECT fact_type, canonical_value FROM facts GROUP BY ALL HAVING count(DISTINCT negation) = 2),
+on_topic AS (SELECT DISTINCT doc_id FROM tokens JOIN topics ON token = term)"""
+
+
+@query(rf"""WITH {FACTS_SQL}, {TOKENS_SQL}, {ANCHORS_SQL},
+a AS (SELECT f.doc_id, max((e.term IS NOT NULL)::INT) AS entity, max((s.term IS NOT NULL)::INT) AS standard, max((c.canonical_value IS NOT NULL)::INT) AS contradiction,
+  max(regexp_matches(fact_text, '[12][0-9]{{3}}')::INT) AS dated, max((p.item_id IS NOT NULL)::INT) AS exact
+  FROM facts f LEFT JOIN entities e ON e.term = f.canonical_value LEFT JOIN standards s ON s.term = f.canonical_value LEFT JOIN disputed c ON c.fact_type = f.fact_type AND c.canonical_value = f.canonical_value
+  LEFT JOIN (SELECT min(item_id) AS item_id, text FROM benchmark GROUP BY text) p ON p.text = f.fact_text GROUP BY f.doc_id),
+w AS (SELECT a.doc_id, exact, 0.3 * entity + 0.2 * (t.doc_id IS NOT NULL)::INT + 0.25 * dated + 0.3 * standard + 0.5 * contradiction AS weight FROM a LEFT JOIN on_topic t ON t.doc_id = a.doc_id)
+SELECT doc_id, round(weight, 4)::DOUBLE AS weight, round(weight, 4) >= 0.5 OR exact = 1 AS priority FROM w""")
+def anchored_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """What documents share with tables of anchors: entities and topics of benchmark passages, standards, disputed values, years; and whether a sentence is a passage word for word."""
+    f, b = facts(spark, sf), load(spark, sf, "benchmark")
+    entities = b.select(F.lower(F.regexp_extract("text", r"^[^\s.,!?;:]+", 0)).alias("canonical_value")).distinct().withColumn("entity", F.lit(1))
+    words = b.select("item_id", F.explode(F.split(F.regexp_replace(F.lower("text"), r"[^a-z0-9\s]", " "), r"\s+")).alias("token")).where(F.length("token") >= 6)
+    topics = words.groupBy("token").agg(F.count_distinct("item_id").alias("n")).where("n >= 2").select("token")
+    standards = f.where("confidence >= 0.95").groupBy("canonical_value").agg(F.count("*").alias("n")).where("n >= 2").select("canonical_value", F.lit(1).alias("standard"))
+    disputed = f.groupBy("fact_type", "canonical_value").agg(F.min("negation").alias("lo"), F.max("negation").alias("hi")).where("lo != hi").select("fact_type", "canonical_value", F.lit(1).alias("contradiction"))
+    exact = b.select(F.col("text").alias("fact_text")).distinct().withColumn("exact", F.lit(1))
+    marked = f.join(entities, "canonical_value", "left").join(standards, "canonical_value", "left").join(disputed, ["fact_type", "canonical_value"], "left").join(exact, "fact_text", "left")
+    dated = F.col("fact_text").rlike("[12][0-9]{3}").cast("int")
+    flags = marked.groupBy("doc_id").agg(*(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("entity", "standard", "contradiction", "exact")), F.max(dated).alias("dated"))
+    on_topic = tokens(spark, sf).join(topics, "token", "left_semi").select("doc_id").distinct().withColumn("topic", F.lit(1))
+    weight = F.round(0.3 * F.col("entity") + 0.2 * F.coalesce("topic", F.lit(0)) + 0.25 * F.col("dated") + 0.3 * F.col("standard") + 0.5 * F.col("contradiction"), 4)
+    return flags.join(on_topic, "doc_id", "left").select("doc_id", weight.alias("weight"), ((weight >= 0.5) | (F.col("exact") == 1)).alias("priority"))
+
+
+@query(f"""WITH n AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')[1:{NAME_WORDS}])) AS aliases FROM documents),
+q AS (SELECT DISTINCT regexp_extract(lower(text), '[a-z0-9]+') AS alias FROM benchmark) SELECT doc_id, len(aliases) AS n_aliases FROM n WHERE EXISTS (SELECT 1 FROM q WHERE list_contains(n.aliases, q.alias))""")
+def alias_exists(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes of which some alias, held as a JSON array, is asked for: the array becomes rows that meet the asked names, so no array is searched name by name."""
+    nodes = load(spark, sf, "documents").select("doc_id", F.to_json(name_words(F.col("text"))).alias("aliases_json"))
+    aliases = nodes.select("doc_id", F.from_json("aliases_json", "array<string>").alias("a")).select("doc_id", F.size("a").cast("long").alias("n_aliases"), F.explode("a").alias("alias"))
+    asked = load(spark, sf, "benchmark").select(F.regexp_extract(F.lower("text"), "[a-z0-9]+", 0).alias("alias")).distinct()
+    return aliases.join(asked, "alias", "left_semi").select("doc_id", "n_aliases").distinct()
+
+
+@query(rf"""WITH {FACTS_SQL}, t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')[1:{NAME_WORDS}]) AS title FROM documents),
+s AS (SELECT f.doc_id, fact_id, confidence, len(list_intersect(title, list_distinct(regexp_extract_all(lower(fact_text), '[a-z0-9]+'))))::DOUBLE / greatest(len(title), 1) AS score FROM facts f JOIN t USING (doc_id))
+SELECT doc_id, fact_id, round(score, 6) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, confidence DESC, fact_id) AS rank FROM s""")
+def ingest_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """A document's facts in the order of how much of its title (its first words) they say again, then of confidence."""
+    titles = load(spark, sf, "documents").select("doc_id", name_words(F.col("text")).alias("title"))
+    said = F.array_distinct(F.regexp_extract_all(F.lower("fact_text"), F.lit("([a-z0-9]+)")))
+    score = F.round(F.size(F.array_intersect("title", said)) / F.greatest(F.size("title"), F.lit(1)), 6)
+    f = facts(spark, sf).join(titles, "doc_id").select("doc_id", "fact_id", "confidence", score.alias("score"))
+    return f.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), F.desc("confidence"), "fact_id"))).drop("confidence")
+
+
+@query()
+def routed_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The two E8 cells, of those that hold vectors, nearest to each row whose id is divisible by 20, and how many vectors they hold; all coordinates count."""
+    v = load(spark, sf, "embeddings").select("vec_id", G.doubles(F.col("embedding")).alias("v"))
+    return route_cells(v.where("vec_id % 20 = 0"), v, 2)

@@ -135,3 +135,22 @@ def test_far_points_are_greedy(spark):
         want.append(int(d[want].min(axis=0).argmax()))
     assert [v for v, _ in got] == want and all(abs(far - d[want[:k], v].min()) < 1e-9 for k, (v, far) in enumerate(got) if k)
     assert far_points(table(spark, x[:3]), 8, ball_distances).count() == 3 and far_points(table(spark, x).limit(0), 3, ball_distances).count() == 0
+
+
+@pytest.mark.parametrize("spread", [0.2, 3.0])
+def test_routing_finds_the_nearest_occupied_cells(spark, spread):
+    from tessera.operators.blocks import e8_nearest
+    from tessera.operators.lattice import folded, key, route_cells, shells
+
+    v = shells()
+    assert len({tuple(r) for r in v}) == len(v) == 1 + 240 + 2160 and np.array_equal(e8_nearest(v), v) and set((v * v).sum(1)) == {0, 2, 4}
+    x = spread * np.random.default_rng(6).normal(size=(150, 12))
+    df = spark.createDataFrame([(k, [float(a) for a in r]) for k, r in enumerate(x)], "vec_id long, v array<double>")
+    y = folded(x)
+    points = {c: p for c, p in zip(key(e8_nearest(y)), e8_nearest(y), strict=True)}
+    got = {}
+    for r in route_cells(df.where("vec_id < 30"), df, 3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.cell))
+    for k in range(30):
+        d = {c: round(float(np.linalg.norm(y[k] - p)), 9) for c, p in points.items()}
+        assert [c for _, c in sorted(got[k])] == sorted(d, key=lambda c: (d[c], c))[:3]
