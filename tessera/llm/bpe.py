@@ -12,7 +12,9 @@ Depth-first order over a trie is the sorted order of its words, so the trie is
 held as the path to the current word: memory is the longest word, not the trie.
 
 Defined results: a null or empty text has no ids; other texts are lossless.
-Repeated rows are encoded alike; other columns are not touched.
+Repeated rows are encoded alike; other columns are not touched. An empty table gives
+no rows. Very long texts are encoded whole, a batch of words at a time. No two merges
+tie: each has a rank of its own, and of equal ones in a word the leftmost goes first.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ fails). Repeated rows are judged alike; of rows that repeat a labelled doc_id th
 whose text hashes lowest is fitted on, so fits agree from run to run. An empty table
 gives no rows; other columns aren't touched, whatever their names. Without usable
 labels every document that passes the base rule is kept. A document that ties with
-KEEP_FROM is kept.
+KEEP_FROM is kept. Very long texts are counted whole.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ file is written under a name of its own and renamed when whole, so a lost execut
 task can run again anywhere. Files go to the folder that all executors share.
 
 Defined results: a null or empty text has the end id alone. Rows of one doc_id stand
-in order of their frames' hashes; null ids come first. No rows give no files.
+in order of their frames' hashes; null ids come first. No rows give no files. Repeated
+rows have a frame each. Very long texts are one frame, encoded and written whole. Other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
