@@ -71,7 +71,7 @@ def semantic_contradictions(spark: SparkSession, sf: str) -> DataFrame:
 
     What is denied is joined with what is stated and the other way round, so only opposed pairs meet.
     """
-    v = hashed_vectors(tokens(spark, sf))
+    v = settle(hashed_vectors(tokens(spark, sf)), "hashed-vectors")  # it is read four times
     denied, standard = F.col("id") % 7 == 0, F.col("id") % 10 == 0
     found = [cosine_pairs(v.where(~standard & side), v.where(standard & ~side), ALIKE) for side in (denied, ~denied)]
     both = found[0].unionAll(found[1])
