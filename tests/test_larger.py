@@ -41,3 +41,10 @@ def test_ended_sessions_come_in_one_table():
     tables = list(p.handleInputRows((7,), iter([rows]), None))
     assert len(tables) == 1 and len(tables[0]) == 499 and set(tables[0]["names"]) == {"a,b"} and tables[0]["n"].sum() == 998
     assert tables[0]["started"].iloc[1] == pd.Timestamp(start + timedelta(seconds=10)) and len(p.held.rows) == 2
+
+
+def test_means_of_empty_partitions(spark):
+    rows = [(k, k % 2, [0.1 * k, 0.2]) for k in range(4)] + [(4, None, [0.1, 0.1]), (5, 1, None)]
+    p = spark.createDataFrame(rows, "vec_id long, label int, p array<double>").repartition(16)
+    got = {r["label"]: r["mean"] for r in V.frechet_mean(p, "label", rounds=60).collect()}
+    assert sorted(got) == [0, 1] and 0 < got[0][0] < 0.2 and 0.1 < got[1][0] < 0.3
