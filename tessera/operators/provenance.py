@@ -23,10 +23,15 @@ CLOSE, DISAGREE = 1e-6, 0.01
 
 
 def table_digest(table: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(n_rows, digest): a sum of 48 bits of each row's MD5; null values are left out of a row's text, as they are of SQL's concat_ws."""
+    """(n_rows, digest): a sum of 48 bits of each row's MD5, modulo 2**63; null values are left out of a row's text, as they are of SQL's concat_ws.
+
+    Up to 32,768 rows the sum can't reach 2**63. The halves of the hashes are summed apart, so that no sum overflows.
+    """
     parts = [F.col(c).cast("string") for c in (columns or table.columns)]
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 12), 16, 10).cast("long")
-    return table.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(h), F.lit(0)).cast("long").alias("digest"))
+    md5 = F.md5(F.concat_ws("|", *parts))
+    half = lambda begin: F.coalesce(F.sum(F.conv(F.substring(md5, begin, 6), 16, 10).cast("long")), F.lit(0)).cast("decimal(20,0)")
+    digest = (half(1) * F.lit(1 << 24).cast("decimal(8,0)") + half(7)) % F.lit(str(1 << 63)).cast("decimal(19,0)")
+    return table.agg(F.count(F.lit(1)).alias("n_rows"), digest.cast("long").alias("digest"))
 
 
 def exact_digest(table: DataFrame) -> DataFrame:

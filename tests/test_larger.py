@@ -48,3 +48,11 @@ def test_means_of_empty_partitions(spark):
     p = spark.createDataFrame(rows, "vec_id long, label int, p array<double>").repartition(16)
     got = {r["label"]: r["mean"] for r in V.frechet_mean(p, "label", rounds=60).collect()}
     assert sorted(got) == [0, 1] and 0 < got[0][0] < 0.2 and 0.1 < got[1][0] < 0.3
+
+
+def test_digest_beyond_63_bits(spark):
+    n = 100_000
+    want = sum(int(hashlib.md5(str(k).encode()).hexdigest()[:12], 16) for k in range(n))
+    assert want > 1 << 63
+    assert tuple(table_digest(spark.range(n)).first()) == (n, want % (1 << 63))
+    assert tuple(table_digest(spark.range(0)).first()) == (0, 0)
