@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from math import ceil, log
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,19 +41,31 @@ def deduplicated(events: DataFrame, keys: list[str], late: str = "30 days") -> D
 
 
 def decayed_state(events: DataFrame, rate: float = 0.3) -> DataFrame:
-    """(user_id, n, x): per user how many events came, and a mean that forgets; kept in state between batches."""
+    """(user_id, n, x): per user how many events came, and a mean that forgets, in the order of event_id; kept in state between batches.
+
+    Events may come in any order, within a batch and between batches. A value weighs (1 - rate) ** k once
+    k others follow it, so state keeps the last values, as many as weigh more than 1e-30 (193 at 0.3);
+    what is older can't change x. Any null makes x null.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    most = ceil(log(1e-30) / log(1 - rate)) if 0 < rate < 1 else 1 << 30
+
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, x = state.get if state.exists else (0, 0.0)
+        n, lost, ids, values = state.get if state.exists else (0, False, [], [])
+        ids, values = np.array(ids, np.int64), np.array(values, float)
         for b in batches:
-            for v in b.sort_values("event_id")["value"]:
-                x = v if n == 0 else (1 - rate) * x + rate * v
-                n += 1
-        state.update((n, float(x)))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "x": [float(x)]})
-
-    return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, x double", "n long, x double", "update", GroupStateTimeout.NoTimeout)
+            n, lost = n + len(b), lost or bool(b["value"].isna().any())
+            ids, values = np.concatenate([ids, b["event_id"].to_numpy(np.int64)]), np.concatenate([values, b["value"].to_numpy(float)])
+            order = np.argsort(ids, kind="stable")[-most:]
+            ids, values = ids[order], values[order]
+        x = values[0]
+        for v in values[1:]:
+            x = (1 - rate) * x + rate * v
+        state.update((n, lost, ids.tolist(), values.tolist()))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "x": [None if lost else float(x)]})
+
+    return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, x double", "n long, lost boolean, ids array<long>, seen array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None, keys: list[str] | None = None) -> DataFrame:

@@ -56,3 +56,23 @@ def test_digest_beyond_63_bits(spark):
     assert want > 1 << 63
     assert tuple(table_digest(spark.range(n)).first()) == (n, want % (1 << 63))
     assert tuple(table_digest(spark.range(0)).first()) == (0, 0)
+
+
+@pytest.mark.parametrize("files", [1, 9])
+def test_decayed_state_in_order_of_events(spark, tmp_path, files):
+    path, n = str(tmp_path / "in"), 900
+    value = lambda k: float(k * 7919 % 101)
+    for part in (2, 0, 1):  # later batches bring earlier events
+        rows = [(k, datetime(2024, 1, 1) + timedelta(seconds=k), 1, value(k)) for k in range(n) if k % 3 == part]
+        spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, value double").coalesce(1).write.mode("append").parquet(path)
+    like = spark.createDataFrame([], "event_id long, ts timestamp, user_id long, value double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = E.drain(E.decayed_state(E.source(spark, path, like, files=files)), "order", "update", keys=["user_id"]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    x = value(0)
+    for k in range(1, n):
+        x = 0.7 * x + 0.3 * value(k)
+    assert [(r["user_id"], r["n"]) for r in got] == [(1, n)] and got[0]["x"] == pytest.approx(x, abs=1e-9)
