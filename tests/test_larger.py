@@ -3,6 +3,7 @@
 import hashlib
 from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -76,3 +77,16 @@ def test_decayed_state_in_order_of_events(spark, tmp_path, files):
     for k in range(1, n):
         x = 0.7 * x + 0.3 * value(k)
     assert [(r["user_id"], r["n"]) for r in got] == [(1, n)] and got[0]["x"] == pytest.approx(x, abs=1e-9)
+
+
+def test_blocks_of_queries_meet_chunks_of_points(spark):
+    """No pair is worked out by expressions: counts and smallest distances come from matrix products, over several blocks."""
+    x = np.random.default_rng(1).uniform(-0.3, 0.3, (90, 4))
+    p = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, p array<double>")
+    q = p.where("vec_id % 4 = 0").select(F.col("vec_id").alias("query_id"), F.col("p").alias("q"), F.lit(0.6).alias("radius"))
+    d = V.ball_distances(x, x)
+    near = (d <= 0.6).sum(1) - 1
+    got = {r["query_id"]: r["inside"] for r in V.inside(q, p, block=5).collect()}
+    assert got == {k: near[k] for k in range(0, 90, 4) if near[k]}
+    least = {r["vec_id"]: r["d"] for r in V.closest(q, p.where("vec_id % 4 != 0"), block=5).collect()}
+    assert set(least) == {k for k in range(90) if k % 4} and all(abs(v - d[k, ::4].min()) < 1e-9 for k, v in least.items())
