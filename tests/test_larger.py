@@ -5,10 +5,12 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tessera.operators import vectors as V
 from tessera.operators.provenance import table_digest
+from tessera.operators.threshold_join import COPIES, copied
 from tessera.streaming import events as E
 from tessera.streaming.expiring import ActiveNames
 
@@ -90,3 +92,11 @@ def test_blocks_of_queries_meet_chunks_of_points(spark):
     assert got == {k: near[k] for k in range(0, 90, 4) if near[k]}
     least = {r["vec_id"]: r["d"] for r in V.closest(q, p.where("vec_id % 4 != 0"), block=5).collect()}
     assert set(least) == {k for k in range(90) if k % 4} and all(abs(v - d[k, ::4].min()) < 1e-9 for k, v in least.items())
+
+
+def test_copies_leave_a_task_in_small_batches():
+    b = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array([[float(k)] for k in range(100)])], ["id", "v"])
+    row, cell = np.nonzero(np.ones((100, 256)))
+    got = list(copied(b, row, cell))
+    assert max(x.num_rows for x in got) <= COPIES
+    assert [(i, c) for x in got for i, c in zip(x.column(0).to_pylist(), x.column(2).to_pylist(), strict=True)] == list(zip(row.tolist(), cell.tolist(), strict=True))
