@@ -48,3 +48,61 @@ def test_breaker_and_retries(spark):
 def test_names(spark):
     df = spark.createDataFrame([("  ada \t king ",), ("cher",), ("st. john's, nl",)], "x string")
     assert [(r.p, r.l) for r in df.select(T.person_name(F.col("x")).alias("p"), T.location_name(F.col("x")).alias("l")).collect()][1:] == [("Cher", "Cher"), ("st. john's, nl", "St Johns Nl")]
+
+
+def test_term_scores(spark, monkeypatch):
+    """Chunks, facts and the linear ranker against plain loops; a pair of row and query is never a row, and blocks of queries change nothing."""
+    rng = np.random.default_rng(4)
+    pool = [a + b for a in ("ka", "lomi", "tusen", "prazenit") for b in ("", "ro", "venk", "straiteln")]
+    text = lambda n: " ".join(rng.choice(pool, n))
+    docs = [(d, text(rng.integers(0, 40))) for d in range(60)] + [(60, None), (61, "The KA!lomiéka")]
+    asked = [(q, text(rng.integers(0, 14))) for q in range(9)] + [(9, docs[3][1]), (10, None), (11, "the of")]
+    facts = [(d * 10 + p, d, " ".join((t or "").split()[p::3]), round(float(rng.random()), 2)) for d, t in docs for p in range(3)]
+    words = lambda t: [w for w in "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in (t or "").lower()).split() if len(w) > 1 and w not in T.STOP_WORDS]
+    first = {q: list(dict.fromkeys(words(t)))[:10] for q, t in asked}
+    best = lambda x: {q: [(r, k, round(s, 6)) for r, (s, k) in enumerate(sorted(v, key=lambda y: (-round(y[0], 6), y[1]))[:4], 1)] for q, v in x.items() if v}
+    held, chunk, fact, linear = {d: set(words(t)) for d, t in docs}, {}, {}, {}
+    for q, t in asked:
+        w = first[q]
+        phrase = words(t)[:4]
+        stands = lambda x: len(phrase) == 4 and any(x[i : i + 4] == phrase for i in range(len(x)))  # noqa: B023, E731
+        chunk[q] = [(sum(max(1, len(x) / 4) for x in w if x in held[d]) + 8 * stands(words(t)), d) for d, t in docs if held[d] & set(w)]
+        fact[q], linear[q] = [], []
+        for f, d, t, c in facts:
+            have = set(words(t))
+            if hits := len(have & set(w)):
+                fact[q].append((0.6 * c + 0.4 * hits / len(w), f))
+                rare = [x for x in w if len(x) >= 6]
+                parts = {"overlap": hits / len(w), "rare": len(have & set(rare)) / max(len(rare), 1), "semantic": hits / (len(w) * len(have)) ** 0.5, "graph": len(have & set(w[:3])) / min(len(w), 3), "salience": V.SALIENCE, "document": len(held[d] & set(w)) / len(w), "type": V.FACT_PRIOR, "confidence": c}
+                linear[q].append((sum(V.WEIGHTS[n] * x for n, x in parts.items()), f))
+    got = lambda df, key: {q: sorted((r["rank"], r[key], r["score"]) for r in rows) for q, rows in _by(df.collect(), "q").items()}
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "q long, text string")
+    f = spark.createDataFrame(facts, "fact_id long, doc_id long, text string, confidence double")
+    from tessera.operators import term_scores
+
+    for queries, cells in ((2000, 1 << 20), (5, 20)):
+        monkeypatch.setattr(term_scores, "QUERIES", queries)
+        monkeypatch.setattr(term_scores, "CELLS", cells)
+        out = V.search_chunks(d, b, "doc_id", "q", 4)
+        assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+        assert got(out, "doc_id") == best(chunk)
+        assert got(V.search_facts(f, b, "q", 4), "fact_id") == best(fact)
+        assert got(V.rank_facts(f, d, b, "q", 4), "fact_id") == best(linear)
+    assert got(V.search_chunks(d, b.limit(0), "doc_id", "q", 4), "doc_id") == {}
+
+
+def _by(rows, key):
+    out = {}
+    for r in rows:
+        out.setdefault(r[key], []).append(r)
+    return out
+
+
+def test_tokens_are_cut_in_one_step(spark):
+    """As replacing each other character by a space and cutting at white space, without replacing any."""
+    rows = [("",), (None,), (" a bc",), ("déjà-vu x1\t\x0b\x1cZZ top end.",), ("the İstanbul 𝒳yz ab😀cd",), ("--",)]
+    df = spark.createDataFrame(rows, "x string")
+    old = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce("x", F.lit(""))), r"[^a-z0-9\s]", " "), r"\s+"), lambda w: (F.length(w) > 1) & ~w.isin(*T.STOP_WORDS))
+    out = df.select(T.tokenize(F.col("x")).alias("a"))
+    assert "regexp_replace" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.a for r in out.collect()] == [r.a for r in df.select(old.alias("a")).collect()]
