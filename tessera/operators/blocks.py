@@ -7,14 +7,16 @@ import collections
 import html.parser
 import itertools
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise_text
+from .grounding import slices
 
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 
@@ -48,8 +50,15 @@ def pack_chunks(text: str, size: int = 2000, overlap: int = 200) -> list[str]:
 
 def chunks(docs: DataFrame, size: int = 2000, overlap: int = 200) -> DataFrame:
     """(doc_id, chunk_index, chunk) of normalised texts."""
-    pack = F.pandas_udf(lambda s: s.map(lambda t: pack_chunks(t, size, overlap)), "array<string>")
-    return docs.select("doc_id", F.posexplode(pack(normalise_text(F.col("text")))).alias("chunk_index", "chunk"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            rows = [(n, k, c) for n, t in enumerate(b.column(1).to_pylist()) for k, c in enumerate(pack_chunks(t, size, overlap))]
+            n, k, c = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(n, pa.int64())), pa.array(k, pa.int32()), pa.array(c, pa.string())], ["doc_id", "chunk_index", "chunk"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", normalise_text(F.col("text")).alias("text")).mapInArrow(run, f"doc_id {kind}, chunk_index int, chunk string")
 
 
 class PageReader(html.parser.HTMLParser):

@@ -84,3 +84,20 @@ def test_operators(spark):
     assert all(r.sentence == {1: TEXT, 3: "One. Two."}[r.doc_id][r.start : r.end] for r in got) and len(got) == 10
     facts = spark.createDataFrame([(7, TEXT, "Holt met", "Dr. Holt met", None, None), (8, None, None, None, 1, 2)], "fact_id long, text string, span string, fact_text string, start int, end int")
     assert {(r.fact_id, r.valid, r.start, r.reason) for r in grounded(facts).collect()} == {(7, True, 4, "exact"), (8, False, None, "not found")}
+
+
+def test_results_are_made_a_few_rows_at_a_time(spark):
+    """A large batch's sentences and chunks never stand in Python's lists at once."""
+    import pyarrow as pa
+    from tessera.operators import blocks, grounding
+
+    batch = pa.RecordBatch.from_pydict({"k": list(range(1000))})
+    parts = list(grounding.slices(iter([batch, batch.slice(0, 0)])))
+    assert max(p.num_rows for p in parts) <= grounding.ROWS < 1000 and [k for p in parts for k in p.column(0).to_pylist()] == list(range(1000))
+    texts = [None, "", "One is here. Two is there! " * 9] + [f"Number {n} says so. " * (n % 30) for n in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = [(d, p, a, z) for d, t in enumerate(texts) for p, (a, z) in enumerate(sentence_spans(t))]
+    assert sorted((r.doc_id, r.pos, r.start, r.end) for r in sentences(docs).collect()) == want
+    got = blocks.chunks(docs, 100, 10)
+    assert sorted(map(tuple, got.collect())) == [(d, k, c) for d, t in enumerate(texts) for k, c in enumerate(blocks.pack_chunks(" ".join((t or "").split()), 100, 10))]
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()
