@@ -152,8 +152,23 @@ def gazetteer_mentions(docs: DataFrame, terms: DataFrame, key: str = "doc_id", m
     runs = words.where(last >= 0).select(key, F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(F.col("w"), i + 1, F.col("__n")))).alias("__i", "r"))
     joined = F.lower(F.array_join(F.transform("r", lambda x: x["text"]), " "))
     grams = runs.select(key, joined.alias("__t"), F.get("r", F.lit(0))["start"].alias("start"), F.element_at("r", -1)["end"].alias("end"))
-    wanted = terms.select(F.lower(F.trim(F.regexp_replace("term", r"[^\p{L}\p{N}]+", " "))).alias("__k"), "term", "kind").distinct()
-    return grams.join(wanted, F.col("__t") == F.col("__k")).select(key, "term", "kind", "start", "end")
+    return grams.join(wanted_terms(terms), F.col("__t") == F.col("__k")).select(key, "term", "kind", "start", "end")
+
+
+def wanted_terms(terms: DataFrame) -> DataFrame:
+    return terms.select(F.lower(F.trim(F.regexp_replace("term", r"[^\p{L}\p{N}]+", " "))).alias("__k"), "term", "kind").distinct()
+
+
+def gazetteer_counts(docs: DataFrame, terms: DataFrame, key: str = "doc_id", most: int = 4) -> DataFrame:
+    """(key, term, kind, n): how many occurrences gazetteer_mentions finds. Only words and their runs are made, no places."""
+
+    def of(w: Column, n: int) -> Column:
+        return F.transform(w, lambda x, i: F.when(i + n <= F.size(w), F.lower(F.array_join(F.slice(w, i + 1, n), " ") if n > 1 else x)))
+
+    runs = lambda w: F.concat(*(of(w, n) for n in range(1, most + 1)))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    grams = docs.select(key, F.explode(let(words, runs)).alias("__t"))
+    return grams.join(wanted_terms(terms), F.col("__t") == F.col("__k")).groupBy(key, "term", "kind").agg(F.count("*").alias("n"))
 
 
 def in_gazetteer(tokens: Column, terms: list[str]) -> Column:

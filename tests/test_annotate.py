@@ -77,3 +77,14 @@ def test_gazetteer(spark):
     terms = spark.createDataFrame([("New York", "city"), ("Ulm", "city"), ("York", "county"), ("Mars", "city")], "term string, kind string")
     got = sorted(tuple(x) for x in A.gazetteer_mentions(docs, terms).collect())
     assert got == [(1, "New York", "city", 5, 14), (1, "Ulm", "city", 31, 34), (1, "York", "county", 10, 14), (3, "Ulm", "city", 0, 3)]
+
+
+def test_gazetteer_counts_are_its_mentions(spark):
+    """Counts without places equal the mentions, and need no arrays of places."""
+    texts = ["New York, new  york! York", None, "", "a b a b a", "Éa b; É A B", "york"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    terms = spark.createDataFrame([("New York", "place"), ("York", "place"), ("a b a", "x"), ("a B", "x"), ("éa b", "y"), ("none", "y")], "term string, kind string")
+    got = A.gazetteer_counts(docs, terms, most=3)
+    want = A.gazetteer_mentions(docs, terms, most=3).groupBy("doc_id", "term", "kind").count()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 7
+    assert "start" not in got._jdf.queryExecution().optimizedPlan().toString()
