@@ -106,3 +106,16 @@ def test_tokens_are_cut_in_one_step(spark):
     out = df.select(T.tokenize(F.col("x")).alias("a"))
     assert "regexp_replace" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert [r.a for r in out.collect()] == [r.a for r in df.select(old.alias("a")).collect()]
+
+
+def test_topic_members_are_met_in_blocks(spark, tmp_path):
+    """A cluster's queries and members never become rows of pairs; copies of a vector go by vec_id."""
+    x = [[0.1, 0.2], [0.1, 0.2], [0.1, 0.2], [0.3, -0.2], [-0.4, 0.1], [0.1, 0.2]]
+    p = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "vec_id long, p array<double>")
+    V.build_topic_index(p, str(tmp_path / "index"), 1)
+    out = V.query_topic_index(p.where("vec_id IN (2, 4)").selectExpr("vec_id AS query_id", "p AS q"), str(tmp_path / "index"), 1, 3)
+    got = {k: [(r.vec_id, round(r.distance, 9)) for r in sorted(v, key=lambda r: (r.distance, r.vec_id))] for k, v in _by(out.collect(), "query_id").items()}
+    far = round(float(vectors.ball_distances(np.array([x[4]]), np.array([x[0]]))[0, 0]), 9)
+    assert got == {2: [(0, 0.0), (1, 0.0), (2, 0.0)], 4: [(4, 0.0), (0, far), (1, far)]}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join Inner, (cluster" not in plan
