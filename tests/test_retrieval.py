@@ -119,3 +119,19 @@ def test_topic_members_are_met_in_blocks(spark, tmp_path):
     assert got == {2: [(0, 0.0), (1, 0.0), (2, 0.0)], 4: [(4, 0.0), (0, far), (1, far)]}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "Join Inner, (cluster" not in plan
+
+
+def test_edges_that_are_read_many_times_are_written_once(spark, monkeypatch, tmp_path):
+    """Neither the layers of a replayed run nor label propagation sum line items up again."""
+    from tessera.operators import modularity
+    from tessera.plans import knowledge_queries as K
+
+    items = [(s, p) for s in range(6) for p in range(9) if (s * p) % 4 < 2]
+    spark.createDataFrame(items, "l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    plans = []
+    seen = lambda f: lambda e, *more: plans.append(e._jdf.queryExecution().optimizedPlan().toString()) or f(e, *more)
+    monkeypatch.setattr(K, "layered", seen(K.layered))
+    monkeypatch.setattr(modularity, "communities", seen(modularity.communities))
+    assert K.replayed_run(spark, str(tmp_path)).first()["agrees"]
+    assert K.keyword_modularity(spark, str(tmp_path)).count() == len({s for s, _ in items}) + len({p for _, p in items})
+    assert len(plans) == 3 and not any("Aggregate" in p for p in plans)
