@@ -22,7 +22,10 @@ texts are fetched for the rest.
 
 Filter: an edit turns at most two of the parities of how often each letter stands in a
 line, so the lines of a key are paired only if their parities differ in no more than
-twice the edits. What a key can cost is bounded by HOT.
+twice the edits. Copies of one text, each with a word or two of its own, have nearly the
+same letters; so lines of crowded keys (over CROWD rows) also hold the parities of their
+pairs of neighbouring characters, in CLASSES classes by hash, of which an edit turns at most
+four: a character that is replaced takes two pairs along and brings two. What a key can cost is bounded by HOT.
 
 Hot segments: where more than HOT lines share a key, no pairs are made. The shared
 segment is cut out and the rest of the lines is joined in the same way within the
@@ -59,9 +62,11 @@ from .components import components
 #: Most edits between linked lines, and most per cent of the longer one's characters.
 EDITS, DIFFER = 2, 20
 HOT, STEPS, HEAD = 512, (32, 4), 24
+#: Lines that share a key with more rows than CROWD hold the parities of their pairs of characters, too: two words of bits.
+CROWD, CLASSES = 16, 128
 #: The characters whose parities are held.
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 .,-"
-#: Up to so many lines that may have links, their hashes are broadcast (8 bytes each) to fetch their texts.
+#: Up to so many lines that may have links, their hashes are broadcast (16 bytes each) to fetch their texts.
 BROADCAST_IDS = 1_000_000
 #: Places within a document; doc_id * PLACES + place orders lines.
 PLACES = 10**10
@@ -150,11 +155,32 @@ def parities(line: Column) -> Column:
     return F.aggregate(F.array(*map(F.lit, LETTERS)), F.lit(0).cast("long"), lambda a, c: a * 2 + (F.char_length(line) - F.char_length(F.replace(line, c, F.lit("")))) % 2)
 
 
+def pair_parities(line: Column) -> Column:
+    """Whether each of CLASSES classes of pairs of neighbouring characters (the last one's neighbour is the end) stands an odd number of times in a line, as bits of two words."""
+    half = CLASSES // 2
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(half - 1)).cast("int"))
+    word = lambda hashes, k: F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: F.when(h.bitwiseAND(F.lit(half)) == k * half, a.bitwiseXOR(bit(h))).otherwise(a))
+    hashes = let(F.split(line, ""), lambda c: F.transform(c, lambda x, i: F.xxhash64(x, F.get(c, i + 1))))
+    return let(hashes, lambda h: F.struct(word(h, 0).alias("low"), word(h, 1).alias("high")))
+
+
+def signature(line: Column, crowded: Column) -> Column:
+    """struct<letters, pairs>: a line's parities; pairs is null where the line is in no crowded key."""
+    return F.struct(parities(line).alias("letters"), F.when(crowded, pair_parities(line)).alias("pairs"))
+
+
+def may_link(a: Column, b: Column, edits: Column) -> Column:
+    """Whether the signatures of two lines allow so many edits."""
+    turned = lambda x, y: F.bit_count(x.bitwiseXOR(y))
+    by_pairs = turned(a["pairs"]["low"], b["pairs"]["low"]) + turned(a["pairs"]["high"], b["pairs"]["high"]) <= 4 * edits
+    return (turned(a["letters"], b["letters"]) <= 2 * edits) & F.coalesce(by_pairs, F.lit(True))
+
+
 def paired(rows: DataFrame, which: Column | None = None) -> DataFrame:
-    """Pairs (a, b) of an index row (of those for which `which` holds) and another one of the same key, which few rows have, whose parities allow a link."""
+    """Pairs (a, b) of an index row (of those for which `which` holds) and another one of the same key, which few rows have, whose signatures (`parity`) allow a link."""
     left = rows.where(F.col("own") if which is None else F.col("own") & which).select("key", "e", F.col("id").alias("a"), F.col("parity").alias("pa"))
     right = rows.select(F.col("key").alias("k"), F.col("id").alias("b"), F.col("parity").alias("pb"))
-    near = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 2 * F.col("e")
+    near = may_link(F.col("pa"), F.col("pb"), F.col("e").cast("int"))
     return left.join(right, (F.col("key") == F.col("k")) & (F.col("a") != F.col("b")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -240,10 +266,10 @@ def near_links(docs: DataFrame, edits: int) -> DataFrame:
     # the one line that indexes a key, as a row of its own
     owner = found.where("only IS NOT NULL").select(F.col("only").alias("id"), "key", F.lit(True).alias("own"), "e", F.lit(0).cast("byte").alias("short"), "i", F.lit(0).cast("byte").alias("shift"))
     level = counted(found.select(*ROW).unionByName(owner).distinct())
-    ids = durable(level.select(F.col("id").alias("k")).distinct(), "line-ids")
+    ids = durable(level.groupBy(F.col("id").alias("k")).agg((F.max("n") > CROWD).alias("crowded")), "line-ids")
     small = ids.count() <= BROADCAST_IDS
-    texts = lines_of(docs).select("h1", "h2", "line").join(F.broadcast(ids) if small else ids, F.col("h1") == F.col("k"), "left_semi")
-    texts = durable(texts.dropDuplicates(["h1", "h2"]).withColumn("parity", parities(F.col("line"))), "line-texts")
+    texts = lines_of(docs).select("h1", "h2", "line").join(F.broadcast(ids) if small else ids, F.col("h1") == F.col("k")).drop("k")
+    texts = durable(texts.dropDuplicates(["h1", "h2"]).withColumn("parity", signature(F.col("line"), F.col("crowded"))).drop("crowded"), "line-texts")
     pairs = paired(level.where(F.col("n") <= HOT).join(texts.select(F.col("h1").alias("id"), "parity"), "id"))
     hot = level.where(F.col("n") > HOT).drop("n").join(texts.select(F.col("h1").alias("id"), F.col("line").alias("rest"), "parity"), "id")
     while True:

@@ -718,6 +718,37 @@ def test_numbered_lines_keep_all_links(spark):
     assert got == {k: sum(linked(x, y) for y in lines) for k, x in enumerate(lines)}
 
 
+def test_copies_with_a_word_of_their_own_make_few_pairs(spark, monkeypatch):
+    """Copies of a text, each with a word of the same letters put in, share keys and letters, but are not linked; those with a typing error are."""
+    r = random.Random(3)
+    words = [f"{a}{b}er" for a in ("bar", "sol", "ten", "mir", "gad", "pol") for b in ("in", "at", "os", "en", "il", "um")]
+    variants = [" ".join([*words[:k], "".join(r.sample("marble", 6)), *words[k:]]) for k in range(len(words))]
+    lines = [*variants, variants[3].replace("barin", "barjn"), variants[3].replace("solat", "solaat"), " ".join(words)]
+    made, write = {}, line_dedup.durable
+
+    def counted(df, name):
+        out = write(df, name)
+        made[name] = out.count() if name == "line-pairs" else None
+        return out
+
+    monkeypatch.setattr(line_dedup, "durable", counted)
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert line_dedup.near_links(df, 2).count() == sum(linked(x, y) for x in lines for y in lines) // 2 == 3
+    assert made["line-pairs"] < len(lines) * len(lines) // 10
+
+
+def test_pair_parities_turn_four_times_an_edit(spark):
+    """One edit anywhere, at both ends and beyond the basic plane too, turns four classes at most."""
+    r = random.Random(5)
+    some = ["".join(r.choice("ab é😀") for _ in range(n)) for n in range(1, 40)]
+    cut = [(x, r.randint(0, len(x)), r.choice(["", "a", "q", "😀"]), r.randint(0, 1)) for x in some for _ in range(8)]
+    cut += [(x, k, y, d) for x in some[:6] for k in (0, len(x) - 1, len(x)) for y in ("", "a") for d in (0, 1)]
+    df = spark.createDataFrame([(x, x[:k] + y + x[k + d :]) for x, k, y, d in cut], "x string, y string").where("y != ''")
+    p, q = line_dedup.pair_parities(F.col("x")), line_dedup.pair_parities(F.col("y"))
+    turned = df.select(sum((F.bit_count(p[w].bitwiseXOR(q[w])) for w in ("low", "high")), F.lit(0)).alias("n"))
+    assert turned.agg(F.max("n")).first()[0] == 4
+
+
 def test_line_classes(spark, tmp_path):
     """class_id and n_links against brute force: chains of shared lines and of near lines, and rows without a doc_id."""
     a, b, c = "alpha line that two rows share", "b: quite unlike it, and shared", "a chain of near lines: "
