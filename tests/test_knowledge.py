@@ -139,3 +139,26 @@ def test_names(spark):
     assert got == {k: find(k) for k in up}
     pairs = similar_sets(df.dropDuplicates(["kind", "words"]))
     assert pairs.count() > 5 and all(0.7 <= r.threshold <= 0.85 for r in thresholds(pairs).collect())
+
+
+def test_short_names_without_pairs(spark):
+    """Groups of names that differ in one word: the same nodes as pair by pair, from rows that grow with the names."""
+    from unittest.mock import patch
+
+    from tessera.operators import canonical
+
+    rng, words = random.Random(8), [f"w{k}" for k in range(40)]
+    rows = [(k, "ab"[k % 2], sorted([*words[:7], f"x{k:03}"])) for k in range(80)]
+    rows += [(100 + k, rng.choice(["a", "b", "c", None]), sorted(rng.sample(words[:10], rng.randint(0, 8)))) for k in range(150)]
+    df = spark.createDataFrame(rows, "id long, kind string, words array<string>")
+    plain, written = canonical.settle, {}
+    want = canonical_names(df).collect()
+    with patch.object(canonical, "settle", lambda d, name: written.setdefault(name, plain(d, name))):
+        got = canonical_names(df, longest=8).collect()
+    assert sorted(got, key=lambda r: r.id) == sorted(want, key=lambda r: r.id)
+    hub = {f"canonical-{x}": written[f"canonical-{x}"] for x in ("found", "links")}
+    assert "canonical-pairs" not in written and all(d.where("dst < 100 AND src < 100").count() <= 80 for d in hub.values())
+    distinct = df.where("size(words) > 0").groupBy("kind", "words").agg({"id": "min"}).withColumnRenamed("min(id)", "id")
+    counted = canonical.grouped_links(distinct, canonical.alike_sizes(8, 0.7))[0]
+    pairs = similar_sets(distinct).groupBy("kind", "sim").count()
+    assert sorted(map(str, map(tuple, counted.collect()))) == sorted(map(str, map(tuple, pairs.collect())))
