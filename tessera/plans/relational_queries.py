@@ -99,8 +99,8 @@ def conflicting_objects(spark: SparkSession, sf: str) -> DataFrame:
     A subject's count and two least objects are summed up before its rows meet them, so
     no pairs are made.
     """
-    x = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("subject"), F.col("l_partkey").alias("object")).distinct()
-    return R.others(x, ["subject"], "object", F.col("object"), F.lit(1)).select("subject", "object", "other", "links")
+    x = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("subject"), F.col("l_partkey").alias("object"))
+    return R.others(x, ["subject"], "object").select("subject", "object", "other", "links")
 
 
 @query(f"""WITH {FACTS_SQL}, {SIDES_SQL} SELECT f.fact_id, s.first AS opposed_to, s.links FROM facts f JOIN sides s ON f.fact_type = s.fact_type AND f.canonical_value = s.canonical_value AND f.negation <> s.negation""")

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tessera.operators import vectors
+from tessera.operators import relational, vectors
 from tessera.plans import all_queries
 
 
@@ -13,6 +13,15 @@ def test_conflicting_objects_far_apart(spark, tmp_path):
     assert got == [(1, 5, 70, 2), (1, 70, 5, 2), (1, 900, 5, 2), (3, 8, 9, 1), (3, 9, 8, 1)]
 
 
+def test_others_hold_values_once(spark):
+    """Nulls are no values, and the last step has one join of values with their groups' sums."""
+    rows = spark.createDataFrame([("a", 3), ("a", 3), ("a", 1), ("a", None), ("b", 5), ("b", None), (None, 1), (None, 2), ("c", 2), ("c", 9), ("c", 4)], "g string, v long")
+    out = relational.others(rows, ["g"], "v")
+    assert sorted(map(tuple, out.collect())) == [("a", 1, 3, 1), ("a", 3, 1, 1), ("c", 2, 4, 2), ("c", 4, 2, 2), ("c", 9, 2, 2)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Aggregate" not in plan
+
+
 def test_contradicting_texts_of_other_documents(spark, tmp_path):
     docs = [(k, "Stone is grey. Green is it. Rivers run. Stone is green.") for k in (1, 2, 6)] + [(11, "Stone is old.")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
