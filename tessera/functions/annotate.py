@@ -87,7 +87,7 @@ def places(text: Column, pattern: str, group: int = 0) -> Column:
 
         def step(a: Column, i: Column) -> Column:
             begin = a["at"] + F.char_length(F.get(v["between"], i))
-            whole, part = F.get(v["found"], i), F.get(v["inner"], i)
+            whole, part = F.get(v["found"], i), F.get(v["inner" if group else "found"], i)
             off = F.greatest(F.instr(whole, part) - 1, F.lit(0)) if group else F.lit(0)
             span = F.struct(part.alias("text"), (begin + off).alias("start"), (begin + off + F.char_length(part)).alias("end"))
             return F.struct((begin + F.char_length(whole)).alias("at"), F.array_append(a["out"], span.cast("struct<text:string,start:int,end:int>")).alias("out"))
@@ -96,7 +96,8 @@ def places(text: Column, pattern: str, group: int = 0) -> Column:
         return F.flatten(F.transform(begins, local))
 
     all_of = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
-    parts = F.struct(all_of(0).alias("found"), all_of(group).alias("inner"), F.split(text, pattern, -1).alias("between"))
+    # a text is searched as seldom as can be: the whole matches are their own group 0
+    parts = F.struct(all_of(0).alias("found"), F.split(text, pattern, -1).alias("between"), *([all_of(group).alias("inner")] if group else []))
     return F.when(text.rlike(pattern), let(parts, placed)).otherwise(F.array().cast(SPAN))
 
 

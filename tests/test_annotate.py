@@ -88,3 +88,11 @@ def test_gazetteer_counts_are_its_mentions(spark):
     want = A.gazetteer_mentions(docs, terms, most=3).groupBy("doc_id", "term", "kind").count()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 7
     assert "start" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_whole_matches_are_searched_once(spark):
+    df = spark.createDataFrame([("on page 3 and 4",)], "t string")
+    for group, times in ((0, 1), (1, 2)):
+        out = df.select(A.places(F.col("t"), "([0-9])", group).alias("p"))
+        assert [(m.text, m.start, m.end) for m in out.first().p] == [("3", 8, 9), ("4", 14, 15)]
+        assert out._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == times
