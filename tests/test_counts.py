@@ -1,5 +1,6 @@
 """Vectors of counts that are met in blocks, against plain loops and SQL."""
 
+import duckdb
 import numpy as np
 from tessera.operators import threshold_join as J
 
@@ -25,3 +26,25 @@ def test_counts_are_met_in_blocks(spark, monkeypatch):
             assert {r.a: (-r.c, r.b, r.n) for r in best} == {a: (*min((-c, b) for (x, b), c in want.items() if x == a), sum(x == a for x, _ in want)) for a in {a for a, _ in want}}
         assert sum(r.n for r in best) == len(want) and len(best) < len(want)
     assert J.met_counts(left.limit(0), right, 0.85, J.pairs_of, "a long, b long, c double").count() == 0
+
+
+def test_opposed_documents(spark, tmp_path, monkeypatch):
+    """Ids that come twice count as one document, and contradictions by meaning make no pairs of documents on their way."""
+    import __spark_entry__ as entry
+    from tessera.plans import knowledge_queries as K
+
+    texts = ["alpha beta gamma delta", "alpha beta gamma delta epsilon", "Alpha, beta. Gamma delta!", None, "the of", "zeta eta theta"]
+    docs = [(d, texts[d % 6], "s", "en") for d in range(84)] + [(70, "zeta eta", "s", "en"), (None, texts[0], "s", "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    queries, sql = entry.queries(), entry.oracle_sql()
+    made = []
+    plain = K.met_counts
+    monkeypatch.setattr(K, "met_counts", lambda *a: made.append(plain(*a)) or made[-1])
+    for name in ("semantic_contradictions", "all_contradictions"):
+        out = queries[name](spark, str(tmp_path))
+        want = db.execute(sql[name]).fetchall()
+        assert sorted(map(tuple, out.collect())) == sorted(want) and want
+    pairs, each = made
+    assert each.count() < pairs.count()
