@@ -135,3 +135,28 @@ def test_edges_that_are_read_many_times_are_written_once(spark, monkeypatch, tmp
     assert K.replayed_run(spark, str(tmp_path)).first()["agrees"]
     assert K.keyword_modularity(spark, str(tmp_path)).count() == len({s for s, _ in items}) + len({p for _, p in items})
     assert len(plans) == 3 and not any("Aggregate" in p for p in plans)
+
+
+def test_linear_ranker_takes_all_words_of_a_passage(spark, tmp_path):
+    """A fact that holds only a passage's last words is found, and ranks above one with a single word of its beginning; as in the SQL."""
+    import __spark_entry__ as entry
+    import duckdb
+
+    pool = [a + b for a in ("ka", "lomi", "tusen") for b in ("ro", "venk", "straiteln", "mopra")]
+    docs = [(1, pool[0] + " elsewhere."), (2, " ".join(pool[10:]) + ". " + pool[10] + " again."), (3, "nothing here"), (4, " ".join(pool))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, " ".join(pool)), (2, None), (3, pool[11])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = sorted(map(tuple, entry.queries()["linear_ranking"](spark, str(tmp_path)).collect()))
+    assert got == sorted(db.execute(entry.oracle_sql()["linear_ranking"]).fetchall())
+    assert [f for q, _, f, _ in got if q == 1] == [40000, 20000, 20001, 10000]
+
+
+def test_terms_of_many_long_queries():
+    """So many words that four of them have no code in 64 bits."""
+    from tessera.operators.term_scores import Terms
+
+    t = Terms([(q, [f"w{q}x{n}" for n in range(600)]) for q in range(100)], None, None, False)
+    assert len(t.words) == 60_000 and t.n.tolist() == [600] * 100 and t.named.all()
