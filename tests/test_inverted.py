@@ -75,3 +75,23 @@ def test_vectors_fill_up_what_words_leave(spark):
     held = spark.createDataFrame([(7, [1.0, 0.0]), (8, [1.0, 1.0]), (9, [0.0, 1.0]), (1, [3.0, 0.0]), (5, [-1.0, 0.0]), (6, [0.0, 0.0])], "doc_id long, v array<double>")
     got = with_vector_hits(lexical, asked, held, "q_id", "doc_id", 2)
     assert sorted((r["q_id"], r["rank"], r["doc_id"], r["score"]) for r in got.collect()) == [(1, 1, 7, 2.0), (1, 2, 1, 0.7), (2, 1, 8, 3.0), (2, 2, 7, 1.0), (3, 1, 9, 0.7), (3, 2, 8, 0.494975)]
+
+
+def test_whole_passages_are_looked_up(spark, tmp_path):
+    """A row that holds a passage's last words only is found, and a phrase is the whole passage; as in the SQL."""
+    import __spark_entry__ as entry
+    import duckdb
+
+    pool = [a + b for a in ("ka", "lomi", "tusen") for b in ("ro", "venk", "straiteln", "mopras")]
+    passage = " ".join(pool)
+    docs = [(1, " ".join(pool[:4])), (2, " ".join(pool[10:])), (3, "nothing"), (4, passage), (5, " ".join(pool[::-1])), (6, "x " + passage + "!"), (7, None), (8, "tusenmopra"), (9, pool[3])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    asked = [(1, passage), (2, None), (3, pool[3]), (4, "the of"), (5, "usenmop"), (6, "nothing again")]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = sorted(map(tuple, entry.queries()["indexed_search"](spark, str(tmp_path)).collect()))
+    assert got == sorted(db.execute(entry.oracle_sql()["indexed_search"]).fetchall())
+    first = {d: s for q, _, d, s in got if q == 1}
+    assert first[2] > 1 and first[4] == first[6] == first[5] + 2 * len(pool) and 9 in first and 3 not in first
