@@ -48,3 +48,33 @@ def test_opposed_documents(spark, tmp_path, monkeypatch):
         assert sorted(map(tuple, out.collect())) == sorted(want) and want
     pairs, each = made
     assert each.count() < pairs.count()
+
+
+def test_means_read_their_points_once(spark, monkeypatch):
+    """No round of means maps vectors into the ball again, and a vector's norm is taken once, not for each component."""
+    from pyspark.sql import functions as F
+    from tessera.functions import geometry as G
+    from tessera.operators import vectors as V
+
+    seen = spark.sparkContext.accumulator(0)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((40, 6)) * 0.3
+    rows = [(n, "ab"[n % 2], v.tolist()) for n, v in enumerate(x)] + [(90, None, x[0].tolist()), (91, "a", None)]
+
+    @F.udf("array<double>")
+    def noted(v):
+        seen.add(1)
+        return v
+
+    p = spark.createDataFrame(rows, "vec_id long, label string, v array<double>").select("vec_id", "label", noted.asNondeterministic()("v").alias("p"))
+    got = {r["label"]: r["mean"] for r in V.frechet_mean(p, "label", rounds=8).collect()}
+    assert seen.value <= len(rows)
+    for k in "ab":
+        m, mine = np.zeros(6), x[[n for n in range(40) if "ab"[n % 2] == k]]
+        for _ in range(8):
+            m = V.exp_mu(m, 0.5 * V.log_mu(m, mine).mean(0))
+        assert np.allclose(got[k], m, atol=1e-12)
+    plan = spark.createDataFrame(rows, "vec_id long, label string, v array<double>").select(G.exp0(F.col("v")).alias("p"))
+    out = plan.collect()
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    assert np.allclose(np.array([r.p for r in out[:40]]), x * np.tanh(n / 2) / n) and out[41].p is None
