@@ -78,3 +78,16 @@ def test_means_read_their_points_once(spark, monkeypatch):
     out = plan.collect()
     n = np.linalg.norm(x, axis=1, keepdims=True)
     assert np.allclose(np.array([r.p for r in out[:40]]), x * np.tanh(n / 2) / n) and out[41].p is None
+
+
+def test_modularity_sums_its_graph_up_once(spark, monkeypatch):
+    """Neither the second start nor the comparison of partitions sums edges up again, and single nodes need no contracted graph."""
+    from tessera.operators import modularity as M
+
+    calls, plain = [], M.weighted
+    monkeypatch.setattr(M, "weighted", lambda e: calls.append(1) or plain(e))
+    clique = lambda n: [(a, b, 1) for a in range(n, n + 4) for b in range(n, a)]
+    edges = clique(0) + clique(10) + [(0, 10, 1), (10, 0, 1), (3, 3, 2)]
+    found = M.modularity_communities(spark.createDataFrame(edges, "src long, dst long, weight long")).collect()
+    assert len(calls) == 1
+    assert len({r.community for r in found if r.node < 10}) == len({r.community for r in found if r.node >= 10}) == 1 and len({r.community for r in found}) == 2
